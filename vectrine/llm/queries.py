@@ -6,27 +6,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectrine.llm import golay_dedup, simhash
+import corpus_pipeline
+from vectrine.llm import cube, decontam, golay_dedup, langid, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "shard")
+
+
 def op3_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs)).select("doc_id", "pred_family", "pred_lang", "margin", "kept")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.balanced_sample(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_golay_dedup": op3_golay_dedup, "op8_simhash": op8_simhash}
+    found = (op2_sharding, op3_golay_dedup, op5_language_id, op6_decontamination, op8_simhash, op10_cube_mixing, pipeline)
+    return {f.__name__: f for f in found}
 
 
 _M = "18446744073709551616"
 
+JUMP_SQL = f"""
+WITH RECURSIVE jumps AS (
+  SELECT DISTINCT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 16))::UBIGINT::UHUGEINT AS k, 0::BIGINT AS here, 0::BIGINT AS ahead FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, n, ahead, floor((ahead + 1) * (2147483648.0::DOUBLE / ((n >> 33)::DOUBLE + 1)))::BIGINT FROM (SELECT doc_id, (k * 2862933555777941757 + 1) % {_M} AS n, ahead FROM jumps WHERE ahead < {sharding.SHARDS})),
+last AS (SELECT doc_id, max(here) AS shard FROM jumps GROUP BY doc_id)
+SELECT d.doc_id, coalesce(l.shard, 0)::INTEGER AS shard FROM documents d LEFT JOIN last l ON d.doc_id = l.doc_id
+"""
 
 SIMHASH_SQL = f"""
 WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
@@ -45,4 +76,4 @@ SELECT a.doc, b.doc, bit_count(xor(a.fp, b.fp))::INTEGER, a.fp, b.fp FROM one a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_simhash": SIMHASH_SQL}
+    return {"op2_sharding": JUMP_SQL, "op8_simhash": SIMHASH_SQL}
