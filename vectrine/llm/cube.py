@@ -135,7 +135,8 @@ def balanced_sample(docs: DataFrame, weights: Mapping[str, float] | None = None,
             pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
             name = "" if last else f"{pdf.source[0]!r}:{pdf.g[0]}"
             rng = np.random.default_rng([seed, zlib.crc32(name.encode()), last])
-            pdf = pdf.iloc[rng.permutation(len(pdf))].reset_index(drop=True)
+            # Long documents fly first, so that what is left to land is short.
+            pdf = pdf.iloc[rng.permutation(len(pdf))].sort_values("tokens", ascending=False, kind="stable").reset_index(drop=True)
             t = pdf.tokens.to_numpy(np.float64)
             p = flight(pdf.p.to_numpy(), t, rng)
             pdf["p"] = landing(p, t, rng) if last else p

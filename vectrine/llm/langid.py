@@ -36,7 +36,7 @@ from vectrine.llm.shared import free_name, own, prepare
 FAMILIES: Mapping[str, tuple[str, ...]] = {"germanic": ("de", "en"), "romance": ("es", "fr")}
 PER_LANGUAGE = 300
 FEATURES = 1 << 12
-MIN_MARGIN = 0.02
+MIN_MARGIN = 0.01
 RESULT = "pred_family string, pred_lang string, margin double, kept boolean"
 
 
