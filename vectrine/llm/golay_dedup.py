@@ -6,7 +6,8 @@
 3. Each segment is decoded to the Golay codeword indices within reach of its one-bit ball: one
    or six indices of 12 bits. Two segments that differ in at most 2 bits share one surely, and
    with 3 bits often. Keys combine the indices of two segments (24 bits) so that buckets stay
-   small when the corpus grows; PAIRINGS lists the segment pairs. Pigeonhole: with e errors
+   small when the corpus grows; PAIRINGS lists the segment pairs. A fingerprint is sent once for
+   each index of a pair's first segment, and the second is decoded where it arrives. Pigeonhole: with e errors
    over the 8 segments, at most floor(e / 3) segments have more than 2.
 4. Each bucket verifies its members by the full 184-bit distance. Members are taken breadth first
    and compared only to those not yet reached, which finds the bucket's connected components
@@ -57,22 +58,32 @@ def golay_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select(F.col("id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, {FP}")
 
 
-def bucket_keys(f: np.ndarray, pairings=PAIRINGS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every bucket of every fingerprint; f has a row of four longs for each."""
-    low = (1 << SEGMENT_BITS) - 1
-    segment = [(f[:, s // 2] >> SEGMENT_BITS * (s % 2)) & low for s in range(SEGMENTS)]
-    decoded = [golay.keys(s) for s in segment]
+def _segment(f: np.ndarray, s: int) -> np.ndarray:
+    return (f[:, s // 2] >> SEGMENT_BITS * (s % 2)) & (1 << SEGMENT_BITS) - 1
+
+
+def half_keys(f: np.ndarray, pairings=PAIRINGS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, pairing and index of its first segment) of every fingerprint; f has a row of four longs for each."""
     rows, keys = [], []
-    for p, (a, b) in enumerate(pairings):
-        (ka, na), (kb, nb) = decoded[a], decoded[b]
-        key = (np.int64(p) << 24) | (ka[:, :, None] << 12) | kb[:, None, :]
-        ok = (np.arange(6) < na[:, None])[:, :, None] & (np.arange(6) < nb[:, None])[:, None, :]
-        r, i, j = np.nonzero(ok)
+    for p, (a, _) in enumerate(pairings):
+        k, n = golay.keys(_segment(f, a))
+        r, i = np.nonzero(np.arange(6) < n[:, None])
         rows.append(r)
-        keys.append(key[r, i, j])
+        keys.append(p << golay.K | k[r, i])
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def whole_keys(half: np.ndarray, f: np.ndarray, pairings=PAIRINGS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key with the index of the second segment too) for rows of half keys."""
+    second = np.zeros(len(f), np.int64)
+    for p, (_, b) in enumerate(pairings):
+        here = half >> golay.K == p
+        second[here] = _segment(f[here], b)
+    k, n = golay.keys(second)
+    r, i = np.nonzero(np.arange(6) < n[:, None])
+    return r, half[r] << golay.K | k[r, i]
+
+
 def distance(f: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.bitwise_count(f ^ g).sum(axis=1, dtype=np.int32)
 
@@ -123,22 +134,24 @@ def candidate_edges(fps: DataFrame, radius: int = RADIUS, pairings=PAIRINGS) ->
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
                 f = np.stack([part.column(1 + k).to_numpy() for k in range(4)], axis=1)
-                rows, keys = bucket_keys(f, pairings)
+                rows, keys = half_keys(f, pairings)
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *[part.column(c).take(take) for c in range(5)]], ["key", "id", "f0", "f1", "f2", "f3"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[part.column(c).take(take) for c in range(5)]], ["half", "id", "f0", "f1", "f2", "f3"])
 
     def verified(batches):
         all_ = [np.stack([c.to_numpy() for c in b.columns], axis=1) for b in batches if len(b)]
         if all_:
             m = np.concatenate(all_)
             del all_
-            e = bucket_edges(m[:, 0], m[:, 1], np.ascontiguousarray(m[:, 2:6]), radius)
+            f = np.ascontiguousarray(m[:, 2:6])
+            row, key = whole_keys(m[:, 0], f, pairings)
+            e = bucket_edges(key, m[row, 1], f[row], radius)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["u", "v"])
 
     spark = fps.sparkSession
     one = fps.groupBy("f0", "f1", "f2", "f3").agg(F.min("doc_id").alias("id")).select("id", "f0", "f1", "f2", "f3")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = one.mapInArrow(keyed, f"key bigint, id bigint, {FP}").repartition(n, "key")
+    buckets = one.mapInArrow(keyed, f"half bigint, id bigint, {FP}").repartition(n, "half")
     return buckets.mapInArrow(verified, "u bigint, v bigint")
 
 
