@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from vectrine.llm import cube, decontam, golay_dedup, langid, sharding, simhash
+from vectrine.llm import chat, cube, decontam, golay_dedup, htmltext, langid, pii, secrets, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "shard")
 
@@ -22,6 +26,10 @@ def op3_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs)).select("doc_id", "pred_family", "pred_lang", "margin", "kept")
@@ -31,10 +39,19 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitise(table(spark, sf_dir, "documents")).select("doc_id", "text", "pii_entities", "pii_terms")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = chat.transcripts(table(spark, sf_dir, "conversations"))
+    return chat.format_chats(raw, chat.fit(raw)).select("conv_id", "transcript", "turns", "chat")
+
+
 def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.balanced_sample(table(spark, sf_dir, "documents"))
 
@@ -44,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_sharding, op3_golay_dedup, op5_language_id, op6_decontamination, op8_simhash, op10_cube_mixing, pipeline)
+    found = (op1_html_extraction, op2_sharding, op3_golay_dedup, op4_secrets, op5_language_id, op6_decontamination, op7_sanitisation, op8_simhash, op9_chat_formatting, op10_cube_mixing, pipeline)
     return {f.__name__: f for f in found}
 
 
