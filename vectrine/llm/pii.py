@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectrine.llm.kernel import U64, Words, blocks, text_array
 from vectrine.llm.shared import free_name, materialise, prepare
@@ -88,7 +89,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 def generalise(kind: str, value: str) -> str:
     if kind == "ip":
         ip = ipaddress.ip_address(value)
-        return "[IP " + str(ipaddress.ip_network((ip, 16 if ip.version == 4 else 32), strict=False)) + "]"
+        return f"[IP {'.'.join(value.split('.')[:2])}.x.x]" if ip.version == 4 else f"[IP {':'.join(ip.exploded.split(':')[:2])}:x]"
     return LABEL[kind]
 
 
@@ -124,7 +125,7 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
     """``docs`` with the text sanitised, and ``pii_entities`` and ``pii_terms``: how many were changed."""
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    of_row = rows.schema["row"].dataType.simpleString()
+    of_row = T.StructType([rows.schema["row"]])
 
     def mentions(batches):
         for batch in batches:
@@ -150,7 +151,9 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
                 close = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int64()))]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(found, span), pa.array(terms, close)], ["row", "text", "found", "near"])
 
-    shape = f"row {of_row}, text string, found array<struct<a:int,b:int,kind:string,value:string>>, near array<struct<entity:string,terms:array<bigint>,numbers:array<bigint>>>"
+    span_type = T.ArrayType(T.StructType().add("a", T.IntegerType()).add("b", T.IntegerType()).add("kind", T.StringType()).add("value", T.StringType()))
+    near_type = T.ArrayType(T.StructType().add("entity", T.StringType()).add("terms", T.ArrayType(T.LongType())).add("numbers", T.ArrayType(T.LongType())))
+    shape = T.StructType(list(of_row.fields)).add("text", T.StringType()).add("found", span_type).add("near", near_type)
     held = materialise(rows.filter("text is not null").mapInArrow(mentions, shape).withColumn("rid", F.monotonically_increasing_id()), "pii-mentions")
     each = held.select("rid", F.explode("near").alias("m")).select("rid", "m.entity", "m.terms", "m.numbers")
     n_e = each.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
@@ -165,7 +168,7 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
     shared = spark.sparkContext.broadcast(np.packbits(mask))
 
     def counted(batches):
-        wanted, parts = np.unpackbits(shared.value).astype(bool), []
+        wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             text = text_array(batch.column(0))
             for i, j in blocks(text):
@@ -176,9 +179,8 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
                 h, doc = w.hash[at][order], doc[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                parts.append(np.stack(np.unique(h[new], return_counts=True), axis=1).astype(np.uint64))
-        for p in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0]).view(np.int64)), pa.array(p[:, 1].astype(np.int64))], ["term", "n"])
+                term, n = np.unique(h[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
     n_t = rows.filter("text is not null").select("text").mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
@@ -212,6 +214,6 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
             zero = pa.array(np.zeros(len(kept), np.int32))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), zero, zero], ["row", "text", "entities", "terms"])
 
-    done = f"row {of_row}, text string, entities int, terms int"
+    done = T.StructType(list(of_row.fields)).add("text", T.StringType()).add("entities", T.IntegerType()).add("terms", T.IntegerType())
     both = held.join(by_doc, "rid", "left").select("row", "text", "found", "actions").mapInArrow(changed, done).union(rows.mapInArrow(clean, done))
     return both.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns], F.col("entities").alias(free_name(docs, "pii_entities")), F.col("terms").alias(free_name(docs, "pii_terms")))
