@@ -162,5 +162,6 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, share: floa
     """``docs`` that the sample takes."""
     taken = materialise(balanced_sample(docs, weights, share, temperature, seed, id_col, text_col, source_col).filter("selected").select("doc_id"), "cube-taken")
     key = free_name(docs, "__taken")
-    taken = taken.toDF(key)
+    # What is taken follows the corpus, so it is never broadcast.
+    taken = taken.toDF(key).hint("merge")
     return docs.join(taken, docs[f"`{id_col}`"] == taken[key], "left_semi")
