@@ -25,7 +25,6 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,8 +104,8 @@ class Model:
         for bucket, off in got:
             m = np.diff(off)
             for p in range(len(self.pairs)):
-                total = np.concatenate([[0.0], np.cumsum(self.weight[p][bucket], dtype=np.float64)])[off]
-                score[:, p] += np.diff(total) / np.maximum(m, 1)
+                some = np.flatnonzero(m)
+                score[some, p] += np.add.reduceat(self.weight[p][bucket], off[some], dtype=np.float64) / m[some] if len(some) else 0.0
         family, margin = self._level(score, "", sorted(self.langs))
         fam, lang = [None] * len(a), [None] * len(a)
         by = {f: self._level(score, f, self.langs[f])[0] for f in self.langs}
@@ -172,20 +171,26 @@ def identify(docs: DataFrame, model: Model | None, min_margin: float = MIN_MARGI
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(RESULT)
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        own_model, parts = shared.value, []
-        a = text_array(pa.array(texts, pa.string(), from_pandas=True))
+    @F.arrow_udf(f"struct<{RESULT.replace(' string', ':string').replace(' double', ':double').replace(' boolean', ':boolean')}>")
+    def predict(texts: pa.Array) -> pa.Array:
+        own_model, a = shared.value, text_array(texts)
+        family, lang, margins, keep = [], [], [np.zeros(0)], [np.zeros(0, bool)]
         for i, j in blocks(a):
             part = a.slice(i, j - i)
             if own_model is None:
                 has = runs(part)[1]
-                parts.append(pd.DataFrame({"pred_family": [None] * (j - i), "pred_lang": [None] * (j - i), "margin": 0.0, "kept": has}))
+                fam, names, margin = [None] * len(part), [None] * len(part), np.zeros(len(part))
+                kept = has
             else:
-                fam, lang, margin, has = own_model.predict(part)
+                fam, names, margin, has = own_model.predict(part)
                 margin = np.where(has, np.minimum(margin, 1e9), 0.0)
-                parts.append(pd.DataFrame({"pred_family": fam, "pred_lang": lang, "margin": margin, "kept": has & (margin >= min_margin)}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"pred_family": [], "pred_lang": [], "margin": [], "kept": []})
+                kept = has & (margin >= min_margin)
+            family += fam
+            lang += names
+            margins.append(margin)
+            keep.append(kept)
+        columns = [pa.array(family, pa.string()), pa.array(lang, pa.string()), pa.array(np.concatenate(margins)), pa.array(np.concatenate(keep))]
+        return pa.StructArray.from_arrays(columns, ["pred_family", "pred_lang", "margin", "kept"])
 
     name = free_name(docs, "__language")
     out = docs.withColumn(name, predict(F.col(f"`{text_col}`")))

@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of an Arrow batch at most: workers hold a few batches at once, and texts may be long.
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and make sure of a checkpoint folder.
+    """Let Python workers import this package, bound their batches by bytes, and make sure of a checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
     that is unset (tests) a temporary one is made.
     """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
