@@ -99,7 +99,7 @@ def test_simhash_odd(odd, none):
 # 3
 def test_golay_groups(spark, docs):
     """Against brute force over all pairs within the radius."""
-    f = {r.doc_id: np.array([r.f0, r.f1, r.f2, r.f3]) for r in golay_dedup.golay_fingerprints(docs).collect()}
+    f = {r.doc_id: np.array([r[p] for p in golay_dedup.PARTS]) for r in golay_dedup.golay_fingerprints(docs).collect()}
     ids = sorted(f)
     root = {i: i for i in ids}
 
@@ -108,7 +108,7 @@ def test_golay_groups(spark, docs):
             i = root[i]
         return i
 
-    near = [(a, b) for a in ids for b in ids if a < b and np.bitwise_count(f[a] ^ f[b]).sum() <= golay_dedup.RADIUS]
+    near = [(a, b) for a in ids for b in ids if a < b and np.bitwise_count(f[a][:4] ^ f[b][:4]).sum() <= golay_dedup.RADIUS and np.bitwise_count((f[a] ^ f[b]).view(np.uint64)[4]) <= golay_dedup.ORDER_RADIUS]
     for a, b in near:
         root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.doc_id: r.keep_id for r in golay_dedup.near_duplicates(docs).collect()}

@@ -30,7 +30,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     state = None
     for _ in range(most_rounds):
         edges = materialise(_small(_large(edges)), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now

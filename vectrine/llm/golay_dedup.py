@@ -1,7 +1,8 @@
 """SimHash near-dedup by Golay-code fuzzy hashing.
 
 1. Fingerprint: distinct words vote on 184 bits = 8 segments of 23 bits, held as four longs of
-   two segments.
+   two segments. Distinct pairs of neighbouring words vote on 64 bits more, for verification only:
+   long texts of one language use the same words, but not in the same order.
 2. Texts of one fingerprint collapse to the least id.
 3. Each segment is decoded to the Golay codeword indices within reach of its one-bit ball: one
    or six indices of 12 bits. Two segments that differ in at most 2 bits share one surely, and
@@ -9,7 +10,7 @@
    small when the corpus grows; PAIRINGS lists the segment pairs. A fingerprint is sent once for
    each index of a pair's first segment, and the second is decoded where it arrives. Pigeonhole: with e errors
    over the 8 segments, at most floor(e / 3) segments have more than 2.
-4. Each bucket verifies its members by the full 184-bit distance. Members are taken breadth first
+4. Each bucket verifies its members by both full distances. Members are taken breadth first
    and compared only to those not yet reached, which finds the bucket's connected components
    exactly; a bucket of n copies of one another costs n comparisons and n - 1 edges, not n ** 2.
 5. Components of all edges are the groups; the least id of each stays.
@@ -29,19 +30,21 @@ from pyspark.sql import functions as F
 
 from vectrine.llm import golay
 from vectrine.llm.components import components
-from vectrine.llm.kernel import Words, blocks, simhash_bits, text_array
+from vectrine.llm.kernel import Grams, Words, blocks, simhash_bits, text_array
 from vectrine.llm.shared import free_name, keep_rows, materialise, own, prepare
 
 SALTS = (0x51ED270B, 0x2545F491, 0x68E31DA4)
 SEGMENTS, SEGMENT_BITS = 8, 23
 BITS = SEGMENTS * SEGMENT_BITS
 PAIRINGS = ((0, 1), (2, 3), (4, 5), (6, 7))
-RADIUS = 32
-FP = "f0 bigint, f1 bigint, f2 bigint, f3 bigint"
+#: Bits that near duplicates differ in at most, of the 184 of words and the 64 of word pairs.
+RADIUS, ORDER_RADIUS = 32, 24
+PARTS = ("f0", "f1", "f2", "f3", "f4")
+FP = ", ".join(f"{p} bigint" for p in PARTS)
 
 
 def golay_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, f2, f3) of every row that has an id and a word."""
+    """(doc_id, f0, ..., f4) of every row that has an id and a word."""
     prepare(docs.sparkSession)
     place = np.left_shift(np.int64(1), np.arange(2 * SEGMENT_BITS, dtype=np.int64))
 
@@ -52,7 +55,8 @@ def golay_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 w = Words(text.slice(i, j - i))
                 some = np.flatnonzero(np.diff(w.first))
                 bits = simhash_bits(w, SALTS)[some, :BITS].reshape(len(some), 4, 2 * SEGMENT_BITS).astype(np.int64) @ place
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(some)), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]], ["doc_id", "f0", "f1", "f2", "f3"])
+                order = np.packbits(simhash_bits(Grams(w, 2), (0,)), axis=1, bitorder="little").view(np.int64)[some, 0]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(some)), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)], pa.array(order)], ["doc_id", *PARTS])
 
     rows = own(docs, id=id_col, text=text_col).filter("id is not null and text is not null")
     return rows.select(F.col("id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, {FP}")
@@ -63,7 +67,7 @@ def _segment(f: np.ndarray, s: int) -> np.ndarray:
 
 
 def half_keys(f: np.ndarray, pairings=PAIRINGS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, pairing and index of its first segment) of every fingerprint; f has a row of four longs for each."""
+    """(row, pairing and index of its first segment) of every fingerprint; f has the four longs of segments in a row."""
     rows, keys = [], []
     for p, (a, _) in enumerate(pairings):
         k, n = golay.keys(_segment(f, a))
@@ -84,12 +88,14 @@ def whole_keys(half: np.ndarray, f: np.ndarray, pairings=PAIRINGS) -> tuple[np.n
     return r, half[r] << golay.K | k[r, i]
 
 
-def distance(f: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(f ^ g).sum(axis=1, dtype=np.int32)
+def close(f: np.ndarray, g: np.ndarray, radius: int, order_radius: int = ORDER_RADIUS) -> np.ndarray:
+    """Whether fingerprints (rows of the four longs and, if so, that of word pairs) are near duplicates."""
+    bits = np.bitwise_count((f ^ g).view(np.uint64))  # of signed numbers it counts the absolute value
+    return (bits[:, :4].sum(axis=1, dtype=np.int32) <= radius) & (bits[:, 4:] <= order_radius).all(axis=1)
 
 
-def bucket_edges(key: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int) -> np.ndarray:
-    """Edges (u, v) that connect what is connected within each bucket by distances up to ``radius``.
+def bucket_edges(key: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int, order_radius: int = ORDER_RADIUS) -> np.ndarray:
+    """Edges (u, v) that connect what is connected within each bucket by near duplicates.
 
     All buckets go round at once. In each round a bucket's next member that is reached but not yet
     expanded, or else its next unreached one, is compared to its unreached members.
@@ -112,7 +118,7 @@ def bucket_edges(key: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int) -
         slot = np.repeat(at + tail, rest) + np.arange(n) - np.repeat(np.cumsum(rest) - rest, rest)
         pivot = queue[at + head][bucket]
         member = queue[slot]
-        near = distance(f[pivot], f[member]) <= radius
+        near = close(f[pivot], f[member], radius, order_radius)
         found.append(np.stack([ids[pivot[near]], ids[member[near]]], axis=1))
         # stable: the near members move to the front of the unreached
         move = np.lexsort((~near, bucket))
@@ -133,23 +139,23 @@ def candidate_edges(fps: DataFrame, radius: int = RADIUS, pairings=PAIRINGS) ->
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
-                f = np.stack([part.column(1 + k).to_numpy() for k in range(4)], axis=1)
+                f = np.stack([part.column(1 + k).to_numpy() for k in range(len(PARTS))], axis=1)
                 rows, keys = half_keys(f, pairings)
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *[part.column(c).take(take) for c in range(5)]], ["half", "id", "f0", "f1", "f2", "f3"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[part.column(c).take(take) for c in range(1 + len(PARTS))]], ["half", "id", *PARTS])
 
     def verified(batches):
         all_ = [np.stack([c.to_numpy() for c in b.columns], axis=1) for b in batches if len(b)]
         if all_:
             m = np.concatenate(all_)
             del all_
-            f = np.ascontiguousarray(m[:, 2:6])
+            f = np.ascontiguousarray(m[:, 2:])
             row, key = whole_keys(m[:, 0], f, pairings)
             e = bucket_edges(key, m[row, 1], f[row], radius)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["u", "v"])
 
     spark = fps.sparkSession
-    one = fps.groupBy("f0", "f1", "f2", "f3").agg(F.min("doc_id").alias("id")).select("id", "f0", "f1", "f2", "f3")
+    one = fps.groupBy(*PARTS).agg(F.min("doc_id").alias("id")).select("id", *PARTS)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = one.mapInArrow(keyed, f"half bigint, id bigint, {FP}").repartition(n, "half")
     return buckets.mapInArrow(verified, "u bigint, v bigint")
@@ -158,7 +164,7 @@ def candidate_edges(fps: DataFrame, radius: int = RADIUS, pairings=PAIRINGS) ->
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, pairings=PAIRINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id): every document that goes, with the one of its group that stays."""
     fps = materialise(golay_fingerprints(docs, id_col, text_col), "golay")
-    least = Window.partitionBy("f0", "f1", "f2", "f3")
+    least = Window.partitionBy(*PARTS)
     same = fps.select(F.min("doc_id").over(least).alias("u"), F.col("doc_id").alias("v")).filter("u != v").distinct()
     edges = candidate_edges(fps, radius, pairings).distinct().union(same)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))

@@ -129,16 +129,31 @@ class Words:
 
     def terms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct words of each text: (hash, count, index of each text's first and the end)."""
-        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        order = np.lexsort((self.hash, text)) if len(self.first) < 3 else np.argsort(self.hash, kind="stable")
-        if len(self.first) >= 3:
-            order = order[np.argsort(text[order].astype(np.uint16 if len(self.first) < 65536 else np.int64), kind="stable")]
-        h, t = self.hash[order], text[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-        at = np.flatnonzero(new)
-        count = np.diff(np.append(at, len(h)))
-        return h[at], count, np.searchsorted(t[at], np.arange(len(self.first)))
+        return distinct(self.hash, self.first)
+
+
+class Grams:
+    """Runs of n words of a block of texts, in the place of its words."""
+
+    def __init__(self, w: Words, n: int) -> None:
+        self.hash, at = w.ngrams(n)
+        self.first = np.searchsorted(at, w.first)
+
+    def terms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return distinct(self.hash, self.first)
+
+
+def distinct(hash_: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of each text: (hash, count, index of each text's first and the end)."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.argsort(hash_, kind="stable")
+    if len(first) > 2:
+        order = order[np.argsort(text[order].astype(np.uint16 if len(first) < 65536 else np.int64), kind="stable")]
+    h, t = hash_[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    at = np.flatnonzero(new)
+    return h[at], np.diff(np.append(at, len(h))), np.searchsorted(t[at], np.arange(len(first)))
 
 
 def weights(count: np.ndarray) -> np.ndarray:
@@ -146,7 +161,7 @@ def weights(count: np.ndarray) -> np.ndarray:
     return np.frexp(count.astype(np.float64))[1].astype(np.float32)
 
 
-def simhash_bits(w: Words, salts: tuple[int, ...]) -> np.ndarray:
+def simhash_bits(w: Words | Grams, salts: tuple[int, ...]) -> np.ndarray:
     """Signed votes of weighted term hashes: a row of 64 * len(salts) bits for each text.
 
     Salt 0 votes with the word hash itself. A tie gives 0; a text without words gives zeros.
