@@ -9,6 +9,7 @@ only the row groups of its terms.
 from __future__ import annotations
 
 import math
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,10 +34,10 @@ class Statistics:
         return Statistics(self.documents + other.documents, self.terms + other.terms, {t: self.frequency.get(t, 0) + other.frequency.get(t, 0) for t in names})
 
 
-def query_terms(docs: DataFrame, query: str) -> list[str]:
-    """Distinct tokens of a query, by the same expression as those of the documents."""
-    row = docs.sparkSession.range(1).select(F.array_distinct(tokenize(F.lit(query))).alias("t")).first()
-    return list(row.t)
+def query_terms(query: str) -> list[str]:
+    """Distinct tokens of a query, in order, by the rule of :func:`tokenize`; no job."""
+    plain = "".join(c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else " " for c in query.lower())
+    return list(dict.fromkeys(plain.split()))
 
 
 def with_terms(docs: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
@@ -53,7 +54,7 @@ def _is(term: str):
 
 
 def statistics(docs: DataFrame, query: str, text_col: str = "text") -> Statistics:
-    terms = query_terms(docs, query)
+    terms = query_terms(query)
     rows = with_terms(docs, terms, text_col)
     sums = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
     r = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms"), *sums).first()
@@ -76,7 +77,7 @@ def score(terms: list[str], stats: Statistics, k1: float = K1, b: float = B, tf:
 
 def search(docs: DataFrame, query: str, limit: int, candidates: Column | None = None, stats: Statistics | None = None, k1: float = K1, b: float = B, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, score): the best ``limit`` documents that hold a term, ties by id."""
-    terms = query_terms(docs, query)
+    terms = query_terms(query)
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     stats = stats or statistics(docs, query, text_col)
@@ -121,7 +122,7 @@ class PostingsIndex:
     def search(self, spark, query: str, limit: int, k1: float = K1, b: float = B, candidates: DataFrame | None = None) -> DataFrame:
         """(id, score); reads the row groups of the query's terms only."""
         rows = spark.read.parquet(self.path)
-        terms = query_terms(rows, query)
+        terms = query_terms(query)
         hits = rows.filter(F.col("term").isin(terms)) if terms else rows.limit(0)
         n, average = self.documents, max(self.terms / max(self.documents, 1), 1.0)
         df = hits.groupBy("term").agg(F.count("*").alias("df"))

@@ -50,7 +50,7 @@ def sharded_vector_topk(docs: DataFrame, vector, k: int, metric: str = "cosine")
 
 def gathered_statistics(docs: DataFrame, query: str) -> bm25.Statistics:
     """Statistics of each data group added up; equal to those of the whole."""
-    terms = bm25.query_terms(docs, query)
+    terms = bm25.query_terms(query)
     rows = bm25.with_terms(docs, terms).groupBy("data_group").agg(F.count("*").alias("n"), F.sum("length").alias("t"), *[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(len(terms))])
     total = bm25.Statistics(0, 0, {t: 0 for t in terms})
     for r in rows.collect():  # one row a data group
@@ -60,7 +60,7 @@ def gathered_statistics(docs: DataFrame, query: str) -> bm25.Statistics:
 
 def sharded_text_topk(docs: DataFrame, query: str, k: int) -> DataFrame:
     """(id, score): each group ranks by the gathered statistics, and the lists are merged."""
-    terms, stats = bm25.query_terms(docs, query), gathered_statistics(docs, query)
+    terms, stats = bm25.query_terms(query), gathered_statistics(docs, query)
     hits = bm25.with_terms(docs, terms).filter(F.exists("tf", lambda x: x > 0)).select("id", "data_group", bm25.score(terms, stats).alias("score"))
     line = Window.partitionBy("data_group").orderBy(F.desc("score"), "id")
     return merge_single(hits.withColumn("rn", F.row_number().over(line)).filter(F.col("rn") <= k).select("id", "score"), k)

@@ -143,7 +143,7 @@ def bm25_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {bm25_sql(1)} SELECT t AS term, df::BIGINT AS df, (SELECT n FROM stat)::BIGINT AS documents, (SELECT sum(dl) FROM len)::BIGINT AS terms FROM df")
 def bm25_corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
-    terms = bm25.query_terms(d, TEXT)
+    terms = bm25.query_terms(TEXT)
     sums = [F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]
     one = bm25.with_terms(d, terms).agg(F.count("*").alias("documents"), F.sum("length").alias("terms"), F.array(*[F.struct(F.lit(t).alias("term"), s.alias("df")) for t, s in zip(terms, sums)]).alias("each"))
     return one.select("documents", "terms", F.explode("each").alias("e")).select("e.term", "e.df", "documents", "terms").filter("df > 0")
