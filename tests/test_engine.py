@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from vectrine import queries
 from vectrine.functions.distance import knn
 from vectrine.operators import indexes, mutations
 from vectrine.operators.chunking import ChunkOptions, chunk_sections, count_tokens
@@ -142,6 +143,42 @@ def test_inverted_lists(spark, tmp_path):
     assert [indexes.state(0, 0, 4), indexes.state(100, 0, 4), indexes.state(200, 200, 4), indexes.state(400, 200, 4)] == ["untrained", "collecting", "active", "needs_retrain"]
 
 
+def test_search_of_a_table(spark, tmp_path):
+    """The join finds what one search a query does, by brute force too, in blocks of any size."""
+    rows, x = vectors(spark, 320)
+    d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(axis=2))
+    truth = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), d[i]))[:5]}
+    for name, options in (("a", {}), ("b", {"subvectors": 2, "codes": 8})):
+        index = indexes.IvfIndex.build(rows, str(tmp_path / name), 4, "euclidean", **options)
+        for nprobe, block_rows in ((1, 20_000), (2, 30), (4, 100)):
+            found = {(r.query, r.id) for r in index.search_join(rows, 5, nprobe, 4, block_rows).collect()}
+            assert len(found) == 5 * len(x)
+            for i in (0, 7, 319):
+                assert {b for a, b in found if a == i} == {r.id for r in index.search(x[i].tolist(), 5, nprobe, 4).collect()}
+            share = len(found & truth) / len(truth)
+            assert share == 1 if (name, nprobe) == ("a", 4) else share < 1
+    few = indexes.IvfIndex.build(rows.limit(100), str(tmp_path / "c"), 4, "euclidean")
+    assert few.centroids is None and {r.query for r in few.search_join(rows, 1).collect()} == set(range(320))
+
+
+def test_recall_is_of_the_index(spark, tmp_path, monkeypatch):
+    """All vectors ask; an index that loses rows has a recall below 1."""
+    _, x = vectors(spark, 320)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert queries.recall_at_k(spark, str(tmp_path)).first().recall == 1
+    got = {(r.kind, r.nprobe): r.recall for r in queries.recall_at_k_probed(spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and all(0 < v < 1 for v in got.values()) and got["ivf", 1] < got["ivf", 2] < got["ivf", 3]
+    build = indexes.IvfIndex.build
+
+    def lossy(rows, *args, **options):
+        index = build(rows, *args, **options)
+        index.table = index.table.filter("id % 3 > 0")
+        return index
+
+    monkeypatch.setattr(indexes.IvfIndex, "build", staticmethod(lossy))
+    assert queries.recall_at_k(spark, str(tmp_path)).first().recall < 0.9
+
+
 @pytest.mark.parametrize("kind,options", [("hnsw", {"m": 8, "ef": 64}), ("vamana", {"degree": 16, "width": 32})])
 def test_graphs(spark, tmp_path, kind, options):
     rows, x = vectors(spark, 300)

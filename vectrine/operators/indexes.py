@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrine.functions.distance import calibrate, decode_int8, distance, encode_int8, float16, knn, matrix, pairwise, vector
+from vectrine.functions.distance import calibrate, decode_int8, distance, encode_int8, float16, knn, knn_join, matrix, nearest_rows, pairwise, vector
 from vectrine.schema import check
 
 #: Rows a list (or code) that training needs; below that an index stays exact.
@@ -176,6 +176,63 @@ class IvfIndex:
             rows = self._short(rows, query, k * rerank)
         return knn(rows, [(0, query)], k, self.metric).select("id", "distance")
 
+    def search_join(self, queries: DataFrame, k: int, nprobe: int = 8, rerank: int = 8, block_rows: int = 20_000) -> DataFrame:
+        """(query, id, distance): :meth:`search` of every row of a table ``queries`` (id, vector), as a join on the list.
+
+        Lists and the queries that probe them are cut into blocks of about ``block_rows``, and a task holds one
+        of each; what is shuffled after that is a short list a query and block."""
+        queries = queries.filter("vector is not null").select(F.col("id").alias("query"), "vector")
+        if self.centroids is None:
+            return knn_join(queries.withColumnRenamed("query", "id"), self.table, k, self.metric)
+        c, books, metric = self.centroids, self.books, self.metric
+        n = k * rerank if books else k
+        kind, name = self.table.schema["id"].dataType, queries.schema["query"].dataType
+
+        def probed(batches):
+            for b in batches:
+                if not len(b):
+                    continue
+                d = ((prepared(matrix(b.column(1), c.shape[1]), metric)[:, None] - c[None]) ** 2).sum(axis=2)
+                lists = d.argsort(axis=1, kind="stable")[:, :nprobe].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists.tolist(), pa.list_(pa.int32()))], ["query", "vector", "lists"])
+
+        def short(key, asked, rows):
+            ids, x = rows.column("id").to_numpy(), matrix(rows.column("vector").combine_chunks(), c.shape[1])
+            q = matrix(asked.column("vector").combine_chunks(), c.shape[1])
+            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(x), -1) if books and len(x) else None
+            out: list[list] = [[], [], [], []]
+            for at in range(0, len(q) if len(x) else 0, 256):
+                part = q[at : at + 256]
+                d = pairwise(part, x, metric)
+                near = d
+                if books:
+                    rest = np.split(prepared(part, metric) - c[key[0].as_py()], len(books), axis=1)
+                    near = sum(((r[:, None] - book[None]) ** 2).sum(axis=2)[:, code[:, s]] for s, (book, r) in enumerate(zip(books, rest)))
+                for j in range(len(part)):
+                    top = nearest_rows(near[j], ids, n)
+                    for o, v in zip(out, (np.full(len(top), at + j), ids[top], near[j][top], d[j][top])):
+                        o.append(v)
+            whole = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+            return pa.table([asked.column("query").take(pa.array(whole[0], pa.int64())), pa.array(whole[1].tolist(), to_arrow_type(kind)), pa.array(whole[2], pa.float64()), pa.array(whole[3], pa.float64())], ["query", "id", "near", "distance"])
+
+        from pyspark.sql import Window
+        from pyspark.sql import types as T
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        lists = queries.mapInArrow(probed, T.StructType(list(queries.schema.fields)).add("lists", T.ArrayType(T.IntegerType())))
+        lists = lists.select("query", "vector", F.explode("lists").alias("list_id"))
+        most = lambda df: df.groupBy("list_id").count().agg(F.max("count")).first()[0] or 0
+        parts, slices = max(1, -(-most(self.table) // block_rows)), max(1, -(-most(lists) // block_rows))
+        block = lambda x, m: F.pmod(F.xxhash64(x), F.lit(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        asked = lists.withColumn("s", block("query", slices)).withColumn("p", every(parts))
+        held = self.table.withColumn("p", block("id", parts)).withColumn("s", every(slices))
+        keys = ("list_id", "p", "s")
+        shape = T.StructType().add("query", name).add("id", kind).add("near", T.DoubleType()).add("distance", T.DoubleType())
+        found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(short, shape)
+        best = lambda df, d, m: df.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(d, "id"))).filter(F.col("rn") <= m)
+        return best(best(found, "near", n), "distance", k).select("query", "id", "distance")
+
     def _short(self, rows: DataFrame, query: Sequence[float], n: int) -> DataFrame:
         """The best n by asymmetric distance of the codes."""
         q = prepared(np.array([query], np.float64), self.metric)[0]

@@ -23,6 +23,8 @@ from vectrine.streaming.streams import TokenBucket
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: Lists of the indexes whose recall is measured.
+LISTS = 4
 TEXT = "the and with of er"
 PROMOTED = {"lang": ("text", "lang"), "source": ("text", "source"), "n_chars": ("integral", "n_chars"), "label": ("integral", "label"), "quality": ("integral", "quality"), "toxic": ("integral", "toxic")}
 COLLECTION = __import__("uuid").UUID("6f9619ff-8b86-d011-b42d-00c04fc964ff")
@@ -394,6 +396,14 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/indexes/{name}-{uuid.uuid4().hex}"
 
 
+def _truth(rows: DataFrame, k: int, path: str) -> DataFrame:
+    """The exact join of ``rows`` with themselves, written a slice at a time, as the driver can't hold the plans of many."""
+    many = max(1, -(-rows.count() // 1024))
+    for s in range(many):
+        knn_join(rows.filter(F.pmod(F.xxhash64("id"), F.lit(many)) == s), rows, k, slice_rows=2048).write.mode("append").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 @query(topk_sql("cosine"))
 def ivf_exact_probe_all(spark: SparkSession, sf: str) -> DataFrame:
     index = indexes.IvfIndex.build(vectors(spark, sf), _folder(spark, "ivf"), lists=4)
@@ -420,13 +430,24 @@ def vamana_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT 1.0::DOUBLE AS recall")
 def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors ask an index, all lists of which are probed, so that it must find what the exact join does."""
+    rows = vectors(spark, sf)
+    index = indexes.IvfIndex.build(rows, _folder(spark, "recall"), lists=LISTS)
+    return fusion.recall_at(index.search_join(rows, 5, LISTS), _truth(rows, 5, _folder(spark, "truth")), 5)
+
+
+@query()
+def recall_at_k_probed(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of all vectors by the share of the lists that is probed, of inverted lists with and without product codes."""
     rows = vectors(spark, sf)
-    q = rows.filter("id < 20")
-    truth = knn_join(q, rows, 5)
-    index = indexes.IvfIndex.build(rows, _folder(spark, "recall"), lists=4)
-    asked = [(r.id, r.vector) for r in q.select("id", "vector").collect()]
-    found = knn(index.table, asked, 5)
-    return fusion.recall_at(found, truth, 5)
+    truth = _truth(rows, 5, _folder(spark, "truth"))
+    out = None
+    for kind, options in (("ivf", {}), ("ivf_pq", {"subvectors": 8, "codes": 8})):
+        index = indexes.IvfIndex.build(rows, _folder(spark, kind), lists=LISTS, **options)
+        for nprobe in (1, 2, 3):
+            one = fusion.recall_at(index.search_join(rows, 5, nprobe), truth, 5).select(F.lit(kind).alias("kind"), F.lit(LISTS).alias("lists"), F.lit(nprobe).alias("nprobe"), "recall")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 # Text and ingestion
