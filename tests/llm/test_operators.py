@@ -334,6 +334,32 @@ def test_sanitisation_brute_force(spark):
     assert got[71].text == "[IP 10.1.x.x] and [CARD NUMBER]" and got[0].pii_entities == 0 and got[60].pii_terms > 0
 
 
+def test_sanitisation_of_rare_entities(spark):
+    """Entities of one or two texts: against counts of distinct texts and the bound, restated."""
+    rng = np.random.default_rng(8)
+    words = ["the", "of", "and", "to", "in", "for", "with", "on"]
+    rows = [(i, f"w{i // 40}x " + " ".join(rng.choice(words, 14))) for i in range(1200)]
+    rows += [(1300, "the patient Quandary of ann@one.example and 90317 in bed"), (1301, "with bo@two.example on the Zephyrine ward"), (1302, "to bo@two.example of the Zephyrine and w5x")]
+    rows += [(1400 + i, "for Lutetium in cy@three.example of") for i in range(5)] + [(1500, None)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    spans = lambda s: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", s)]
+    texts = {s for _, s in rows if s}
+    sets = {s: {w for _, _, w in spans(s)} for s in texts}
+    for i, s in rows[1200:-1]:
+        ((a, b, kind, value),) = pii.entities(s)
+        mine = [t for t in texts if any(e[3] == value for e in pii.entities(t))]
+        for x, y, w in spans(s):
+            if y <= a or x >= b:
+                n, k = sum(w in ws for ws in sets.values()), sum(w in sets[t] for t in mine)
+                p, z = k / n, pii.Z
+                low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+                told = math.log2(len(texts) * low / len(mine)) / math.log2(len(texts) / len(mine))
+                assert k < pii.SUPPORT and (s[x:y] in got[i].text.split()) == (told < pii.GENERALISE), (s, w, told)
+    assert got[1300].text == "the [TERM] [TERM] of [EMAIL] and [NUMBER] in [TERM]" and got[1300].pii_terms == 4
+    assert got[1302].text == "to [EMAIL] of the [TERM] and w5x"
+    assert {got[1400 + i].text for i in range(5)} == {"for [TERM] in [EMAIL] of"} and got[1500].text is None
+
+
 def test_sanitisation_leaves_clean_documents(docs):
     rows = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: r for r in pii.sanitise(docs).collect()}

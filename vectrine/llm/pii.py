@@ -3,15 +3,18 @@
 Protected entities are found by pattern: mail addresses, telephone numbers, IP addresses, card,
 account, bank and social security numbers. With N documents, an entity e has the information
 content IC(e) = log2(N / n(e)), and a term t that occurs within WINDOW words of it reveals
-PMI(e; t) = log2(N n(e, t) / (n(e) n(t))) of that. All counts are of documents over the whole
-corpus. The disclosure of t is PMI / IC: 1 if t never occurs but with e. In documents that
+PMI(e; t) = log2(N n(e, t) / (n(e) n(t))) of that. All counts are of distinct texts over the whole
+corpus, as copies of one text are no independent evidence. The disclosure of t is PMI / IC: 1 if t never occurs but with e. In documents that
 mention e, terms of disclosure REMOVE or more are removed, those of GENERALISE or more are
 replaced by their class (a word or a number), and e itself, which reveals itself wholly, by its
-kind, or by its network where it is an IP address. A pair counts if SUPPORT documents have it,
-as one shared mention is no evidence. Documents without an entity stay as they are.
+kind, or by its network where it is an IP address. Where fewer than SUPPORT texts have the pair,
+as with most identifiers, n(e, t) / n(t) is replaced by its lower confidence bound (Wilson's, at Z):
+terms that are rare in the corpus are then generalised near a rare entity, common ones never are,
+and a corpus of under about 700 texts is too small to tell. Documents without an entity stay as
+they are.
 
 Defined cases: a null text stays null, an empty one empty; rows with a null id are sanitised as
-any other; repeated rows are each sanitised and each count as a document; names that clash get
+any other; repeated rows are each sanitised and count as one text; null texts don't count; names that clash get
 underscores appended; texts are used whole; an empty table gives an empty result.
 """
 
@@ -22,7 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +34,8 @@ from vectrine.llm.shared import free_name, materialise, prepare
 
 WINDOW = 10
 SUPPORT = 3
+#: Of the one-sided 95 % bound.
+Z = 1.645
 REMOVE, GENERALISE = 0.98, 0.8
 #: Bits of the filter of candidate terms that the counting scan uses: its size never grows.
 FILTER_BITS = 22
@@ -115,6 +120,21 @@ def sanitise_text(text: str, found: list[tuple[int, int, str, str]], actions: di
     return "".join(out) + text[at:], n
 
 
+def lower_bound(x: Column, n: Column, z: float = Z) -> Column:
+    """Wilson's lower bound of a share, x of n."""
+    p = x / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _bits(values: DataFrame) -> np.ndarray:
+    """Packed filter of a column of hashes, by their low bits."""
+    low = (1 << FILTER_BITS) - 1
+    mask = np.zeros(low + 1, bool)
+    few = values.toDF("x").select(F.col("x").bitwiseAND(F.lit(low)).alias("b")).distinct()
+    mask[np.fromiter((r[0] for r in few.toLocalIterator()), np.int64)] = True
+    return np.packbits(mask)
+
+
 def _dirty(text: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
@@ -155,22 +175,23 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
     near_type = T.ArrayType(T.StructType().add("entity", T.StringType()).add("terms", T.ArrayType(T.LongType())).add("numbers", T.ArrayType(T.LongType())))
     shape = T.StructType(list(of_row.fields)).add("text", T.StringType()).add("found", span_type).add("near", near_type)
     held = materialise(rows.filter("text is not null").mapInArrow(mentions, shape).withColumn("rid", F.monotonically_increasing_id()), "pii-mentions")
-    each = held.select("rid", F.explode("near").alias("m")).select("rid", "m.entity", "m.terms", "m.numbers")
-    n_e = each.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = each.select("rid", "entity", F.explode("terms").alias("term"), "numbers").select("rid", "entity", "term", F.array_contains("numbers", F.col("term")).alias("number")).groupBy("rid", "entity", "term").agg(F.max("number").alias("number"))
-    n_et = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("number").alias("number")).filter(F.col("n_et") >= support).join(n_e, "entity")
+    each = held.select("rid", F.xxhash64("text").alias("digest"), F.explode("near").alias("m")).select("rid", "digest", "m.entity", "m.terms", "m.numbers")
+    n_e = each.select("digest", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = each.select("digest", "entity", F.explode("terms").alias("term"), "numbers").select("digest", "entity", "term", F.array_contains("numbers", F.col("term")).alias("number")).groupBy("digest", "entity", "term").agg(F.max("number").alias("number"))
+    n_et = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("number").alias("number")).join(n_e, "entity")
     n_et = materialise(n_et, "pii-pairs")
-    total = docs.count()
 
+    texts = rows.filter("text is not null").select("text", F.xxhash64("text").alias("digest"))
+    copied = materialise(texts.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1"), "pii-copies")
+    total = texts.count() - (copied.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
     low = (1 << FILTER_BITS) - 1
-    mask = np.zeros(low + 1, bool)
-    mask[[r[0] for r in n_et.select(F.col("term").bitwiseAND(F.lit(low)).alias("b")).distinct().toLocalIterator()]] = True
-    shared = spark.sparkContext.broadcast(np.packbits(mask))
+    shared = spark.sparkContext.broadcast(_bits(n_et.select("term")))
+    repeated = spark.sparkContext.broadcast(_bits(copied.select("digest")))
 
     def counted(batches):
         wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            text = text_array(batch.column(0))
+            text, weight = text_array(batch.column(0)), batch.column(1).to_numpy()
             for i, j in blocks(text):
                 w = Words(text.slice(i, j - i))
                 at = np.flatnonzero(wanted[w.hash & U64(low)])
@@ -179,15 +200,39 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
                 h, doc = w.hash[at][order], doc[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                term, n = np.unique(h[new], return_counts=True)
+                term, of = np.unique(h[new], return_inverse=True)
+                n = np.bincount(of, weight[i:j][doc[new] - 1], len(term))
                 yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
-    n_t = rows.filter("text is not null").select("text").mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
+    def copies(batches):
+        seen = np.unpackbits(repeated.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(seen[batch.column("digest").to_numpy() & low]))
+
+    # only texts with copies are sent, once each, to take away what their copies add
+    again = texts.mapInArrow(copies, texts.schema).join(copied, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+    weighted = texts.select("text", F.lit(1).cast("bigint").alias("weight")).unionAll(again.select("text", (1 - F.col("copies")).alias("weight")))
+    n_t = weighted.mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    told = n_et.join(n_t, "term").withColumn("told", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).filter(F.col("told") >= general)
-    told = told.select("entity", "term", F.when(F.col("told") >= remove, "remove").when(F.col("number"), "number").otherwise("word").alias("action"))
-    by_doc = each.select("rid", "entity").distinct().join(told, "entity").groupBy("rid").agg(F.collect_set(F.struct("term", "action")).alias("actions"))
+    bounded = F.log2(F.lit(float(total)) * lower_bound(F.col("n_et"), F.col("n_t")) / F.col("n_e"))
+    told = n_et.join(n_t, "term").withColumn("told", F.when(ic > 0, F.when(F.col("n_et") >= support, pmi).otherwise(bounded) / ic).otherwise(F.lit(0.0))).filter(F.col("told") >= general)
+    told = materialise(told.select("entity", "term", F.when(F.col("told") >= remove, "remove").when(F.col("number"), "number").otherwise("word").alias("action")), "pii-told")
+    telling = spark.sparkContext.broadcast(_bits(told.select("term")))
+
+    def holding(batches):
+        wanted = np.unpackbits(telling.value).astype(bool)
+        for batch in batches:
+            text, rid = text_array(batch.column(1)), batch.column(0).to_numpy()
+            for i, j in blocks(text):
+                w = Words(text.slice(i, j - i))
+                at = np.flatnonzero(wanted[w.hash & U64(low)])
+                doc = np.searchsorted(w.first, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][doc]), pa.array(w.hash[at].view(np.int64))], ["rid", "term"])
+
+    # by term first: a term that tells is in few documents, but an entity may have many of both
+    there = held.select("rid", "text").mapInArrow(holding, "rid bigint, term bigint").distinct().join(told, "term")
+    by_doc = there.join(each.select("rid", "entity").distinct(), ["rid", "entity"]).groupBy("rid").agg(F.collect_set(F.struct("term", "action")).alias("actions"))
 
     def changed(batches):
         strength = {"word": 0, "number": 1, "remove": 2}
