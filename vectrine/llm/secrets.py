@@ -38,7 +38,7 @@ from vectrine.llm.shared import own, prepare
 
 RESULT = "doc_id bigint, kind string, start int, length int, detail string, digest string"
 #: What any candidate has: cheap for the whole corpus, before the patterns below look closer.
-LIKELY = r"[0-9A-Fa-f]{32}|[A-Za-z0-9+/_\-]{36}|A[KS]IA[A-Z0-9]{16}|-----BEGIN |(?i:token|secret|passw|key|auth|credential)\w*[\"']?\s*[:=]"
+LIKELY = r"[0-9A-Fa-f]{32}|[A-Za-z0-9+/_\-]{36}|A[KS]IA[A-Z0-9]{16}|-----BEGIN |eyJ[\w\-]+\.|(?i:token|secret|passw|key|auth|credential)\w*[\"']?\s*[:=]"
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 JWT = re.compile(r"(?<![\w\-.])(eyJ[\w\-]+)\.([\w\-]+)\.([\w\-]*)(?![\w\-])")
 AKIA = re.compile(r"(?<![A-Za-z0-9])A[KS]IA([A-Z0-9]{16})(?![A-Za-z0-9])")
@@ -174,7 +174,7 @@ def _confirmed(text: str) -> Iterator[tuple[str, int, int, str]]:
             yield "github_token", m.start(), m.end(), m[1]
     for m in BASE64.finditer(text):
         s = m[0]
-        if s.startswith(("MII", "MIG", "MIH", "MC", "MD", "ME", "MF", "MH", "MI", "AAAA", "b3BlbnNzaC1rZXk")) and (data := decode64(s)) and (k := key_kind(data)):
+        if (s[0] == "M" and "A" <= s[1] <= "P" or s.startswith(("AAAA", "b3BlbnNzaC1rZXk"))) and (data := decode64(s)) and (k := key_kind(data)):
             yield k[0], m.start(), m.end(), f"base64: {k[1]}"
     for m in NAMED.finditer(text):
         s = m[2]
