@@ -5,6 +5,7 @@ The standard collection is documents with the vector of the same number and its
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from vectrine.operators.chunking import chunk
 from vectrine.operators.collection import by_ids, page, signature
 from vectrine.operators.search import SearchRequest, search
 from vectrine.schema import metadata
+from vectrine.session import scratch_dir
 from vectrine.streaming.streams import TokenBucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +29,7 @@ SQL: dict[str, str] = {}
 LISTS = 4
 TEXT = "the and with of er"
 PROMOTED = {"lang": ("text", "lang"), "source": ("text", "source"), "n_chars": ("integral", "n_chars"), "label": ("integral", "label"), "quality": ("integral", "quality"), "toxic": ("integral", "toxic")}
-COLLECTION = __import__("uuid").UUID("6f9619ff-8b86-d011-b42d-00c04fc964ff")
+COLLECTION = uuid.UUID("6f9619ff-8b86-d011-b42d-00c04fc964ff")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -389,11 +391,7 @@ def float16_rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/indexes/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _truth(rows: DataFrame, k: int, path: str) -> DataFrame:
