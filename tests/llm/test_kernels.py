@@ -220,6 +220,89 @@ def test_extraction_of_odd_pages(page, want):
     assert htmltext.extract(page)[0] == want
 
 
+def test_extraction_is_linear_and_keeps_deep_paths_apart():
+    """Paths that differ only 100,000 tags above the text; and pages on which a slow way would take minutes."""
+    import time
+
+    began = time.perf_counter()
+    rule, junk = "<div>" * 100_000, "</div>" * 100_000
+    body = "".join(f"<p>Sentence {i}, long enough to be content, with commas, and stops. And more, of it." for i in range(9))
+    deep = f"<main>{rule}{body}{junk}</main><nav>{rule}" + "".join(f"<p>Link {i}" for i in range(9)) + junk + "</nav>"
+    text, nodes, content = htmltext.extract(deep)
+    assert (nodes, content) == (18, 9) and "Link" not in text
+    assert htmltext.extract("<div>a" * 100_000)[1] == 100_000
+    assert htmltext.extract("<b>" * 100_000 + "<p>x</p>" * 100_000)[1] == 100_000
+    assert htmltext.extract("<b>" * 100_000 + "</i>" * 100_000)[1] == 0
+    assert htmltext.extract("<a 'x " * 100_001)[1] == 0
+    assert htmltext.extract('<p>he said <a href="x>y</a> so, yes.</p>')[0] == "he said y so, yes."
+    assert time.perf_counter() - began < 60
+
+
+def plain_content(page: str) -> set[str]:
+    """The method restated over a parsed tree of dictionaries: for pages of plain, closed elements without inline ones."""
+    import math
+    from html.parser import HTMLParser
+
+    found, stack = [], []
+
+    class P(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            stack.append(tag)
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                found.append((tuple(stack), re.sub(r"\s+", " ", data)))
+
+    P().feed(page)
+    by = {}
+    for p, t in found:
+        by.setdefault(p, []).append(t)
+    ratio = {p: (sum(len(t.strip()) for t in ts) / len(ts), sum(len(re.findall(r"[.,;:!?]", t)) for t in ts) / len(ts)) for p, ts in by.items()}
+    kernel = {d: math.exp(-0.5 * (d / 1.5) ** 2) for d in range(-4, 5)}
+    smoothed = []
+    for i, (p, _) in enumerate(found):
+        row = [j for j, (q, _) in enumerate(found) if q[:-1] == p[:-1]]
+        at = row.index(i)
+        beside = [(kernel[k - at], found[row[k]][0]) for k in range(len(row)) if abs(k - at) <= 4]
+        total = sum(w for w, _ in beside)
+        parent = [t for q, t in found if q[:-1] == p[:-1]]
+        smoothed.append((*[sum(w * ratio[q][f] for w, q in beside) / total for f in (0, 1)], sum(len(t.strip()) for t in parent) / len(parent)))
+    top = [max(s[f] for s in smoothed) or 1e-12 for f in range(3)]
+    fused = [(s[0] / top[0] * (s[1] / top[1] + 0.05) / 1.05 * s[2] / top[2]) ** (1 / 3) for s in smoothed]
+    size = [len(t.strip()) for _, t in found]
+    level = sum(f * n for f, n in zip(fused, size)) / sum(size)
+    mean = {p: sum(f for f, (q, _) in zip(fused, found) if q == p) / len(ts) for p, ts in by.items()}
+    return {t.strip() for p, t in found if mean[p] >= 0.7 * level}
+
+
+def test_extraction_against_a_plain_restatement():
+    rng = np.random.default_rng(12)
+
+    def tree(depth: int) -> str:
+        out = []
+        for _ in range(rng.integers(1, 5)):
+            tag = rng.choice(["div", "section", "h2", "li", "td"])
+            words = " ".join(rng.choice(["word", "longer", "text,", "stop.", "x"], rng.integers(1, 14))) + f" {rng.integers(10**9)}"
+            out.append(f"<{tag}>{tree(depth - 1) if depth and rng.random() < 0.6 else words}</{tag}>")
+        return "".join(out)
+
+    for _ in range(60):
+        page = f"<body>{tree(4)}</body>".replace("<li><li>", "<li><div>")
+        page = re.sub(r"<(li|td)>", "<span-\\1>", re.sub(r"</(li|td)>", "</span-\\1>", page))
+        if page.count("<div>") == page.count("</div>"):
+            nodes, _ = htmltext.text_nodes(page)
+            got = {n.text.strip() for n, s in zip(nodes, htmltext.select(nodes)) if s}
+            assert got == plain_content(page)
+
+
+def test_words_of_the_upper_planes():
+    w = Words(pa.array(["\U00030000\U00031350 \U0002ebf0 \U000e0041"]))
+    assert np.diff(w.first).tolist() == [2] and len(langid.runs(pa.array(["\U00030000"]))[0][0][0]) == 1
+
+
 def der(tag: int, *parts: bytes) -> bytes:
     body = b"".join(parts)
     n = len(body)

@@ -260,9 +260,11 @@ def test_html_finds_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas()
     right = n = 0
     for html in pages.html:
-        nodes = htmltext.text_nodes(html)
-        chosen = htmltext.select(nodes)
-        right += sum(s == ("article" in p) for (p, _, _), s in zip(nodes, chosen))
+        nodes, paths = htmltext.text_nodes(html)
+        article = [False] * len(paths)
+        for k, (parent, tag) in enumerate(paths):
+            article[k] = tag == "article" or article[parent]
+        right += sum(s == article[n.path] for n, s in zip(nodes, htmltext.select(nodes)))
         n += len(nodes)
     assert right / n >= 0.95
 

@@ -11,14 +11,17 @@ all nodes of content paths are given back in order, block elements on lines of t
 
 Defined cases: a null page gives a null text, a page without text (empty, tags only) an empty one;
 markup that is never closed is taken as it stands; scripts, styles and comments are no text;
-repeated rows and ties are each treated alone; names that clash get underscores appended; pages
-are used whole, whatever their length or depth (paths are cut to DEPTH innermost tags).
+an attribute's quotation mark that is never closed ends quoting for the rest of the page; repeated rows and
+ties are each treated alone; names that clash get underscores appended; pages are used whole, whatever their
+length or depth: a path is a number, that of its parent's and the tag, so that all is linear in the page.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,53 +32,77 @@ from vectrine.llm.shared import free_name, prepare
 
 THRESHOLD = 0.7
 SMOOTHING = 1.5
-DEPTH = 64
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)", re.S | re.I)
+#: What follows a tag's name: with quoted values, or without where a quotation mark is never closed.
+QUOTED, PLAIN = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"), re.compile(r"([^>]*+)(?:>|\Z)")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var".split())
 #: An element that begins ends these, if they are open and nothing of the other kind lies between.
 ENDS = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"} | dict.fromkeys("div article section ul ol table h1 h2 h3 h4 h5 h6 nav header footer aside main form pre blockquote".split(), "p")
 PUNCTUATION = re.compile(r"[.,;:!?¡¿…、。，！？]")
-SKIP = frozenset(("title", "head"))
 SPACE = re.compile(r"\s+")
 
 
-def text_nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
-    """(tag path without inline elements, number of the block it is in, text) of each text node in document order."""
-    out: list[tuple[tuple[str, ...], int, str]] = []
-    stack: list[str] = []
-    at = block = 0
+class Node(NamedTuple):
+    path: int
+    parent: int
+    block: int
+    text: str
+
+
+def text_nodes(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
+    """Text nodes in document order, with their path, its parent and the block they are in; and (parent, last tag)
+    of each path by number. Inline elements are no part of a path; path 0 is the page."""
+    out: list[Node] = []
+    paths, number = [(0, "")], {}
+    # tag, path, and where on the stack the innermost element that isn't inline lies (-1: nowhere)
+    stack: list[tuple[str, int, int]] = []
+    opened: Counter[str] = Counter()
+    at = block = pos = 0
+    tail = QUOTED
 
     def add(raw: str) -> None:
         text = SPACE.sub(" ", htmllib.unescape(raw))
-        if text.strip() and not (stack and not SKIP.isdisjoint(stack)):
-            out.append((tuple(t for t in stack if t not in INLINE)[-DEPTH:], block, text))
+        if text.strip() and not (opened["title"] or opened["head"]):
+            path = stack[-1][1] if stack else 0
+            out.append(Node(path, paths[path][0], block, text))
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, pos):
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
+        at = pos = m.end()
         if m.group(2):
             add(m.group(2))
         tag = (m.group(4) or "").lower()
         if not tag:
             continue
+        if not (rest := tail.match(page, pos)):
+            tail = PLAIN
+            rest = tail.match(page, pos)
+        at = pos = rest.end()
         block += tag not in INLINE
         if m.group(3):
-            if tag in stack:
-                while stack.pop() != tag:
-                    pass
-        elif tag not in VOID and not m.group(5).endswith("/"):
+            if opened[tag]:
+                while (t := stack.pop()[0]) != tag:
+                    opened[t] -= 1
+                opened[tag] -= 1
+        elif tag not in VOID and not rest[1].endswith("/"):
             for t in ENDS.get(tag, "").split():
-                k = len(stack) - 1
-                while k >= 0 and stack[k] in INLINE:
-                    k -= 1
-                if k >= 0 and stack[k] == t:
+                k = stack[-1][2] if stack else -1
+                if k >= 0 and stack[k][0] == t:
+                    opened.subtract(x[0] for x in stack[k:])
                     del stack[k:]
-            stack.append(tag)
+            path, base = stack[-1][1:] if stack else (0, -1)
+            if tag not in INLINE:
+                if (path, tag) not in number:
+                    number[path, tag] = len(paths)
+                    paths.append((path, tag))
+                path, base = number[path, tag], len(stack)
+            stack.append((tag, path, base))
+            opened[tag] += 1
     if at < len(page):
         add(page[at:])
-    return out
+    return out, paths
 
 
 def smooth(x: np.ndarray, sigma: float = SMOOTHING) -> np.ndarray:
@@ -85,22 +112,21 @@ def smooth(x: np.ndarray, sigma: float = SMOOTHING) -> np.ndarray:
     return np.convolve(x, kernel)[r : r + len(x)] / np.convolve(np.ones(len(x)), kernel)[r : r + len(x)]
 
 
-def select(nodes: list[tuple[tuple[str, ...], int, str]], threshold: float = THRESHOLD, sigma: float = SMOOTHING) -> np.ndarray:
+def select(nodes: list[Node], threshold: float = THRESHOLD, sigma: float = SMOOTHING) -> np.ndarray:
     """Which nodes are content."""
     if not nodes:
         return np.zeros(0, bool)
-    names: dict[tuple[str, ...], int] = {}
-    path = np.array([names.setdefault(p, len(names)) for p, _, _ in nodes])
-    length = np.array([len(t.strip()) for _, _, t in nodes], np.float64)
-    marks = np.array([len(PUNCTUATION.findall(t)) for _, _, t in nodes], np.float64)
+    _, path = np.unique([n.path for n in nodes], return_inverse=True)
+    _, parent = np.unique([n.parent for n in nodes], return_inverse=True)
+    length = np.array([len(n.text.strip()) for n in nodes], np.float64)
+    marks = np.array([len(PUNCTUATION.findall(n.text)) for n in nodes], np.float64)
     count = np.bincount(path)
-    parents: dict[tuple[str, ...], int] = {}
-    parent = np.array([parents.setdefault(p[:-1], len(parents)) for p, _, _ in nodes])
     ratios = [(np.bincount(path, v) / count)[path] for v in (length, marks)]
     order = np.argsort(parent, kind="stable")
     for beside in np.split(order, np.cumsum(np.bincount(parent))[:-1]):
-        for r in ratios:
-            r[beside] = smooth(r[beside], sigma)
+        if len(beside) > 1:  # one alone is its own mean
+            for r in ratios:
+                r[beside] = smooth(r[beside], sigma)
     ratios.append((np.bincount(parent, length) / np.bincount(parent))[parent])
     a, b, c = (r / max(r.max(), 1e-12) for r in ratios)
     fused = np.cbrt(a * (b + 0.05) / 1.05 * c)
@@ -113,14 +139,13 @@ def extract(page: str | None, threshold: float = THRESHOLD, sigma: float = SMOOT
     """(content, number of text nodes, number of content nodes) of a page."""
     if page is None:
         return None, 0, 0
-    nodes = text_nodes(page)
+    nodes, _ = text_nodes(page)
     chosen = select(nodes, threshold, sigma)
     parts: list[str] = []
     before = None
     for k in np.flatnonzero(chosen):
-        _, block, text = nodes[k]
-        parts += ["\n" if before is not None and block != before else "", text]
-        before = block
+        parts += ["\n" if before is not None and nodes[k].block != before else "", nodes[k].text]
+        before = nodes[k].block
     lines = (SPACE.sub(" ", x).strip() for x in "".join(parts).split("\n"))
     return "\n".join(x for x in lines if x), len(nodes), int(chosen.sum())
 
