@@ -7,6 +7,7 @@ by the finaliser of splitmix64, so that SQL can restate it.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 1_000_003
-#: Code points from here on are neither letters nor cased (planes 3 and up).
-TOP = 0x30000
+#: One more than the last code point.
+TOP = 0x110000
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a longer document is worked on alone.
 BLOCK_BYTES = 1 << 20
@@ -25,12 +26,16 @@ BLOCK_BYTES = 1 << 20
 @lru_cache(None)
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """(lower-case code point, is a letter or digit) by code point."""
-    lower, word = np.arange(TOP, dtype=np.uint32), np.zeros(TOP, bool)
-    for i in range(TOP - 1):
-        c = chr(i)
-        word[i] = unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd", "Nl", "No")
-        if len(x := c.lower()) == 1:
-            lower[i] = ord(x)
+    kinds = frozenset(("Lu", "Ll", "Lt", "Lm", "Lo", "Nd", "Nl", "No"))
+    word, lower = np.zeros(TOP, bool), np.arange(TOP, dtype=np.uint32)
+    for plane in range(0, TOP, 1 << 16):
+        every = "".join(map(chr, range(plane, plane + (1 << 16))))
+        if re.search(r"[^\W_]", every):  # most planes have nothing assigned
+            word[plane : plane + (1 << 16)] = [k in kinds for k in map(unicodedata.category, every)]
+            folded = every.lower()
+            if len(folded) != len(every):
+                folded = "".join(x if len(x := c.lower()) == 1 else c for c in every)
+            lower[plane : plane + (1 << 16)] = list(map(ord, folded))
     return lower, word
 
 
@@ -93,7 +98,6 @@ class Words:
     def __init__(self, a: pa.Array) -> None:
         low_of, word_of = tables()
         cp, self.at = code_points(a)
-        cp = np.minimum(cp, TOP - 1)
         self.lower = low_of[cp]
         is_word = word_of[cp]
         n = len(cp)

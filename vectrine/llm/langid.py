@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrine.llm.kernel import TOP, blocks, code_points, tables, text_array
+from vectrine.llm.kernel import blocks, code_points, tables, text_array
 from vectrine.llm.shared import free_name, own, prepare
 
 FAMILIES: Mapping[str, tuple[str, ...]] = {"germanic": ("de", "en"), "romance": ("es", "fr")}
@@ -43,7 +43,6 @@ def runs(a: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """For runs of 1, 2 and 3: (hashes, offsets by text); and whether each text has a letter."""
     lower, word = tables()
     cp, at = code_points(a)
-    cp = np.minimum(cp, TOP - 1)
     letter = word[cp] & ~((cp >= 48) & (cp <= 57))
     c = np.where(letter, lower[cp], np.uint32(32))
     n = len(c)

@@ -2,47 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from vectrine.session import prepare_workers, scratch_dir, shared_dir
 
 #: Bytes of an Arrow batch at most: workers hold a few batches at once, and texts may be long.
 BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, bound their batches by bytes, and make sure of a checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests) a temporary one is made.
-    """
+    """Let Python workers import this package, bound their batches by bytes, and make sure of the shared folder."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
-    sc = spark.sparkContext
-    path = sc.environment.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     shared_dir(spark)
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    jsc = spark.sparkContext._jsc.sc()
-    if not named:
-        if jsc.getCheckpointDir().isDefined():
-            return jsc.getCheckpointDir().get()
-        named = "file://" + tempfile.mkdtemp(prefix="vectrine-")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    return prepare_workers(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -51,17 +29,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     It cuts the lineage, survives lost executors, and unlike a checkpoint gives the
     planner the true size, so that it broadcasts only what is really small.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of :func:`materialise` that nothing reads any more."""
+    _delete(df.sparkSession, _PATHS.pop(df))
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Delete every table that :func:`materialise` wrote; call it when results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark).rstrip("/") + "/tables")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every table that this application wrote; call it when results are stored."""
+    _delete(spark, scratch_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def own(df: DataFrame, **columns: str) -> DataFrame:
