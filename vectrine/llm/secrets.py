@@ -2,9 +2,11 @@
 
 A candidate is found by its looks and reported only if decoding bears it out:
 
-* ``private_key``, ``public_key``, ``certificate``: base64 (in PEM armour or bare, whole line runs)
-  whose DER is a SEQUENCE with nested lengths that fill exactly, of the shape the kind has.
-* ``ssh_key``: base64 of length-prefixed fields that begin with a key type or the OpenSSH magic.
+* ``private_key``, ``public_key``, ``certificate``: base64 or hex whose DER is a SEQUENCE with nested lengths
+  that fill exactly, at every depth, of the shape the kind has. Base64 is in PEM armour or bare; both it and
+  hex may be wrapped: lines follow each other while they are as long as the first. The outermost length says
+  where a bare key ends. A PEM key that is encrypted the old way has its cipher's IV and whole blocks instead.
+* ``ssh_key``: base64 or hex of length-prefixed fields that begin with a key type or the OpenSSH magic.
 * ``jwt``: three base64url parts; the header is a JSON object with an ``alg``, the payload a JSON object.
 * ``access_key_id``: AKIA or ASIA and 16 base32 characters, which decode to a key id of 10 bytes.
 * ``github_token``: a prefix, 30 characters and the CRC-32 of them in base 62.
@@ -16,7 +18,8 @@ A candidate is found by its looks and reported only if decoding bears it out:
 
 Defined cases: rows with a null id or text and texts without a candidate give no row; repeated
 rows are reported each; overlapping candidates are reported once, by the first kind in the order
-above; texts are scanned whole; other columns are ignored; an empty table gives an empty result.
+above; texts are scanned whole, in time linear in their length and findings; ids are numbers or cast to
+them; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,13 +43,18 @@ from vectrine.llm.shared import own, prepare
 
 RESULT = "doc_id bigint, kind string, start int, length int, detail string, digest string"
 #: What any candidate has: cheap for the whole corpus, before the patterns below look closer.
-LIKELY = r"[0-9A-Fa-f]{32}|[A-Za-z0-9+/_\-]{36}|A[KS]IA[A-Z0-9]{16}|-----BEGIN |eyJ[\w\-]+\.|(?i:token|secret|passw|key|auth|credential)\w*[\"']?\s*[:=]"
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+LIKELY = r"[0-9A-Fa-f]{32}|(?:[0-9A-Fa-f]{2}[: ]){15}|[A-Za-z0-9+/_\-]{36}|A[KS]IA[A-Z0-9]{16}|-----BEGIN |eyJ[\w\-]+\.|(?i:token|secret|passw|key|auth|credential)\w*[\"']?\s*[:=]"
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----((?:\s*[A-Za-z][A-Za-z\-]*: [^\r\n]*)*)([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+DEK = re.compile(r"DEK-Info: (\w+)-[\w\-]+,([0-9A-F]+)")
 JWT = re.compile(r"(?<![\w\-.])(eyJ[\w\-]+)\.([\w\-]+)\.([\w\-]*)(?![\w\-])")
 AKIA = re.compile(r"(?<![A-Za-z0-9])A[KS]IA([A-Z0-9]{16})(?![A-Za-z0-9])")
 GITHUB = re.compile(r"(?<![A-Za-z0-9_])(gh[pousr]_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9+/]{60,}(?:\r?\n[A-Za-z0-9+/]{4,})+)={0,2}(?![A-Za-z0-9+/=])")
-NAMED = re.compile(r"(?i)\b[\w\-]{0,40}(?:token|secret|passw(?:or)?d|passwd|key|auth|credential)[\w\-]{0,40}[\"']?\s{0,8}[:=]{1,2}>?\s{0,8}(?:bearer\s{1,8})?([\"']?)([A-Za-z0-9+/_\-]{16,}={0,2})\1")
+#: First lines of what may be a key, and a line that goes on.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?=M[A-P]|AAAA|b3BlbnNzaC1rZXk)[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])")
+MORE64 = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/]+={0,2})(?![A-Za-z0-9+/=])")
+BASE16 = re.compile(r"(?i)(?<![0-9A-Za-z])(?=30|0000000b7373682d|000000077373682d|000000136563|6f70656e7373682d|00[: ]00[: ]00|6f[: ]70[: ]65)(?:[0-9a-f]{2}[: ]?+){15,}+")
+MORE16 = re.compile(r"(?i)\r?\n[ \t]*((?:[0-9a-f]{2}[: ]?+)++)")
+NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|key|auth|credential)[\w\-]{0,64}[\"']?\s{0,8}[:=]{1,2}>?\s{0,8}(?:bearer\s{1,8})?([\"']?)([A-Za-z0-9+/_\-]{16,}={0,2})\1")
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
 HEX_BYTES = frozenset((16, 20, 24, 28, 32, 48, 64))
 SSH = re.compile(rb"ssh-(?:rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-(?:ssh|ecdsa)[\w\-@.]+")
@@ -61,32 +71,43 @@ def decode64(text: str, url: bool = False) -> bytes | None:
         return None
 
 
-def der(data: bytes, depth: int = 0) -> list | None:
-    """Tags of a DER value's parts, nested; None unless every length fits exactly."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+def der(data: bytes) -> list | None:
+    """(tag, parts, size) of a DER value's parts, nested; None unless every length fits exactly, however deep."""
+    root: list = []
+    stack, at = [(root, len(data))], 0
+    while True:
+        while at == stack[-1][1]:
+            if len(stack) == 1:
+                return root
+            stack.pop()
+        parts, end = stack[-1]
+        if (head := der_head(data, at, end)) is None:
             return None
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if tag & 31 == 31 or tag == 0:
-            return None
-        if size & 128:
-            n = size & 127
-            if not 1 <= n <= 4 or at + n > len(data) or data[at] == 0:
-                return None
-            size = int.from_bytes(data[at : at + n], "big")
-            at += n
-            if size < 128:
-                return None
-        if at + size > len(data):
+        tag, at, size = head
+        parts.append((tag, [] if tag & 32 else None, size))
+        if tag & 32:
+            stack.append((parts[-1][1], at + size))
+        else:
+            at += size
+
+
+def der_head(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, where its content begins, size) of the value at ``at``, which must be over by ``end``."""
+    if at + 2 > end:
+        return None
+    tag, size = data[at], data[at + 1]
+    at += 2
+    if tag & 31 == 31 or tag == 0:
+        return None
+    if size & 128:
+        n = size & 127
+        if not 1 <= n <= 4 or at + n > end or data[at] == 0:
             return None
-        inner = der(data[at : at + size], depth + 1) if tag & 32 and depth < 24 else None
-        if tag & 32 and depth < 24 and inner is None:
+        size = int.from_bytes(data[at : at + n], "big")
+        at += n
+        if size < 128:
             return None
-        out.append((tag, inner, size))
-        at += size
-    return out
+    return (tag, at, size) if at + size <= end else None
 
 
 def key_kind(data: bytes) -> tuple[str, str] | None:
@@ -133,38 +154,52 @@ def varied(data: bytes) -> bool:
 
 def findings(text: str) -> list[tuple[str, int, int, str, str]]:
     """(kind, start, length, detail, secret) in order of place."""
-    out: list[tuple[str, int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
-
-    def add(kind: str, a: int, b: int, detail: str) -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
-            out.append((kind, a, b - a, detail, text[a:b]))
-
-    for found in _confirmed(text):
-        add(*found)
-    return sorted(out, key=lambda f: (f[1], f[0]))
-
-
-def _confirmed(text: str) -> Iterator[tuple[str, int, int, str]]:
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            if (data := decode64(m[2])) and (k := key_kind(data)):
-                yield k[0], m.start(), m.end(), f"pem {m[1].lower()}: {k[1]}"
-    if "eyJ" in text:
-        for m in JWT.finditer(text):
-            try:
-                head, body = (json.loads(decode64(m[i], True) or b"") for i in (1, 2))
-            except ValueError:
-                continue
-            if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict) and (m[3] or head["alg"].lower() == "none"):
-                yield "jwt", m.start(), m.end(), f"alg {head['alg'][:20]}"
+    taken: list[tuple[int, int, str, str]] = []
+    for confirmed in (_armoured, _tokens, _key_ids, _github, _keys, _named):
+        starts, end, new = [t[0] for t in taken], 0, []
+        for kind, a, b, detail in confirmed(text):
+            k = bisect_left(starts, b)  # the last one taken that begins before b; those before it end before it begins
+            if a >= end and (not k or taken[k - 1][1] <= a):
+                new.append((a, b, kind, detail))
+                end = b
+        taken = sorted(taken + new)
+    return [(kind, a, b - a, detail, text[a:b]) for a, b, kind, detail in taken]
+
+
+Found = Iterator[tuple[str, int, int, str]]
+
+
+def _armoured(text: str) -> Found:
+    for m in PEM.finditer(text) if "-----BEGIN " in text else ():
+        data = decode64(m[3])
+        if data and (k := key_kind(data)):
+            yield k[0], m.start(), m.end(), f"pem {m[1].lower()}: {k[1]}"
+        elif data and (dek := DEK.search(m[2])):
+            block = len(dek[2]) // 2
+            if block == (16 if dek[1] in ("AES", "CAMELLIA") else 8) and len(data) >= 48 and len(data) % block == 0:
+                yield "private_key", m.start(), m.end(), f"pem {m[1].lower()}: encrypted"
+
+
+def _tokens(text: str) -> Found:
+    for m in JWT.finditer(text) if "eyJ" in text else ():
+        try:
+            head, body = (json.loads(decode64(m[i], True) or b"") for i in (1, 2))
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict) and (m[3] or head["alg"].lower() == "none"):
+            yield "jwt", m.start(), m.end(), f"alg {head['alg'][:20]}"
+
+
+def _key_ids(text: str) -> Found:
     for m in AKIA.finditer(text):
         try:
             data = base64.b32decode(m[1])
         except binascii.Error:
             continue
         yield "access_key_id", m.start(), m.end(), f"account {int.from_bytes(data[:6], 'big') >> 7 & (1 << 40) - 1:012d}"
+
+
+def _github(text: str) -> Found:
     for m in GITHUB.finditer(text):
         crc, code = zlib.crc32(m[2].encode()), ""
         for _ in range(6):
@@ -172,10 +207,55 @@ def _confirmed(text: str) -> Iterator[tuple[str, int, int, str]]:
             code = BASE62[r] + code
         if code == m[3]:
             yield "github_token", m.start(), m.end(), m[1]
-    for m in BASE64.finditer(text):
-        s = m[0]
-        if (s[0] == "M" and "A" <= s[1] <= "P" or s.startswith(("AAAA", "b3BlbnNzaC1rZXk"))) and (data := decode64(s)) and (k := key_kind(data)):
-            yield k[0], m.start(), m.end(), f"base64: {k[1]}"
+
+
+def _keys(text: str) -> Found:
+    """Bare keys, in base64 or hex, on one line or wrapped: lines as long as the first, and one shorter at the end."""
+    found = []
+    for name, first, more, gap, per, decode in (("base64", BASE64, MORE64, r"\s", 4 / 3, decode64), ("hex", BASE16, MORE16, r"[:\s]", 2, decode16)):
+        plain = lambda line: re.sub(gap, "", line)
+        at = 0
+        while m := first.search(text, at):
+            at = m.end()
+            lines = [m[0].rstrip(": ")]
+            width, have, last = len(lines[0]), len(plain(lines[0])), m.start() + len(lines[0])
+            size = wanted(decode(plain(lines[0])[:24]) or b"")
+            need = math.ceil(size * per) if size else None
+            if need and need > len(text) - m.start():
+                continue
+            if need and have > need:  # what follows may look like more of it
+                cut = next((k.start() for n, k in enumerate(re.finditer(r"[^: ]", lines[0])) if n == need), 0)
+                if lines[0][cut - 1] in ": ":
+                    lines, last = [lines[0][:cut]], m.start() + len(lines[0][:cut].rstrip(": "))
+            while (need is None or have < need) and len(lines[-1]) == width and (n := more.match(text, at)):
+                part = n[1].rstrip(": ")
+                if len(part) > width:
+                    break
+                lines.append(part)
+                have += len(plain(part))
+                last, at = n.start(1) + len(part), n.end()
+            for count in dict.fromkeys((len(lines), 1 if need is None else len(lines))):
+                if (data := decode(plain("".join(lines[:count])))) and (k := key_kind(data)):
+                    found.append((k[0], m.start(), last if count == len(lines) else m.start() + width, f"{name}: {k[1]}"))
+                    break
+            else:
+                at = m.end()
+    yield from sorted(found, key=lambda f: f[1])
+
+
+def wanted(head: bytes) -> int | None:
+    """Bytes of a whole DER value that begins so; None where it isn't one."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    got = der_head(head[:6], 0, 1 << 62)
+    return got[1] + got[2] if got else None
+
+
+def decode16(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 else None
+
+
+def _named(text: str) -> Found:
     for m in NAMED.finditer(text):
         s = m[2]
         if HEX.match(s):
