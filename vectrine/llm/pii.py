@@ -1,7 +1,11 @@
 """Information-theoretic sanitisation of personal data.
 
-Protected entities are found by pattern: mail addresses, telephone numbers, IP addresses, card,
-account, bank and social security numbers. With N documents, an entity e has the information
+Protected entities are found by pattern and confirmed by what such numbers have and others lack: mail addresses;
+telephone numbers with a country code, an area code in brackets, the groups of North American or French numbers, or
+a word such as "tel" before them; IP addresses (not after a word such as "version"; not 127.0.0.1, ::1 or unspecified);
+card numbers by issuer prefix, length, groups and check digit; bank accounts by IBAN check digits; social security numbers
+in groups and in the ranges that are given out; other account numbers only behind a word such as "account". Bare runs of
+digits are numbers, not persons. With N documents, an entity e has the information
 content IC(e) = log2(N / n(e)), and a term t that occurs within WINDOW words of it reveals
 PMI(e; t) = log2(N n(e, t) / (n(e) n(t))) of that. All counts are of distinct texts over the whole
 corpus, as copies of one text are no independent evidence. The disclosure of t is PMI / IC: 1 if t never occurs but with e. In documents that
@@ -15,13 +19,14 @@ they are.
 
 Defined cases: a null text stays null, an empty one empty; rows with a null id are sanitised as
 any other; repeated rows are each sanitised and count as one text; null texts don't count; names that clash get
-underscores appended; texts are used whole; an empty table gives an empty result.
+underscores appended; texts are used whole, in time linear in their length and entities; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +42,30 @@ SUPPORT = 3
 #: Of the one-sided 95 % bound.
 Z = 1.645
 REMOVE, GENERALISE = 0.98, 0.8
-#: Bits of the filter of candidate terms that the counting scan uses: its size never grows.
-FILTER_BITS = 22
-LIKELY = r"@|\d[\d ().\-/]{5,}\d|\d+\.\d+\.\d+\.\d+|[A-Z]{2}\d{2}[A-Z0-9 ]{11}|:[0-9A-Fa-f]{0,4}:"
+#: Bits of the filters of hashes that scans are sent: as many as give each value eight places, within these bounds (a filter
+#: takes 16 MB at most). A fuller filter lets more through, which is then joined away.
+FILTER_BITS = (16, 27)
+#: What any text with an entity has, for the whole corpus.
+LIKELY = r"@|[0-9](?:[ ().\-/]{0,4}[0-9]){5}|[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}|:[0-9A-Fa-f]{0,4}:"
+GAP = r"[ .\-]?"
+CUES = {
+    "phone": re.compile(r"(?i)(?:\b(?:tel[eé]?|phone|telephone|tel[eé]fono|t[eé]l[eé]phone|telefon|telefonnummer|call|ring|fax|mobile?|m[oó]vil|portable|handy|cell|whatsapp|sms|appelez|llam[ae]|anrufen)\b[.:]?|☎|✆)[\s:.#]{0,3}(?:(?:is|at|us|on|no|nr|num(?:ber)?|n°|unter|au|al)\b[.:]?\s{0,2}){0,3}\Z"),
+    "number": re.compile(r"(?i)\b(?:account|acct|a/c|konto(?:nummer)?|cuenta|compte|customer|kundennummer|kunde|client[e]?|passport|pass(?:aporte|eport)?|reisepass|licen[cs]e|iban|policy|steuer-?id|dni|nif|nie|tax\s?id|routing|sort\s?code)\b[\s:.#]{0,3}(?:(?:is|no|nr|num(?:ber|ero|éro)?|n°|id)\b[.:]?\s{0,2}){0,3}\Z"),
+    "version": re.compile(r"(?i)(?:\b(?:version|ver|v|release|section|sect|chapter|kapitel|abschnitt|secci[oó]n|clause|build|art(?:icle|ikel|ículo)?|fig(?:ure|ur|ura)?)\b[.:]?|§)\s{0,2}\Z"),
+}
+#: Characters before a match in which a cue is looked for.
+CUE_REACH = 40
 PATTERNS = (
-    ("email", re.compile(r"[\w.+%\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}")),
-    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")),
+    ("email", re.compile(r"(?<![\w.+%\-])[\w.+%\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}")),
+    ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
+    ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])")),
     ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")),
-    ("ssn", re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,5}\)[ .\-]?)?\d{1,5}(?:[ .\-]\d{2,5}){1,4}(?![\d\-]|\.\d)|(?<!\w)\+\d{8,15}(?!\d)")),
-    ("number", re.compile(r"(?<![\w.])\d(?:[ \-]?\d){8,18}(?![\w\-]|\.\d)")),
+    ("ssn", re.compile(r"(?<![\w\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w\-])")),
+    ("card", re.compile(r"(?<![\w.+\-])(?:[3-6][0-9]{12,18}|2[2-7][0-9]{14}|([3-6][0-9]{3}|2[2-7][0-9]{2})([ \-])[0-9]{4}\2[0-9]{4}\2[0-9]{4}(?:\2[0-9]{3})?|3[47][0-9]{2}([ \-])[0-9]{6}\3[0-9]{5})(?![\w\-]|\.[0-9])")),
+    ("phone", re.compile(rf"(?<![\w.+])\+[0-9]{{1,3}}(?:{GAP}\(0?[0-9]{{1,5}}\))?(?:{GAP}[0-9]{{1,14}}){{1,5}}(?!\.?[0-9])|(?<![\w.])(?:00[0-9]{{1,3}} ?)?\([0-9]{{2,5}}\)(?:{GAP}[0-9]{{2,8}}){{1,4}}(?!\.?[0-9])")),
+    ("phone", re.compile(r"(?<![\w.+\-(])(?:1[ .\-])?[2-9][0-9]{2}([.\-])[2-9][0-9]{2}\1[0-9]{4}(?![\w\-]|\.[0-9])|(?<![\w.+\-(])(?<![0-9] )0[1-9](?:([ .\-]?)[0-9]{2})(?:\2[0-9]{2}){3}(?![ .\-]?[0-9]|\w)")),
+    ("cued phone", re.compile(r"(?<![\w.+\-])[0-9(](?:[ ().\-/]{0,2}[0-9]){6,14}(?![\w\-]|\.[0-9])")),
+    ("number", re.compile(r"(?<![\w.\-])(?:[A-Z]{0,2}[0-9])(?:[ \-/]?[0-9]){5,19}[A-Z]?(?![\w\-]|\.[0-9])")),
 )
 LABEL = {"email": "[EMAIL]", "iban": "[BANK ACCOUNT]", "ssn": "[SOCIAL SECURITY NUMBER]", "phone": "[PHONE]", "card": "[CARD NUMBER]", "number": "[ACCOUNT NUMBER]"}
 
@@ -60,24 +78,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _valid(kind: str, text: str) -> tuple[str, str] | None:
+def _cue(kind: str, text: str, at: int) -> bool:
+    return bool(CUES[kind].search(text[max(0, at - CUE_REACH) : at]))
+
+
+def _valid(kind: str, m: re.Match) -> tuple[str, str] | None:
     """(kind, normal form) if the match is one."""
+    text = m[0]
     if kind == "email":
         return kind, text.lower()
     if kind == "ip":
         try:
-            return kind, str(ipaddress.ip_address(text))
+            ip = ipaddress.ip_address(text)
         except ValueError:
             return None
+        return (kind, str(ip)) if not (str(ip) in ("127.0.0.1", "::1") or ip.is_unspecified or ip.version == 4 and _cue("version", m.string, m.start())) else None
     plain = re.sub(r"[^0-9A-Z]", "", text)
     if kind == "iban":
         return (kind, plain) if 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else None
+    if kind == "card":
+        lengths = {"3": (14, 15, 16), "4": (13, 16, 19), "6": (13, 14, 15, 16, 17, 18, 19)}.get(plain[0], (16,))
+        return (kind, plain) if len(plain) in lengths and luhn(plain) else None
     if kind == "phone":
-        if not 8 <= len(plain) <= 15 or not (text[0] in "+(" or len(re.findall(r"\d+", text)) >= 3) or re.fullmatch(r"(?:19|20)\d\d[.\-]\d\d[.\-]\d\d", text):
-            return None
-        return kind, plain
+        return (kind, plain) if 8 <= len(plain) <= 15 and len(set(plain)) > 1 else None
+    if kind == "cued phone":
+        return ("phone", plain) if _cue("phone", m.string, m.start()) else None
     if kind == "number":
-        return ("card" if len(plain) >= 13 and luhn(plain) else "number"), plain
+        return (kind, plain) if _cue("number", m.string, m.start()) else None
     return kind, plain
 
 
@@ -85,10 +112,19 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of each protected entity, without overlaps, in order."""
     out: list[tuple[int, int, str, str]] = []
     for kind, pattern in PATTERNS:
+        starts, new = [e[0] for e in out], []
         for m in pattern.finditer(text):
-            if (found := _valid(kind, m[0])) and all(m.end() <= a or m.start() >= b for a, b, _, _ in out):
-                out.append((m.start(), m.end(), *found))
-    return sorted(out)
+            k = bisect_left(starts, m.end())
+            if (not k or out[k - 1][1] <= m.start()) and (found := _valid(kind, m)):
+                new.append((m.start(), m.end(), *found))
+        out = sorted(out + new)
+    return out
+
+
+def covered(found: list[tuple[int, int, str, str]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the spans touch an entity."""
+    a, b = (np.array([e[k] for e in found], np.int64) for k in (0, 1))
+    return np.searchsorted(b, start, "right") < np.searchsorted(a, end, "left")
 
 
 def generalise(kind: str, value: str) -> str:
@@ -100,19 +136,13 @@ def generalise(kind: str, value: str) -> str:
 
 def sanitise_text(text: str, found: list[tuple[int, int, str, str]], actions: dict[int, str]) -> tuple[str, int]:
     """(text with entities generalised and terms treated by ``actions`` (by word hash), terms changed)."""
-    w = Words(pa.array([text], pa.string()))
     cuts = [(a, b, generalise(k, v)) for a, b, k, v in found]
-    inside = np.zeros(len(text) + 1, bool)
-    for a, b, _ in cuts:
-        inside[a:b] = True
     n = 0
     if actions:
-        wanted = np.array(sorted(actions), np.int64)
-        for k in np.flatnonzero(np.isin(w.hash.view(np.int64), wanted)):
-            a, b = int(w.start[k]), int(w.end[k])
-            if not inside[a:b].any():
-                cuts.append((a, b, {"remove": "", "word": "[TERM]", "number": "[NUMBER]"}[actions[int(w.hash[k].view(np.int64))]]))
-                n += 1
+        w = Words(pa.array([text], pa.string()))
+        some = np.flatnonzero(np.isin(w.hash.view(np.int64), np.array(sorted(actions), np.int64)) & ~covered(found, w.start, w.end))
+        n = len(some)
+        cuts += [(int(w.start[k]), int(w.end[k]), {"remove": "", "word": "[TERM]", "number": "[NUMBER]"}[actions[int(w.hash[k].view(np.int64))]]) for k in some]
     out, at = [], 0
     for a, b, new in sorted(cuts):
         out += [text[at:a], new]
@@ -126,13 +156,28 @@ def lower_bound(x: Column, n: Column, z: float = Z) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def _bits(values: DataFrame) -> np.ndarray:
-    """Packed filter of a column of hashes, by their low bits."""
-    low = (1 << FILTER_BITS) - 1
-    mask = np.zeros(low + 1, bool)
-    few = values.toDF("x").select(F.col("x").bitwiseAND(F.lit(low)).alias("b")).distinct()
-    mask[np.fromiter((r[0] for r in few.toLocalIterator()), np.int64)] = True
-    return np.packbits(mask)
+class Filter:
+    """Some of the low bits of a column of hashes, packed: never misses one, lets few others through."""
+
+    def __init__(self, values: DataFrame) -> None:
+        wide = int(values.agg(F.approx_count_distinct(values.columns[0])).first()[0]) * 8
+        self.low = (1 << min(max(wide.bit_length(), FILTER_BITS[0]), FILTER_BITS[1])) - 1
+        page = values.toDF("x").select(F.col("x").bitwiseAND(F.lit(self.low)).cast("int").alias("b")).distinct().withColumn("page", F.shiftright("b", 12))
+        got = page.groupBy("page").applyInArrow(_page, "page int, bits binary").toArrow()  # half a kilobyte for each 4,096 places
+        self.bits = np.zeros((self.low + 1) // 8, np.uint8)
+        for p, bits in zip(got.column("page").to_pylist(), got.column("bits").to_pylist()):
+            self.bits[p << 9 : p + 1 << 9] = np.frombuffer(bits, np.uint8)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        b = hashes.view(np.uint64) & U64(self.low)
+        return (self.bits[b >> U64(3)] >> (b & U64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _page(group: pa.Table) -> pa.Table:
+    b = group.column("b").to_numpy()
+    mask = np.zeros(4096, bool)
+    mask[b & 4095] = True
+    return pa.table({"page": pa.array([int(b[0]) >> 12], pa.int32()), "bits": pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())})
 
 
 def _dirty(text: pa.Array) -> list[int]:
@@ -157,11 +202,11 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
                     if not (e := entities(s)):
                         continue
                     w = Words(pa.array([s], pa.string()))
-                    near = []
+                    inside, near = covered(e, w.start, w.end), []
                     for a, b, kind, value in e:
                         lo, hi = np.searchsorted(w.end, a, "right"), np.searchsorted(w.start, b)
                         at = np.concatenate([np.arange(max(0, lo - window), lo), np.arange(hi, min(len(w.hash), hi + window))])
-                        at = at[[not any(x < w.end[q] and w.start[q] < y for x, y, _, _ in e) for q in at]] if len(at) else at
+                        at = at[~inside[at]]
                         near.append({"entity": f"{kind}:{value}", "terms": np.unique(w.hash[at].view(np.int64)).tolist(), "numbers": np.unique(w.hash[at[[s[w.start[q] : w.end[q]].isdigit() for q in at]]].view(np.int64)).tolist() if len(at) else []})
                     keep.append(i + k)
                     found.append([{"a": a, "b": b, "kind": kind, "value": v} for a, b, kind, v in e])
@@ -184,17 +229,16 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
     texts = rows.filter("text is not null").select("text", F.xxhash64("text").alias("digest"))
     copied = materialise(texts.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1"), "pii-copies")
     total = texts.count() - (copied.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
-    low = (1 << FILTER_BITS) - 1
-    shared = spark.sparkContext.broadcast(_bits(n_et.select("term")))
-    repeated = spark.sparkContext.broadcast(_bits(copied.select("digest")))
+    shared = spark.sparkContext.broadcast(Filter(n_et.select("term")))
+    repeated = spark.sparkContext.broadcast(Filter(copied.select("digest")))
 
     def counted(batches):
-        wanted = np.unpackbits(shared.value).astype(bool)
+        wanted = shared.value
         for batch in batches:
             text, weight = text_array(batch.column(0)), batch.column(1).to_numpy()
             for i, j in blocks(text):
                 w = Words(text.slice(i, j - i))
-                at = np.flatnonzero(wanted[w.hash & U64(low)])
+                at = np.flatnonzero(wanted(w.hash))
                 doc = np.searchsorted(w.first, at, "right")
                 order = np.lexsort((doc, w.hash[at]))
                 h, doc = w.hash[at][order], doc[order]
@@ -205,9 +249,8 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
                 yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
     def copies(batches):
-        seen = np.unpackbits(repeated.value).astype(bool)
         for batch in batches:
-            yield batch.filter(pa.array(seen[batch.column("digest").to_numpy() & low]))
+            yield batch.filter(pa.array(repeated.value(batch.column("digest").to_numpy())))
 
     # only texts with copies are sent, once each, to take away what their copies add
     again = texts.mapInArrow(copies, texts.schema).join(copied, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
@@ -218,15 +261,15 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remo
     bounded = F.log2(F.lit(float(total)) * lower_bound(F.col("n_et"), F.col("n_t")) / F.col("n_e"))
     told = n_et.join(n_t, "term").withColumn("told", F.when(ic > 0, F.when(F.col("n_et") >= support, pmi).otherwise(bounded) / ic).otherwise(F.lit(0.0))).filter(F.col("told") >= general)
     told = materialise(told.select("entity", "term", F.when(F.col("told") >= remove, "remove").when(F.col("number"), "number").otherwise("word").alias("action")), "pii-told")
-    telling = spark.sparkContext.broadcast(_bits(told.select("term")))
+    telling = spark.sparkContext.broadcast(Filter(told.select("term")))
 
     def holding(batches):
-        wanted = np.unpackbits(telling.value).astype(bool)
+        wanted = telling.value
         for batch in batches:
             text, rid = text_array(batch.column(1)), batch.column(0).to_numpy()
             for i, j in blocks(text):
                 w = Words(text.slice(i, j - i))
-                at = np.flatnonzero(wanted[w.hash & U64(low)])
+                at = np.flatnonzero(wanted(w.hash))
                 doc = np.searchsorted(w.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][doc]), pa.array(w.hash[at].view(np.int64))], ["rid", "term"])
 
