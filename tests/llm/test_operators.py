@@ -430,17 +430,17 @@ def test_many_entities_take_linear_time(spark):
     import time
 
     began = time.perf_counter()
-    text = " ".join(f"of u{i}@mail.example.com 10.1.{i % 250}.3" for i in range(50_000))
-    assert len(pii.entities(text)) == 100_000
+    text = " ".join(f"of u{i}@mail.example.com 10.1.{i % 250}.3" for i in range(15_000))
+    assert len(pii.entities(text)) == 30_000
     for bad in ("a" * 300_000, "1" * 300_000, "1 " * 200_000, "+1" * 200_000, "(12)" * 100_000, "a.a@" * 100_000, "AB12 " * 60_000, "::" * 100_000, "1-" * 200_000):
         pii.entities(bad)
     got = pii.sanitise(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()[0]
-    assert got.pii_entities == 100_000 and "@" not in got.text and time.perf_counter() - began < 90
+    assert got.pii_entities == 30_000 and "@" not in got.text and time.perf_counter() - began < 90
 
 
 # 9
 def test_chat_held_out(spark):
-    raw = chat.transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).cache()
+    raw = chat.transcripts(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")).cache()
     model = chat.fit(raw.filter("conv_id % 2 = 0"))
     right = n = 0
     held = raw.filter("conv_id % 2 = 1")
@@ -448,12 +448,58 @@ def test_chat_held_out(spark):
         seen, states = chat.labelled(r.transcript, [(x.role, x.lines) for x in r.labels])
         right += (model.viterbi(seen) == states).sum()
         n += len(states)
-    assert n > 100 and right / n >= 0.95
+    assert n > 2000 and right / n >= 0.98
     out = chat.format_chats(held, model).collect()
     assert all(r.chat == chat.render([(t.role, t.text) for t in r.turns]) for r in out)
     assert sum([t.role for t in r.turns] == [x.role for x in r.labels] for r in out) / len(out) >= 0.9
 
 
+CODE = """Sure, here:
+
+    def f(x):
+        return x
+
+\tif x:  # two blank lines follow
+
+
+Answer: 42
+A: first option
+B: second option
+Note: keep this."""
+FOREIGN = [
+    ("Human: What does this do?\n\nIt's odd.\n\nAI: " + CODE + "\n\nHuman: thanks", [("user", "What does this do?\n\nIt's odd."), ("assistant", CODE), ("user", "thanks")]),
+    ("<|im_start|>system\nBe brief.\n<|im_start|>user\nQ: one?\n<|im_start|>assistant\n  1\u20282\x0c3\n", [("system", "Be brief."), ("user", "Q: one?"), ("assistant", "  1\u20282\x0c3")]),
+    ("USER - list them\nASSISTANT - a\n  - b\n\n  - c\nUSER - and?\n", [("user", "list them"), ("assistant", "a\n  - b\n\n  - c"), ("user", "and?")]),
+    ("(Customer) my order is late\r\nwhere is it?\r\n(Agent) let me see\r\n", [("user", "my order is late\r\nwhere is it?\r"), ("assistant", "let me see\r")]),
+]
+
+
+@pytest.fixture(scope="module")
+def chat_model(spark):
+    return chat.fit(chat.transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")))
+
+
+@pytest.mark.parametrize("text,want", FOREIGN)
+def test_chat_keeps_content_of_foreign_transcripts(chat_model, text, want):
+    """Transcripts in styles that the training text hasn't got, with code, blank lines and marker words in turns."""
+    assert chat.turns(text, chat_model) == want
+
+
+def test_chat_round_trip(spark, chat_model):
+    """Turns come back byte for byte, but for blank lines at their ends, where no marker was lost."""
+    texts = ["one line", CODE, "  indented\n\n\n  more\t", "a\u2028b\x85c\x0cd", "x\n \t\ny", "Is it?"]
+    rows = [(c, t, ("user", "assistant")[t % 2], texts[(c * 7 + t) % 6]) for c in range(60) for t in range(4)]
+    raw = chat.transcripts(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    whole = 0
+    for r in chat.format_chats(raw, chat_model).collect():
+        want = [(role, x) for c, _, role, x in rows if c == r.conv_id]
+        seen = chat.observe(r.transcript)
+        if sum(chat.KINDS[k] in chat.ROLES for k in seen.seen[:, 0]) == 4:
+            assert [(t.role, t.text) for t in r.turns] == want
+            whole += 1
+    assert whole > 20
+
+
 def test_chat_odd(spark):
     rows = [(None, 0, "user", "x"), (1, None, "user", "first"), (1, 1, None, "a\n\nb"), (1, 1, "assistant", None), (2, 0, "user", ""), (3, 0, "tool", "x " * 100_000), (4, 0, "user", "same"), (4, 0, "user", "same"), (5, 0, "user", "a <|end|> b")]
     conv = spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, chat int")

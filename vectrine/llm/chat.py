@@ -1,22 +1,28 @@
 """Chat formatting: roles of raw transcripts by a hidden Markov model, then canonical turns.
 
 A transcript's lines are observed: the kind of speaker marker, whether a blank line goes before,
-a question mark at the end, the length, a quotation mark. The hidden state of a line is
+a question mark at the end, the length, a quotation mark. A transcript marks a role in one way: of
+the ways in which it does, the one most used (the first, where two are equal) is the role's marker, any other is
+an alias, as text that only looks like a marker is. The hidden state of a line is
 its role (system, user, assistant) and whether a turn begins. Start, transition and emission
-probabilities are counted, with one added, on at most SAMPLE labelled conversations, those with
-the least hashed ids; Viterbi finds the likeliest states of a whole transcript. Markers
-are taken off and each turn is rendered as <|role|>, its text and <|end|> on lines of their own.
+probabilities are counted, with one added (to emissions in the shares that all roles together have), on at most
+SAMPLE labelled conversations, those with the least hashed ids; a share NOISE of each feature is taken to be
+random, such as marker words within turns, and PARAGRAPHS of the lines within turns to follow a blank one. Viterbi finds the likeliest states of a whole transcript. A marker
+is taken off only where a turn of its role begins; all else is kept as it stands, with its indentation and blank
+lines, but for blank lines where a turn begins or ends. Each turn is rendered as <|role|>, its text and <|end|>
+on lines of their own. Lines end at a line feed, and blank ones have blanks, tabs and carriage returns only.
 
 Defined cases: a null, empty or blank transcript has no turn and renders as an empty text; one
 line alone is one turn; equal likelihoods go to the first state in the order of STATES; a text's
 own "<|" is written "< |"; in :func:`transcripts` rows with a null conversation are left out, null
 texts count as empty, a null role as user, turns of equal number are ordered by role and text,
-and repeated rows count once; names that clash get underscores appended.
+and repeated rows count once; names that clash get underscores appended; texts are used whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,15 +35,20 @@ from vectrine.llm.shared import free_name, own, prepare
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in ROLES for b in (True, False)]
 SAMPLE = 400
+#: Share of lines of which a feature is drawn at random: training transcripts are tidier than others.
+NOISE = 0.02
+#: Share of lines within turns that begin a paragraph: the texts that models are fitted on have one each.
+PARAGRAPHS = 0.05
+BLANK = " \t\r"
 MARKER = re.compile(
-    r"\s*(?P<open>#{1,6}\s*|\*{1,2}|[\[(<{]\|?\s*(?:im_start\|>)?|>\s*)?(?P<name>[^\W\d_][\w ]{0,24}?)\s*\d{0,2}\s*(?P<close>\|?[\])>}]|\*{1,2})?\s*(?P<colon>:\*{0,2}|[-–—](?=\s)|\|)?(?:\s+|\Z)"
+    r"(?P<open>#{1,6}[ \t]{0,4}|\*{1,2}|[\[(<{]\|?\s{0,2}(?:im_start\|>)?|>\s{0,4})?(?P<name>[^\W\d_][\w ]{0,24}?)\s{0,2}\d{0,2}\s{0,2}(?P<close>\|?[\])>}]|\*{1,2})?\s{0,2}(?P<colon>:\*{0,2}|[-–—](?=\s)|\|)?(?=\s|\Z)"
 )
 NAMES = {
     "system": frozenset("system sys context note preamble system prompt instructions".split()) | {"system prompt", "system message"},
     "user": frozenset("user human you customer question q instruction prompt me client student usuario utilisateur benutzer nutzer input".split()),
     "assistant": frozenset("assistant ai bot model response answer a agent expert output reply asistente assistent chatbot machine".split()),
 }
-KINDS = ("none", "other", *ROLES)
+KINDS = ("none", "other", "alias", *ROLES)
 #: How many values each observed feature has.
 SIZES = (len(KINDS), 3, 2, 4, 2)
 #: (markers by role, marker on a line of its own, blank line between turns)
@@ -53,31 +64,46 @@ STYLES = (
 LOST = 9
 
 
-def marker(line: str) -> tuple[str, str]:
-    """(kind of marker, rest of the line)."""
-    m = MARKER.match(line)
-    if not m or not (m["colon"] or m["close"] and (m["open"] or "").strip()):
-        return "none", line
+def marker(line: str) -> tuple[str, str, tuple[str, ...]]:
+    """(kind of marker, rest of the line, way of marking)."""
+    plain = line.lstrip()
+    m = MARKER.match(plain)
+    opened = (m["open"] or "").strip() if m else ""
+    if not m or not (m["colon"] or m["close"] and opened or "im_start" in opened):
+        return "none", line, ()
     name = " ".join(m["name"].lower().split())
     for role, names in NAMES.items():
         if name in names:
-            return role, line[m.end() :]
-    return ("other" if m["colon"] == ":" else "none"), line
+            rest = plain[m.end() :]
+            return role, rest[1:] if rest[:1] in (" ", "\t") else rest, (opened, name, m["close"] or "", m["colon"] or "")
+    return ("other" if m["colon"] == ":" else "none"), line, ()
 
 
-def observe(text: str) -> tuple[np.ndarray, list[str]]:
-    """(features of each line that isn't blank, the lines without known markers)."""
-    rows, lines, blank = [], [], 2
-    for line in text.splitlines():
-        if not line.strip():
-            blank = max(blank, 1)
-            continue
-        kind, rest = marker(line)
-        rest = rest.strip()
-        rows.append((KINDS.index(kind), blank, rest.endswith(("?", "¿", "？")), int(np.searchsorted((1, 80, 300), len(rest), "right")), line.lstrip().startswith((">", "|"))))
-        lines.append(rest)
-        blank = 0
-    return np.array(rows, np.int64).reshape(-1, len(SIZES)), lines
+@dataclass
+class Lines:
+    """A transcript's lines: ``at`` are those that aren't blank, ``seen`` their features, ``rest`` what follows a marker (None: no marker)."""
+
+    all: list[str]
+    at: list[int]
+    seen: np.ndarray
+    rest: list[str | None]
+
+
+def observe(text: str) -> Lines:
+    lines = text.split("\n")
+    at = [i for i, x in enumerate(lines) if x.strip(BLANK)]
+    marks = [marker(lines[i]) for i in at]
+    ways = {r: Counter(way for kind, _, way in marks if kind == r) for r in ROLES}
+    way_of = {r: max(c, key=c.get) for r, c in ways.items() if c}  # of equal ones the first met
+    rows, before = [], -1
+    for i, (kind, rest, way) in zip(at, marks):
+        mine = rest if way else lines[i]
+        blank = 2 if not rows else int(i > before + 1)
+        kind = kind if not way or way_of[kind] == way else "alias"
+        mine = mine.strip()
+        rows.append((KINDS.index(kind), blank, mine.endswith(("?", "¿", "？")), int(np.searchsorted((1, 80, 300), len(mine), "right")), lines[i].lstrip().startswith((">", "|"))))
+        before = i
+    return Lines(lines, at, np.array(rows, np.int64).reshape(-1, len(SIZES)), [rest if way else None for _, rest, way in marks])
 
 
 @dataclass
@@ -104,14 +130,15 @@ class Model:
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Counts, with one added, over (features, states) of labelled transcripts."""
+    """Smoothed counts over (features, states) of labelled transcripts."""
     n = len(STATES)
-    start, step, emit = np.ones(n), np.ones((n, n)), [np.ones((n, s)) for s in SIZES]
-    for i, (_, begins) in enumerate(STATES):
-        if not begins:
+    start, step, emit = np.ones(n), np.ones((n, n)), [np.zeros((n, s)) for s in SIZES]
+    begins = np.array([b for _, b in STATES])
+    for i, (role, _) in enumerate(STATES):
+        if not begins[i]:
             start[i] = 1e-6
-        for j, (role, b) in enumerate(STATES):
-            if not b and role != STATES[i][0]:
+        for j, (other, b) in enumerate(STATES):
+            if not b and other != role:
                 step[i, j] = 1e-6  # a turn goes on in its own role only
     for seen, states in examples:
         if len(states):
@@ -119,20 +146,33 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]]) -> Model:
             np.add.at(step, (states[:-1], states[1:]), 1)
             for k, e in enumerate(emit):
                 np.add.at(e, (states, seen[:, k]), 1)
-    log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return Model(log(start), log(step), [log(e) for e in emit])
+    share = lambda x: x / x.sum(axis=-1, keepdims=True)
+    for e in emit:
+        for kind in (begins, ~begins):
+            e[kind] += share(e[kind].sum(axis=0) + 1)
+    blank = emit[1][~begins]
+    emit[1][~begins] = share(blank) * (1 - PARAGRAPHS) + PARAGRAPHS * np.eye(3)[1]
+    return Model(np.log(share(start)), np.log(share(step)), [np.log((1 - NOISE) * share(e) + NOISE / e.shape[1]) for e in emit])
 
 
 def turns(text: str | None, model: Model) -> list[tuple[str, str]]:
     """(role, text) of each turn."""
-    seen, lines = observe(text or "")
+    lines = observe(text or "")
     out: list[tuple[str, list[str]]] = []
-    for s, line in zip(model.viterbi(seen), lines):
+    before = 0
+    for i, s, kind, rest in zip(lines.at, model.viterbi(lines.seen), lines.seen[:, 0], lines.rest):
         role, begins = STATES[s]
+        line = lines.all[i]
         if begins or not out or out[-1][0] != role:
             out.append((role, []))
-        out[-1][1].append(line)
-    return [(r, "\n".join(x for x in t if x)) for r, t in out]
+            if KINDS[kind] == role:
+                line = rest
+        if out[-1][1]:
+            out[-1][1].extend(lines.all[before + 1 : i])
+        if line.strip(BLANK):
+            out[-1][1].append(line)
+        before = i
+    return [(r, "\n".join(t)) for r, t in out]
 
 
 def render(parts: list[tuple[str, str]]) -> str:
@@ -157,26 +197,27 @@ def transcripts(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
         gap = pick(t["role"], lambda s, r: "\n" if s[2] else "")
         return F.concat(F.when(i == 0, F.lit("")).when(lost, F.lit("\n")).otherwise(gap), F.when(lost, F.lit("")).otherwise(mark), t["text"])
 
-    lines = lambda t, i: F.size(F.filter(F.split(t["text"], "\n"), lambda x: F.trim(x) != ""))
-    return whole.select("conv", "t", style.alias("style")).select(F.col("conv").alias("conv_id"), F.array_join(F.transform("t", turn), "\n").alias("transcript"), F.transform("t", lambda t, i: F.struct(t["role"].alias("role"), F.greatest(lines(t, i), F.lit(1)).alias("lines"))).alias("labels"))
+    lines = lambda t, i: F.size(F.filter(F.split(t["text"], "\n"), lambda x: F.trim(x, F.lit(BLANK)) != ""))
+    return whole.select("conv", "t", style.alias("style")).select(F.col("conv").alias("conv_id"), F.array_join(F.transform("t", turn), "\n").alias("transcript"), F.transform("t", lambda t, i: F.struct(t["role"].alias("role"), lines(t, i).alias("lines"))).alias("labels"))
 
 
 def labelled(text: str, labels: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray] | None:
     """(features, states) of a transcript whose turns are known; None if its lines don't add up."""
-    seen, lines = observe(text)
+    lines = observe(text)
     states, at = [], 0
     for role, n in labels:
         role = role if role in ROLES else "user"
-        alone = at < len(lines) and not lines[at] and KINDS[seen[at, 0]] in ROLES and n > 0
-        n += alone
-        states += [STATES.index((role, True))] + [STATES.index((role, False))] * (n - 1)
+        if at < len(lines.at) and KINDS[lines.seen[at, 0]] == role and not lines.rest[at].strip(BLANK):
+            n += 1  # a marker on a line of its own
+        states += [STATES.index((role, k == 0)) for k in range(n)]
         at += n
-    return (seen, np.array(states, np.int64)) if len(states) == len(lines) else None
+    return (lines.seen, np.array(states, np.int64)) if len(states) == len(lines.at) else None
 
 
 def fit(raw: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` rows of :func:`transcripts`."""
-    got = raw.orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample).collect()
+    """A model from at most ``sample`` rows of :func:`transcripts`; only those are built."""
+    ids = [r[0] for r in raw.select("conv_id").orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample).collect()]
+    got = sorted(raw.filter(F.col("conv_id").isin(ids)).collect(), key=lambda r: r.conv_id) if ids else []
     found = [labelled(r.transcript, [(x.role, x.lines) for x in r.labels]) for r in got]
     return train([f for f in found if f])
 
