@@ -485,19 +485,20 @@ def test_chat_keeps_content_of_foreign_transcripts(chat_model, text, want):
     assert chat.turns(text, chat_model) == want
 
 
-def test_chat_round_trip(spark, chat_model):
-    """Turns come back byte for byte, but for blank lines at their ends, where no marker was lost."""
+def test_chat_round_trip(spark, chat_model, monkeypatch):
+    """No line is lost or changed, whatever the roles; and turns come back byte for byte, but for blank lines at their ends."""
     texts = ["one line", CODE, "  indented\n\n\n  more\t", "a\u2028b\x85c\x0cd", "x\n \t\ny", "Is it?"]
     rows = [(c, t, ("user", "assistant")[t % 2], texts[(c * 7 + t) % 6]) for c in range(60) for t in range(4)]
+    monkeypatch.setattr(chat, "LOST", 1 << 30)  # no marker is
     raw = chat.transcripts(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
-    whole = 0
+    solid = lambda parts: [x for p in parts for x in p.split("\n") if x.strip(" \t\r")]
+    same = 0
     for r in chat.format_chats(raw, chat_model).collect():
         want = [(role, x) for c, _, role, x in rows if c == r.conv_id]
-        seen = chat.observe(r.transcript)
-        if sum(chat.KINDS[k] in chat.ROLES for k in seen.seen[:, 0]) == 4:
-            assert [(t.role, t.text) for t in r.turns] == want
-            whole += 1
-    assert whole > 20
+        same += [(t.role, t.text) for t in r.turns] == want
+        if not r.transcript.startswith("Q:"):  # there, a line of CODE is a marker like any other
+            assert solid(t.text for t in r.turns) == solid(x for _, x in want)
+    assert same / 60 >= 0.8
 
 
 def test_chat_odd(spark):

@@ -41,7 +41,7 @@ NOISE = 0.02
 PARAGRAPHS = 0.05
 BLANK = " \t\r"
 MARKER = re.compile(
-    r"(?P<open>#{1,6}[ \t]{0,4}|\*{1,2}|[\[(<{]\|?\s{0,2}(?:im_start\|>)?|>\s{0,4})?(?P<name>[^\W\d_][\w ]{0,24}?)\s{0,2}\d{0,2}\s{0,2}(?P<close>\|?[\])>}]|\*{1,2})?\s{0,2}(?P<colon>:\*{0,2}|[-–—](?=\s)|\|)?(?=\s|\Z)"
+    r"(?P<open>#{1,6}[ \t]{0,4}|\*{1,2}|[\[(<{]\|?\s{0,2}(?:im_start\|>)?|>\s{0,4})?(?P<name>[^\W\d_][\w ]{0,24}?)(?:\s{0,2}\d{1,2})?(?:\s{0,2}(?P<close>\|?[\])>}]|\*{1,2}))?(?:\s{0,2}(?P<colon>:\*{0,2}|[-–—](?=\s)|\|))?(?=\s|\Z)"
 )
 NAMES = {
     "system": frozenset("system sys context note preamble system prompt instructions".split()) | {"system prompt", "system message"},
