@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -174,14 +175,15 @@ def test_decontamination_brute_force(spark, docs, bench):
     for k, it in enumerate(items):
         words = it.text.split()
         edited = [w if rng.random() > 0.15 else "edited" for w in words if rng.random() > 0.03]
-        planted += [(10_000 + k, "some words before " + " ".join(edited) + " and after"), (20_000 + k, "lead " + " ".join(words[: len(words) // 4]) + " other things follow here")]
+        planted += [(10_000 + k, "some words before " + " ".join(edited) + " and after"), (20_000 + k, "lead " + " ".join(words[: min(len(words) // 4, 8)]) + " other things follow here")]
     short = docs.filter("n_chars < 1500").select("doc_id", "text").limit(60).union(spark.createDataFrame(planted, "doc_id bigint, text string")).cache()
-    words = lambda s: Words(__import__("pyarrow").array([s])).hash.tolist()
+    words = lambda s: Words(pa.array([s])).hash.tolist()
     want = {}
     for d in short.collect():
         for it in items:
-            if (s := plain_score(words(d.text), words(it.text)) / len(words(it.text))) >= decontam.THRESHOLD:
-                want[d.doc_id, it.item_id] = s
+            n = len(words(it.text))
+            if (s := plain_score(words(d.text), words(it.text))) >= min(13, max(0.25 * n, min(n, 9))):
+                want[d.doc_id, it.item_id] = s / n
     got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(short, bench.filter("item_id < 12")).collect()}
     assert got == pytest.approx(want) and sum(d >= 10_000 for d, _ in want) >= 10 and not any(d >= 20_000 for d, _ in want)
     sliced = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(short, bench.filter("item_id < 12"), most_runs=100).collect()}
@@ -191,12 +193,48 @@ def test_decontamination_brute_force(spark, docs, bench):
 
 
 def test_decontamination_odd(spark, odd, none, bench):
-    items = spark.createDataFrame([(1, "the same row twice and more words", 5), (1, "the same row twice and more words", 5), (None, "x y z a", 0), (2, None, 0), (3, "", 0), (4, "too short", 0), (5, " ".join(LONG.split()[:300]), 0)], "item_id bigint, text string, docs int")
+    items = spark.createDataFrame([(1, "the same row twice and more words", 5), (1, "the same row twice and more words", 5), (None, "x y z a", 0), (2, None, 0), (3, "", 0), (4, "too short", 0), (5, " ".join(LONG.split()[:300]), 0), (6, "El GATO", 0), (8, "...", 0)], "item_id bigint, text string, docs int")
     got = decontam.contaminated(odd, items)
-    assert by_id(got.collect(), "doc_id", "item_id", "score") == [(5, 5, 1.0), (6, 5, 1.0), (7, 1, 1.0)]
+    assert by_id(got.collect(), "doc_id", "item_id", "score") == [(5, 5, 1.0), (6, 5, 1.0), (7, 1, 1.0), (12, 6, 1.0)]
     assert decontam.contaminated(none, items).collect() == [] and decontam.contaminated(odd, items.limit(0)).collect() == []
     left = decontam.decontaminate(odd, items)
-    assert left.columns == odd.columns and left.filter("doc_id is null").count() == 2 and left.count() == len(ODD) - 4
+    assert left.columns == odd.columns and left.filter("doc_id is null").count() == 2 and left.count() == len(ODD) - 5
+
+
+def test_seeds_are_few_and_rare(bench):
+    """A seed is never more than eight times as frequent as another run of its block that the corpus has; edited copies hold one."""
+    rng = np.random.default_rng(7)
+    rows = bench.collect()
+    items = decontam.Items([r.item_id for r in rows], [r.text for r in rows], decontam.N)
+    docs = np.where(rng.random(len(items.gram)) < 0.2, 0, rng.geometric(0.01, len(items.gram)))
+    seeds = items.seeds(docs, decontam.BLOCK)
+    assert len(seeds.gram) <= 0.36 * len(items.run)
+    of = {}
+    for r, i, k in zip(items.run, items.item, items.place):
+        of.setdefault((i, k // decontam.BLOCK), []).append(int(docs[r]))
+    count = dict(zip(map(int, items.gram), map(int, docs)))
+    got = {(i, k // decontam.BLOCK): count[int(g)] for g, i, k in zip(seeds.gram, seeds.item, seeds.place)}
+    assert set(got) == {b for b, c in of.items() if any(c)} and all(0 < c < 8 * min(x for x in of[b] if x) for b, c in got.items())
+    every, held, n = items.seeds(np.ones_like(docs), decontam.BLOCK), 0, 0
+    for k, words in enumerate(items.words):
+        copy = np.where(rng.random(len(words)) < 0.3, np.uint64(1), words)
+        own = {int(g) for g, i in zip(every.gram, every.item) if i == k}
+        w = Words(pa.array(["x"]))
+        w.hash, w.first = copy, np.array([0, len(copy)])
+        held += bool(own & set(map(int, w.ngrams(decontam.N)[0])))
+        n += 1
+    assert held / n >= 0.9
+
+
+def test_alignment_of_one_long_window_among_short_ones():
+    import time
+
+    began = time.perf_counter()
+    rng = np.random.default_rng(2)
+    item = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+    long = np.concatenate([rng.integers(0, 1 << 60, 80_000).astype(np.uint64), item])
+    got = decontam.align([(long, item)] + [(item[5:30], item)] * 127)
+    assert got[0] == (40, 80_000, 80_039) and set(got[1:]) == {(25, 0, 24)} and time.perf_counter() - began < 15
 
 
 # 10

@@ -1,90 +1,140 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman over words.
 
-One scan finds, for each document, every run of N words that some benchmark item has, and
-cuts out the document's words around them. The document frequency of each run over the whole
-corpus decides which are rare: a run is a seed of its item if it is no more frequent than one
-of its two neighbours, so any five words copied in order hold a seed, whatever the corpus.
-A document with a seed of an item is aligned to the item: a word that matches scores 1, one
-that differs or is missing or inserted costs 1. It is contaminated if the best local score is
-at least THRESHOLD of the item's length, that is, an exact copy of half an item or a whole one
-with every fifth word changed.
-
-The benchmark's runs are sent to the workers in slices of at most MOST_RUNS; a larger benchmark
-takes one scan for each slice, with the same result.
-
-Defined cases: null ids or texts on either side match nothing; items of fewer than N words are
-ignored; repeated rows of a document or item give one row; an empty table on either side gives
-an empty result; other columns are ignored, and kept by :func:`decontaminate`; texts are whole.
+One scan counts, for each run of N words of a benchmark item, the documents that have it. Of each BLOCK
+runs in a row of an item, the rarest that the corpus has at all is a seed, so that common phrases never are where
+there is another, and any 2 * BLOCK + N - 2 words copied in order hold a seed. A second scan finds the seeds, cuts out the
+words around them and aligns those to the item: a word that matches scores 1, one
+that differs or is missing or inserted costs 1. A document is contaminated if the best local score
+reaches THRESHOLD of the item's length, but LEAST words at least, or ENOUGH words: an exact copy of a
+quarter of an item, and most of those with three words in ten changed.
+
+The benchmark is taken in slices of at most MOST_RUNS runs; a larger one takes two scans for each slice,
+with the same result.
+
+Defined cases: null ids or texts on either side match nothing; an item of fewer than LEAST words has to be copied whole,
+and one of fewer than N words is a single run, so that a benchmark with an item of one common word taints every
+document that has it (leave such items out of the benchmark); items without a word match nothing; repeated rows of a
+document count for a run's frequency each, repeated rows of a document or item give one row; an empty table on either
+side gives an empty result; ids are numbers or cast to them; other columns are ignored, and kept by :func:`decontaminate`;
+texts are whole, and alignments bounded by cells, not by length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrine.llm.kernel import U64, Words, blocks, text_array
+from vectrine.llm.kernel import U64, Words, blocks, mix, text_array
 from vectrine.llm.shared import keep_rows, materialise, own, prepare
 
-N = 4
-THRESHOLD = 0.5
-#: Runs of benchmark words that are sent to the workers at once, 24 bytes each.
-MOST_RUNS = 4_000_000
+N = 3
+#: Runs in order of which one is a seed.
+BLOCK = 3
+#: A copy scores this share of its item, but LEAST words at least (or the whole item), or ENOUGH words however long the item.
+THRESHOLD, LEAST, ENOUGH = 0.25, 9, 13
+#: Runs of benchmark words that are sent to the workers at once, 40 bytes each.
+MOST_RUNS = 2_000_000
+#: Cells of the alignment that are held at once.
+CELLS = 1 << 19
 RESULT = "doc_id bigint, item_id bigint, score double, first_word int, last_word int"
 _FILTER_BITS = 22
 
 
 class Items:
-    """Benchmark items of one slice: sorted run hashes with their item and place, and the items' words."""
+    """Benchmark items of one slice: the distinct hashes of their runs, and each run's item and place."""
 
     def __init__(self, ids: list[int], texts: list[str], n: int) -> None:
         w = Words(pa.array(texts, pa.string()))
-        self.ids, self.words = ids, [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
-        gram, at = w.ngrams(n)
-        item = np.searchsorted(w.first, at, "right") - 1
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order], item[order], (at - w.first[item])[order]
+        self.ids, self.words, self.n = ids, [w.hash[a:b] for a, b in zip(w.first, w.first[1:])], n
+        self.length = np.diff(w.first)
+        runs = []
+        for size in range(1, n + 1):  # a shorter item is one run, all of it
+            gram, at = w.ngrams(size)
+            item = np.searchsorted(w.first, at, "right") - 1
+            ok = (self.length[item] >= n) if size == n else self.length[item] == size
+            runs.append((gram[ok], item[ok], (at - w.first[item])[ok], np.full(int(ok.sum()), size)))
+        gram, self.item, self.place, size = (np.concatenate(x) for x in zip(*runs))
+        self.sizes = np.unique(size).tolist()
+        self.gram, self.run = np.unique(gram, return_inverse=True)
+
+    def seeds(self, docs: np.ndarray, block: int) -> "Seeds":
+        """Of each ``block`` runs in order of an item the rarest that ``docs`` (by run) has at all; counts within a
+        factor of eight are alike, so that the runs which edited copies lack aren't preferred, and go by hash."""
+        n = docs[self.run]
+        rank = np.floor(np.log2(np.maximum(n, 1)) / 3)
+        order = np.lexsort((mix(self.gram)[self.run], rank, self.place // block, self.item))
+        order = order[n[order] > 0]
+        group = np.stack([self.item[order], self.place[order] // block])
+        first = np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0))[: len(order)]
+        return Seeds(self, order[first])
+
+
+class Lookup:
+    """Sorted hashes behind a filter of their low bits."""
+
+    def __init__(self, gram: np.ndarray) -> None:
+        self.gram = gram
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.gram & U64((1 << _FILTER_BITS) - 1)] = True
-
-    def hits(self, w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the word where a run begins, index of the run here), for each match."""
-        gram, at = w.ngrams(n)
-        some = np.flatnonzero(self.filter[gram & U64((1 << _FILTER_BITS) - 1)])
-        gram, at = gram[some], at[some]
-        lo, hi = np.searchsorted(self.gram, gram), np.searchsorted(self.gram, gram, "right")
-        many = hi - lo
+        self.filter[gram & U64((1 << _FILTER_BITS) - 1)] = True
+
+    def __call__(self, w: Words, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the word where a run begins, the run's first place among the sorted) of each that is there."""
+        out = []
+        for size in sizes:
+            gram, at = w.ngrams(size)
+            some = np.flatnonzero(self.filter[gram & U64((1 << _FILTER_BITS) - 1)])
+            at, lo = at[some], np.searchsorted(self.gram, gram[some])
+            there = np.flatnonzero(self.gram[np.minimum(lo, len(self.gram) - 1)] == gram[some]) if len(self.gram) else []
+            out.append((at[there], lo[there]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+class Seeds(Lookup):
+    """What the aligning scan is sent: the seeds' hashes with their item and place, and the items' words."""
+
+    def __init__(self, items: Items, chosen: np.ndarray) -> None:
+        order = chosen[np.argsort(items.gram[items.run[chosen]], kind="stable")]
+        super().__init__(items.gram[items.run[order]])
+        self.item, self.place = items.item[order], items.place[order]
+        self.ids, self.words, self.length, self.sizes = items.ids, items.words, items.length, items.sizes
+
+    def windows(self, w: Words):
+        """(text, item, first word in the text, words) around each cluster of seeds."""
+        at, lo = self(w, self.sizes)
+        many = np.searchsorted(self.gram, self.gram[lo], "right") - lo
         run = np.repeat(lo, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(at, many), run
-
-
-def windows(items: Items, w: Words, n: int):
-    """(text, item, first word in the text, words, hashes of the runs) around each cluster of matches."""
-    at, run = items.hits(w, n)
-    if not len(at):
-        return
-    text = np.searchsorted(w.first, at, "right") - 1
-    item, begin = items.item[run], at - items.place[run]
-    order = np.lexsort((begin, item, text))
-    text, item, begin, run = text[order], item[order], begin[order], run[order]
-    length = np.array([len(x) for x in items.words])
-    new = np.ones(len(at), bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > length[item[1:]])
-    cuts = np.append(np.flatnonzero(new), len(at))
-    for a, b in zip(cuts, cuts[1:]):
-        t, i = int(text[a]), int(item[a])
-        slack = int(length[i]) // 2
-        lo, hi = max(int(begin[a]) - slack, w.first[t]), min(int(begin[b - 1]) + int(length[i]) + slack, w.first[t + 1])
-        yield t, i, int(lo - w.first[t]), w.hash[lo:hi], np.unique(items.gram[run[a:b]])
+        at = np.repeat(at, many)
+        text = np.searchsorted(w.first, at, "right") - 1
+        item, begin = self.item[run], at - self.place[run]
+        order = np.lexsort((begin, item, text))
+        text, item, begin = text[order], item[order], begin[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > self.length[item[1:]])
+        cuts = np.append(np.flatnonzero(new), len(at))
+        for a, b in zip(cuts, cuts[1:]):
+            t, i = int(text[a]), int(item[a])
+            slack = int(self.length[i]) // 2
+            lo, hi = max(int(begin[a]) - slack, w.first[t]), min(int(begin[b - 1]) + int(self.length[i]) + slack, w.first[t + 1])
+            yield t, i, int(lo - w.first[t]), w.hash[lo:hi]
+
+
+def needed(length: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Least score by item length."""
+    return np.minimum(ENOUGH, np.maximum(threshold * length, np.minimum(length, LEAST)))
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
     """Smith-Waterman of (document words, item words) pairs at once: (score, first, last document word)."""
     out = [(0, 0, 0)] * len(pairs)
     order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][0]))
-    for at in range(0, len(order), 128):
-        part = order[at : at + 128]
+    at = 0
+    while at < len(order):
+        part = [order[at]]
+        while at + len(part) < len(order) and (len(part) + 1) * len(pairs[order[at + len(part)]][0]) <= CELLS:
+            part.append(order[at + len(part)])
+        at += len(part)
         m, n = max(len(pairs[k][0]) for k in part), max(len(pairs[k][1]) for k in part)
         if not m or not n:
             continue
@@ -116,68 +166,67 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, in
 
 
 def _slices(bench: DataFrame, n: int, most_runs: int):
-    words = F.size(F.split("text", r"\s+")).cast("bigint")
-    total = bench.agg(F.sum(words)).first()[0] or 0
-    many = -(-int(total) // most_runs)
+    words = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).cast("bigint")
+    many = -(-int(bench.agg(F.sum(words)).first()[0] or 0) // most_runs)
     for k in range(many):
         rows = bench.filter(F.pmod(F.xxhash64("id"), F.lit(many)) == k).orderBy("id", "text").collect()
         yield Items([r.id for r in rows], [r.text for r in rows], n)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, most_runs: int = MOST_RUNS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """RESULT: each document and item whose best alignment scores ``threshold`` of the item or more."""
+    """RESULT: each document and item whose best alignment scores what :func:`needed` says or more."""
     spark = prepare(docs.sparkSession)
     rows = own(docs, id=id_col, text=text_col).filter("id is not null and text is not null").select(F.col("id").cast("bigint"), "text")
     bench = own(benchmark, id=item_col, text=item_text_col).filter("id is not null and text is not null").select(F.col("id").cast("bigint"), "text").distinct()
     out = spark.createDataFrame([], RESULT)
     for items in _slices(bench, n, most_runs):
-        out = out.union(_one_slice(spark, rows, items, threshold, n))
+        if len(items.gram):
+            out = out.union(aligned(rows, items.seeds(document_frequency(rows, items), BLOCK), threshold))
     best = F.max(F.struct("score", (-F.col("first_word")).alias("first"), "last_word")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", (-F.col("b.first")).alias("first_word"), "b.last_word")
 
 
-def _one_slice(spark, rows: DataFrame, items: Items, threshold: float, n: int) -> DataFrame:
-    if not len(items.gram):
-        return spark.createDataFrame([], RESULT)
-    shared = spark.sparkContext.broadcast(items)
+def document_frequency(rows: DataFrame, items: Items) -> np.ndarray:
+    """Of each run of ``items``: how many of the rows (id, text) have it. Counts are summed a batch at a time."""
+    sizes, shared = items.sizes, rows.sparkSession.sparkContext.broadcast(Lookup(items.gram))
+
+    def count(batches):
+        for batch in batches:
+            text, found = text_array(batch.column(0)), []
+            for i, j in blocks(text):
+                w = Words(text.slice(i, j - i))
+                at, run = shared.value(w, sizes)
+                doc = np.searchsorted(w.first, at, "right").astype(np.int64)
+                found.append(np.unique(doc << 32 | run) & 0xFFFFFFFF)
+            run, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(run.astype(np.int32)), pa.array(n.astype(np.int64))], ["run", "n"])
+
+    got = rows.select("text").mapInArrow(count, "run int, n bigint").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(items.gram), np.int64)
+    out[got.column("run").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def aligned(rows: DataFrame, seeds: Seeds, threshold: float) -> DataFrame:
+    """RESULT of every window around seeds that scores enough."""
+    shared = rows.sparkSession.sparkContext.broadcast(seeds)
 
     def scan(batches):
-        own_items = shared.value
+        own_seeds = shared.value
+        least = needed(own_seeds.length, threshold)
         for batch in batches:
             text = text_array(batch.column(1))
             for i, j in blocks(text):
-                found = list(windows(own_items, Words(text.slice(i, j - i)), n))
-                if found:
-                    doc = batch.column(0).slice(i, j - i).take(pa.array([f[0] for f in found]))
+                found = list(own_seeds.windows(Words(text.slice(i, j - i))))
+                got = align([(f[3], own_seeds.words[f[1]]) for f in found])
+                keep = [(f, g) for f, g in zip(found, got) if g[0] >= least[f[1]]]
+                if keep:
                     yield pa.RecordBatch.from_arrays(
-                        [doc, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3].view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[4].view(np.int64) for f in found], pa.list_(pa.int64()))],
-                        ["doc_id", "item", "begin", "words", "runs"],
+                        [batch.column(0).take(pa.array([i + f[0] for f, _ in keep])), pa.array([own_seeds.ids[f[1]] for f, _ in keep], pa.int64()), pa.array([g[0] / len(own_seeds.words[f[1]]) for f, g in keep]), pa.array([f[2] + g[1] for f, g in keep], pa.int32()), pa.array([f[2] + g[2] for f, g in keep], pa.int32())],
+                        ["doc_id", "item_id", "score", "first_word", "last_word"],
                     )
 
-    near = materialise(rows.mapInArrow(scan, "doc_id bigint, item int, begin int, words array<bigint>, runs array<bigint>"), "contamination")
-    often = near.select("doc_id", F.explode("runs").alias("run")).distinct().groupBy("run").agg(F.count("*").alias("docs"))
-    runs = spark.createDataFrame(
-        pa.table({"item": pa.array(items.item, pa.int32()), "place": pa.array(items.place, pa.int32()), "run": pa.array(items.gram.view(np.int64))})
-    ).join(often, "run")
-    line = Window.partitionBy("item").orderBy("place")
-    beside = [F.when(f("place").over(line) == F.col("place") + d, f("docs").over(line)) for f, d in ((F.lag, -1), (F.lead, 1))]
-    rare = runs.select("item", "run", "docs", F.coalesce(F.greatest(*beside), "docs").alias("next")).filter("docs <= next")
-    seeds = rare.groupBy("item").agg(F.collect_set("run").alias("seeds"))
-    chosen = near.join(seeds, "item").filter(F.arrays_overlap("runs", "seeds")).select("doc_id", "item", "begin", "words")
-
-    def score(batches):
-        own_items = shared.value
-        for batch in batches:
-            item, begin = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            words = [np.array(x, np.int64).view(U64) for x in batch.column(3).to_pylist()]
-            got = align([(d, own_items.words[i]) for d, i in zip(words, item)])
-            keep = [k for k, g in enumerate(got) if g[0] >= threshold * len(own_items.words[item[k]])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array([own_items.ids[item[k]] for k in keep], pa.int64()), pa.array([got[k][0] / len(own_items.words[item[k]]) for k in keep], pa.float64()), pa.array([begin[k] + got[k][1] for k in keep], pa.int32()), pa.array([begin[k] + got[k][2] for k in keep], pa.int32())],
-                ["doc_id", "item_id", "score", "first_word", "last_word"],
-            )
-
-    return chosen.mapInArrow(score, RESULT)
+    return rows.mapInArrow(scan, RESULT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
