@@ -101,29 +101,50 @@ def test_bucket_edges_connect_what_brute_force_connects():
     assert len(edges) < len(want)
 
 
-def test_golay_recall_against_brute_force():
-    """Near copies with up to a tenth of their words changed: recall of pairs within the radius."""
-    rng = np.random.default_rng(5)
-    vocabulary = [f"w{i}" for i in range(5000)]
-    docs = []
-    for _ in range(60):
-        words = rng.choice(vocabulary, 150)
-        docs.append(" ".join(words))
-        for _ in range(4):
-            copy = words.copy()
-            change = rng.random(150) < rng.uniform(0, 0.1)
-            copy[change] = rng.choice(vocabulary, change.sum())
-            docs.append(" ".join(copy))
-    bits = simhash_bits(Words(pa.array(docs)), golay_dedup.SALTS)[:, : golay_dedup.BITS]
-    f = bits.reshape(len(docs), 4, 46).astype(np.int64) @ (np.int64(1) << np.arange(46))
+def random_bits(rng, n: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+    """n fingerprints, and copies with e random bits changed."""
+    f = rng.integers(0, 1 << 46, (n, 4))
+    change = np.zeros((n, 184), np.int64)
+    np.put_along_axis(change, np.argsort(rng.random((n, 184)), axis=1)[:, :e], 1, axis=1)
+    return f, f ^ change.reshape(n, 4, 46) @ (np.int64(1) << np.arange(46))
+
+
+@pytest.mark.parametrize("errors,least", [(3, 1.0), (8, 1.0), (12, 1.0), (17, 1.0), (20, 0.99), (24, 0.98), (28, 0.96), (30, 0.93), (32, 0.9)])
+def test_golay_recall_by_distance(errors, least):
+    """All pairs up to SURE, by the pigeonhole, and nine in ten at every distance up to RADIUS; large buckets or small."""
+    n = 1500
+    f, g = random_bits(np.random.default_rng(errors), n, errors)
+    both = np.concatenate([f, g])
+    zeros = np.zeros((2 * n, 1), np.int64)
+    row, half = golay_dedup.half_keys(both)
+    edges = golay_dedup.group_edges(half, row, np.hstack([both, zeros])[row])
+    found = {(int(u), int(v)) for u, v in edges}
+    assert sum((i, i + n) in found for i in range(n)) >= least * n
+    near = golay_dedup.close(f, g, golay_dedup.RADIUS)
+    assert {i for i in range(n) if (i, i + n) in found} == set(np.flatnonzero(near))
+
+
+def test_large_buckets_find_what_small_ones_do(monkeypatch):
+    rng = np.random.default_rng(6)
+    parts = [random_bits(rng, 300, e) for e in (5, 15, 25, 32)]
+    f = np.concatenate([x for p in parts for x in p])
+    f[:, 0] &= ~np.int64((1 << 46) - 1) | 3  # two segments that nearly all share
+    f = np.hstack([f, np.zeros((len(f), 1), np.int64)])
     row, half = golay_dedup.half_keys(f)
-    r, whole = golay_dedup.whole_keys(half, f[row])
-    keys = [set() for _ in docs]
-    for d, k in zip(row[r], whole):
-        keys[d].add(int(k))
-    near = [(i, j) for i in range(len(docs)) for j in range(i) if (bits[i] != bits[j]).sum() <= golay_dedup.RADIUS]
-    assert len(near) > 300
-    assert sum(bool(keys[i] & keys[j]) for i, j in near) / len(near) >= 0.9
+    groups = []
+    for large in (1, 64, 1 << 40):
+        monkeypatch.setattr(golay_dedup, "LARGE", large)
+        root = list(range(len(f)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for u, v in golay_dedup.group_edges(half, row, f[row]):
+            root[max(find(u), find(v))] = min(find(u), find(v))
+        groups.append([find(i) for i in range(len(f))])
+    assert groups[0] == groups[1] == groups[2] and len(set(groups[0])) < len(f)
 
 
 def scalar_jump(key: int, n: int) -> int:

@@ -3,29 +3,33 @@
 1. Fingerprint: distinct words vote on 184 bits = 8 segments of 23 bits, held as four longs of
    two segments. Distinct pairs of neighbouring words vote on 64 bits more, for verification only:
    long texts of one language use the same words, but not in the same order.
-2. Texts of one fingerprint collapse to the least id.
+2. Texts of one fingerprint collapse to the least id, which alone goes on.
 3. Each segment is decoded to the Golay codeword indices within reach of its one-bit ball: one
-   or six indices of 12 bits. Two segments that differ in at most 2 bits share one surely, and
-   with 3 bits often. Keys combine the indices of two segments (24 bits) so that buckets stay
-   small when the corpus grows; PAIRINGS lists the segment pairs. A fingerprint is sent once for
-   each index of a pair's first segment, and the second is decoded where it arrives. Pigeonhole: with e errors
-   over the 8 segments, at most floor(e / 3) segments have more than 2.
-4. Each bucket verifies its members by both full distances. Members are taken breadth first
+   or six indices of 12 bits. Two segments that differ in at most 2 bits share one surely, with 3 or 4 bits in
+   three cases of five. Candidates are the pairs that share an index in three segments at least (36 bits).
+   Pigeonhole: with e errors over the 8 segments, at most floor(e / 3) have more than 2, so up to SURE = 17 errors
+   three segments share surely; at the RADIUS of 32 they still do in 93 % of cases.
+4. Of three segments two lie in one half (of four), so a fingerprint is sent once for each index of the first
+   segment of a pair in a half (six segments, 32 rows), and the others are decoded where it arrives: the
+   second segment makes buckets, and large buckets are split by the third. Rows come sorted and are worked on
+   a few first indices at a time; the rows of one, a 24,576th of all that are sent, are what a task holds.
+5. Each bucket verifies its members by both full distances. Members are taken breadth first
    and compared only to those not yet reached, which finds the bucket's connected components
    exactly; a bucket of n copies of one another costs n comparisons and n - 1 edges, not n ** 2.
-5. Components of all edges are the groups; the least id of each stays.
+6. Components of all edges are the groups; the least id of each stays.
 
 Defined cases: rows with a null id, and texts without a letter or digit (null, empty), are never
-duplicates; rows that repeat an id with an equal fingerprint are one document to the search, and
-:func:`deduplicate` keeps one of them; other columns are ignored by the search and kept by
-:func:`deduplicate`; an empty table gives an empty result; texts are used whole.
+duplicates; rows that repeat an id are one document to the search, all of whose texts' groups are one, and
+:func:`deduplicate` keeps one of them (the least text, then the least row as JSON); ids are numbers or cast to them;
+other columns are ignored by the search and kept by :func:`deduplicate`; an empty table gives an empty result;
+texts are used whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectrine.llm import golay
@@ -36,7 +40,12 @@ from vectrine.llm.shared import free_name, keep_rows, materialise, own, prepare
 SALTS = (0x51ED270B, 0x2545F491, 0x68E31DA4)
 SEGMENTS, SEGMENT_BITS = 8, 23
 BITS = SEGMENTS * SEGMENT_BITS
-PAIRINGS = ((0, 1), (2, 3), (4, 5), (6, 7))
+#: First segments of the pairs within each half of four.
+FIRST = (0, 1, 2, 4, 5, 6)
+#: Differing bits up to which three segments share an index surely.
+SURE = 17
+#: Rows that are worked on at once (all of one first index at least), and members from which a bucket is split.
+CHUNK, LARGE = 1 << 16, 64
 #: Bits that near duplicates differ in at most, of the 184 of words and the 64 of word pairs.
 RADIUS, ORDER_RADIUS = 32, 24
 PARTS = ("f0", "f1", "f2", "f3", "f4")
@@ -66,32 +75,66 @@ def _segment(f: np.ndarray, s: int) -> np.ndarray:
     return (f[:, s // 2] >> SEGMENT_BITS * (s % 2)) & (1 << SEGMENT_BITS) - 1
 
 
-def half_keys(f: np.ndarray, pairings=PAIRINGS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, pairing and index of its first segment) of every fingerprint; f has the four longs of segments in a row."""
+def _expand(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, codeword index) for every index of each word."""
+    k, n = golay.keys(words)
+    r, i = np.nonzero(np.arange(6) < n[:, None])
+    return r, k[r, i]
+
+
+def half_keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first segment and its index) of every fingerprint; f has the four longs of segments in a row."""
     rows, keys = [], []
-    for p, (a, _) in enumerate(pairings):
-        k, n = golay.keys(_segment(f, a))
-        r, i = np.nonzero(np.arange(6) < n[:, None])
+    for p, a in enumerate(FIRST):
+        r, k = _expand(_segment(f, a))
         rows.append(r)
-        keys.append(p << golay.K | k[r, i])
+        keys.append(p << golay.K | k)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def whole_keys(half: np.ndarray, f: np.ndarray, pairings=PAIRINGS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key with the index of the second segment too) for rows of half keys."""
-    second = np.zeros(len(f), np.int64)
-    for p, (_, b) in enumerate(pairings):
-        here = half >> golay.K == p
-        second[here] = _segment(f[here], b)
-    k, n = golay.keys(second)
-    r, i = np.nonzero(np.arange(6) < n[:, None])
-    return r, half[r] << golay.K | k[r, i]
+def whole_keys(half: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key with a second segment of the half and its index too) for rows of half keys."""
+    rows, keys = [], []
+    for p, a in enumerate(FIRST):
+        here = np.flatnonzero(half >> golay.K == p)
+        for b in range(a + 1, 4 * (a // 4 + 1)):
+            r, k = _expand(_segment(f[here], b))
+            rows.append(here[r])
+            keys.append((half[here[r]] << 3 | b) << golay.K | k)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def third_keys(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) for rows of whole keys, by every segment that is in none of the two."""
+    number = np.unique(key, return_inverse=True)[1]
+    first, second = np.array(FIRST)[key >> 2 * golay.K + 3], key >> golay.K & 7
+    rows, keys = [], []
+    for c in range(SEGMENTS):
+        here = np.flatnonzero((first != c) & (second != c))
+        r, k = _expand(_segment(f[here], c))
+        rows.append(here[r])
+        keys.append((number[here[r]] << 3 | c) << golay.K | k)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def shared(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """In how many segments fingerprints (rows) share an index."""
+    out = np.zeros(len(f), np.int64)
+    for s in range(SEGMENTS):
+        (a, n), (b, m) = golay.keys(_segment(f, s)), golay.keys(_segment(g, s))
+        a, b = np.where(np.arange(6) < n[:, None], a, -1), np.where(np.arange(6) < m[:, None], b, -2)
+        out += (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
+    return out
 
 
 def close(f: np.ndarray, g: np.ndarray, radius: int, order_radius: int = ORDER_RADIUS) -> np.ndarray:
-    """Whether fingerprints (rows of the four longs and, if so, that of word pairs) are near duplicates."""
+    """Whether fingerprints (rows of the four longs and, if so, that of word pairs) are candidates and near duplicates."""
     bits = np.bitwise_count((f ^ g).view(np.uint64))  # of signed numbers it counts the absolute value
-    return (bits[:, :4].sum(axis=1, dtype=np.int32) <= radius) & (bits[:, 4:] <= order_radius).all(axis=1)
+    distance = bits[:, :4].sum(axis=1, dtype=np.int32)
+    near = (distance <= radius) & (bits[:, 4:] <= order_radius).all(axis=1)
+    unsure = np.flatnonzero(near & (distance > SURE))
+    near[unsure] = shared(f[unsure], g[unsure]) >= 3
+    return near
 
 
 def bucket_edges(key: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int, order_radius: int = ORDER_RADIUS) -> np.ndarray:
@@ -132,52 +175,76 @@ def bucket_edges(key: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int, o
     return np.unique(np.sort(e[e[:, 0] != e[:, 1]], axis=1), axis=0)
 
 
-def candidate_edges(fps: DataFrame, radius: int = RADIUS, pairings=PAIRINGS) -> DataFrame:
-    """(u, v) edges between ids of distinct fingerprints, of which the least id stands for all."""
+def group_edges(half: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Edges (u, v) within the buckets of whole half keys."""
+    row, key = whole_keys(half, f)
+    _, bucket, size = np.unique(key, return_inverse=True, return_counts=True)
+    large = size[bucket] > LARGE
+    small = ~large & (size[bucket] > 1)
+    found = [bucket_edges(key[small], ids[row[small]], f[row[small]], radius)]
+    if large.any():
+        row, key = row[large], key[large]
+        r, sub = third_keys(key, f[row])
+        found.append(bucket_edges(sub, ids[row[r]], f[row[r]], radius))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def candidate_edges(one: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v) edges between ``one`` (id, f0, ..., f4), rows of distinct fingerprints."""
 
     def keyed(batches):
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
                 f = np.stack([part.column(1 + k).to_numpy() for k in range(len(PARTS))], axis=1)
-                rows, keys = half_keys(f, pairings)
+                rows, keys = half_keys(f)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *[part.column(c).take(take) for c in range(1 + len(PARTS))]], ["half", "id", *PARTS])
 
+    def edges(m: np.ndarray) -> pa.RecordBatch:
+        e = group_edges(m[:, 0], m[:, 1], np.ascontiguousarray(m[:, 2:]), radius)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["u", "v"])
+
     def verified(batches):
-        all_ = [np.stack([c.to_numpy() for c in b.columns], axis=1) for b in batches if len(b)]
-        if all_:
-            m = np.concatenate(all_)
-            del all_
-            f = np.ascontiguousarray(m[:, 2:])
-            row, key = whole_keys(m[:, 0], f, pairings)
-            e = bucket_edges(key, m[row, 1], f[row], radius)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["u", "v"])
-
-    spark = fps.sparkSession
-    one = fps.groupBy(*PARTS).agg(F.min("doc_id").alias("id")).select("id", *PARTS)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = one.mapInArrow(keyed, f"half bigint, id bigint, {FP}").repartition(n, "half")
-    return buckets.mapInArrow(verified, "u bigint, v bigint")
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, pairings=PAIRINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        held, n, enough = [], 0, CHUNK
+        for b in batches:
+            held.append(np.stack([c.to_numpy() for c in b.columns], axis=1))
+            n += len(b)
+            if n >= enough:  # all but the last half key are whole
+                m = np.concatenate(held)
+                cut = int(np.searchsorted(m[:, 0], m[-1, 0]))
+                if cut:
+                    yield edges(m[:cut])
+                held, n = [m[cut:]], len(m) - cut
+                enough = max(CHUNK, 2 * n)
+        if n:
+            yield edges(np.concatenate(held))
+
+    rows = one.mapInArrow(keyed, f"half bigint, id bigint, {FP}").repartition("half").sortWithinPartitions("half")
+    return rows.mapInArrow(verified, "u bigint, v bigint").distinct()
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id): every document that goes, with the one of its group that stays."""
     fps = materialise(golay_fingerprints(docs, id_col, text_col), "golay")
-    least = Window.partitionBy(*PARTS)
-    same = fps.select(F.min("doc_id").over(least).alias("u"), F.col("doc_id").alias("v")).filter("u != v").distinct()
-    edges = candidate_edges(fps, radius, pairings).distinct().union(same)
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+    one = materialise(fps.groupBy(*PARTS).agg(F.min("doc_id").alias("id")).select("id", *PARTS), "golay-one")
+    # Copies of a text are a star around the least of them, which alone is searched for.
+    stands = materialise(fps.join(one, list(PARTS)).select("doc_id", F.col("id").alias("stand")), "golay-stands")
+    several = stands.groupBy("doc_id").agg(F.min("stand").alias("u"), F.max("stand").alias("w")).filter("u != w").select("doc_id", "u")
+    edges = candidate_edges(one, radius).union(stands.join(several, "doc_id").select("u", F.col("stand").alias("v")))
+    found = stands.join(components(edges), F.col("stand") == F.col("node"), "left").select("doc_id", F.coalesce("root", "stand").alias("keep_id"))
+    return found.filter("doc_id != keep_id").distinct()
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, pairings=PAIRINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group; of rows that repeat an id one stays."""
-    gone = materialise(near_duplicates(docs, radius, pairings, id_col, text_col), "golay-gone")
-    key, n = free_name(docs, "__twice"), free_name(docs, "__row")
+    gone = materialise(near_duplicates(docs, radius, id_col, text_col), "golay-gone")
+    key = free_name(docs, "__twice")
     twice = materialise(docs.select(F.col(f"`{id_col}`").alias(key)).filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key), "golay-twice")
     kept = keep_rows(docs, gone.select("doc_id"), id_col)
     if twice.isEmpty():
         return kept
-    once = keep_rows(kept, twice, id_col)
-    first = kept.join(twice, kept[f"`{id_col}`"] == twice[key], "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(f"`{text_col}`"))).filter(F.col(n) == 1).drop(n)
-    return once.unionByName(first)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = kept.join(twice, kept[f"`{id_col}`"] == twice[key], "left_semi")
+    first = again.groupBy(F.col(f"`{id_col}`").alias(key)).agg(F.min_by(row, F.struct(F.col(f"`{text_col}`").alias("text"), F.to_json(row).alias("row"))).alias("row"))
+    return keep_rows(kept, twice, id_col).unionByName(first.select("row.*"))
