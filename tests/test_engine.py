@@ -14,7 +14,7 @@ from vectrine import queries
 from vectrine.functions.distance import knn
 from vectrine.operators import indexes, mutations
 from vectrine.operators.chunking import ChunkOptions, chunk_sections, count_tokens
-from vectrine.operators.collection import Catalog, by_ids, page
+from vectrine.operators.collection import Catalog, by_ids, page, signature
 from vectrine.operators.embedding import embed_text
 from vectrine.operators.fusion import recall_at
 from vectrine.operators.search import SearchRequest
@@ -62,6 +62,85 @@ def test_atomic_batch_is_all_or_nothing(spark, catalog):
         c.mutate(batch(spark, ("delete", "a"), ("delete", "a")), maximum=1)
 
 
+def test_one_bad_row_fails_alone(spark, catalog):
+    c = catalog.create("docs", 2)
+    rows = (("upsert", "x", "bad", [1.0]), ("update", "x", "early"), ("upsert", "x", "good", [1.0, 0.0]), ("upsert", None, "no id", [1.0, 0.0]), ("upsert", "big", "w " * 100_001, [1.0, 0.0]), ("update", "x", "late"), ("upsert", " ", "blank", [1.0, 0.0]), ("delete", None))
+    r = c.mutate(batch(spark, *rows), atomic=False)
+    codes = ["dimension_mismatch", "document_not_found", None, "invalid_document_id", "text_too_large", None, "invalid_document_id", "invalid_document_id"]
+    assert [x.error_code for x in r.orderBy("seq").collect()] == codes and state(c) == {"x": ("late", 2)}
+    r = c.mutate(batch(spark, ("upsert", "y", "bad", [1.0]), ("upsert", None, "bad", None)), atomic=False)
+    assert [x.error_code for x in r.orderBy("seq").collect()] == ["dimension_mismatch", "invalid_document_id"]
+    r = c.mutate(batch(spark, ("upsert", "y", "good", [1.0, 0.0]), ("upsert", None, "bad", None), ("upsert", "z", "bad", [1.0])))
+    assert {(x.succeeded, x.error_code, x.version) for x in r.collect()} == {(False, "invalid_document_id", None)} and state(c) == {"x": ("late", 2)}
+    r = c.mutate(batch(spark, ("upsert", "y", "good", [1.0, 0.0]), ("update", "y", None, [0.0, 1.0])))
+    assert {x.version for x in r.collect()} == {1, 2} and c.get(["y"]).first().vector == [0.0, 1.0] and c.get(["y"]).first().text == "good"
+
+
+def test_storage_fails_closed_and_takes_one_writer(spark, catalog):
+    c = catalog.create("docs", 2)
+    c.mutate(batch(spark, ("upsert", "a", "x", [1.0, 0.0])))
+    other = catalog.get("docs")
+    c.manifest(), other.manifest()
+    rows = c.documents().withColumn("op", F.lit("upsert"))
+    seen = other.manifest
+    other.manifest = lambda stale=False, m=other.manifest(): m
+    c.append(rows.withColumn("version", F.lit(2).cast("bigint")))
+    with pytest.raises(DomainError, match="concurrent_write"):
+        other.append(rows)
+    other.manifest = seen
+    assert state(other) == {"a": ("x", 2)} and c.verify()
+    stale = SearchRequest(mode="metadata", include=("text",), consistency="stale")
+    assert other.search(stale).count() == 1
+    c.mutate(batch(spark, ("delete", "a")))
+    assert other.search(stale).count() == 1 and other.search(SearchRequest(mode="metadata")).count() == 0
+    number, m = c.store.latest(f"{c.folder}/manifests")
+    c.store.put_if_absent(f"{c.folder}/manifests/{number:012d}.json", b'{"seal": "half')  # a writer that died
+    assert c.store.latest(f"{c.folder}/manifests") == (number + 1, m) and c.count() == 0
+    c.mutate(batch(spark, ("upsert", "b", "y", [1.0, 0.0])))
+    assert state(c) == {"b": ("y", 1)} and c.verify()
+    segment = c.manifest()["segments"][-1]["name"]
+    rows.write.mode("overwrite").parquet(c.store.at(f"{c.folder}/log/{segment}/"))
+    assert not c.verify()
+    c.store.delete(f"{c.folder}/manifests")
+    with pytest.raises(DomainError, match="manifest_missing"):
+        c.count()
+
+
+def test_backups_address_content(spark, catalog):
+    c = catalog.create("docs", 2)
+    c.mutate(batch(spark, ("upsert", "a", "x", [1.0, 0.0])))
+    one = catalog.backup()
+    assert catalog.verify(one)
+    blob = catalog._backup(one)["collections"][0]["blob"]
+    changed = catalog._blob(blob).withColumn("text", F.lit("another")).cache()
+    changed.count()
+    changed.write.mode("overwrite").parquet(catalog.store.at(f"backups/blobs/{blob}"))
+    assert not catalog.verify(one)
+    with pytest.raises(DomainError, match="backup_corrupted"):
+        catalog.restore(one)
+
+
+def test_documents_do_not_sort_the_snapshot(spark, catalog):
+    c = catalog.create("docs", 2)
+    c.mutate(batch(spark, ("upsert", "a", "x", [1.0, 0.0]), ("upsert", "b", "x", [1.0, 0.0])))
+    c.compact()
+    c.mutate(batch(spark, ("upsert", "a", "y", [1.0, 0.0]), ("delete", "b")))
+    plan = c.documents()._jdf.queryExecution().executedPlan().toString()
+    snapshot = plan.split("Union")[1].split("Window")[0]
+    assert state(c) == {"a": ("y", 2)} and "SortMergeJoin" not in snapshot and "BroadcastHashJoin" in plan
+
+
+def test_signature_is_of_ids_and_versions_whatever_the_order(spark):
+    rows = [(f"id{i}", i % 3) for i in range(50)]
+    import hashlib
+
+    frame = lambda r: spark.createDataFrame(r, "id string, version bigint")
+    h = sorted(hashlib.sha256(f"{i}\0{v}".encode()).hexdigest() for i, v in rows)
+    assert signature(frame(rows)).first().signature == signature(frame(rows[::-1])).first().signature == hashlib.sha256("".join(h).encode()).hexdigest()
+    parts = sorted(p + hashlib.sha256("".join(x for x in h if x[0] == p).encode()).hexdigest() for p in {x[0] for x in h})
+    assert signature(frame(rows), digits=1).first().signature == hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
 def test_catalog_backup_and_restore(spark, catalog):
     c = catalog.create("docs", 2)
     c.mutate(batch(spark, ("add", "a", "database", [1.0, 0.0]), ("add", "b", "search", [0.0, 1.0])))

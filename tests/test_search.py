@@ -82,14 +82,64 @@ def test_bm25(spark, tmp_path):
     assert (stats.documents, stats.terms, stats.frequency) == (4, 11, {"distributed": 2, "database": 1})
     assert sharding.gathered_statistics(docs, "distributed database") == stats
     index = bm25.PostingsIndex.build(docs, str(tmp_path / "p"))
-    assert {r.id: r.score for r in index.search(spark, "distributed database", 10).collect()} == want
+    assert {r.id: r.score for r in index.search("distributed database", 10).collect()} == want
     assert [r.id for r in bm25.search(docs, "distributed database", 10, F.col("id") == "c").collect()] == ["c"]
     assert bm25.search(docs, "...", 10).collect() == [] and bm25.search(docs, "nothing", 10).collect() == []
 
 
 def test_term_limit(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "one two three"), ("b", "one two")], "id string, text string")
+    docs = spark.createDataFrame([("a", "one two three"), ("b", "one two"), ("c", None)], "id string, text string")
     assert [r.id for r in bm25.too_long(docs, 2).collect()] == ["a"]
+    index = bm25.PostingsIndex.build(docs, str(tmp_path / "p"))
+    with pytest.raises(DomainError, match="text_too_large"):
+        index.apply(spark.createDataFrame([("a", "w " * 100_001)], "id string, text string"))
+    assert (index.documents, index.terms) == (3, 5) and [r.id for r in index.search("three", 5).collect()] == ["a"]
+
+
+def test_tokens_of_batches_are_those_of_the_column(spark):
+    texts = ["The CAT, 12 cats. the", "", None, "naïve İstanbul ΣΑΣ ²x Ⅷ 日本語", "a_b-c d'e", "x" * 5000 + " y", "\U00030000 ok\n\nok"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {r.id: list(r.t or []) for r in df.select("id", tx.tokenize(F.col("text")).alias("t")).collect()}
+    import pyarrow as pa
+
+    for size in (1, 10, 1 << 20):
+        got = {}
+        for b in tx.token_blocks(pa.array(texts), size):
+            for k in range(b.texts):
+                got[b.first + k] = [b.lower[x:y] for x, y in zip(b.start[b.at[k] : b.at[k + 1]], b.end[b.at[k] : b.at[k + 1]])]
+        assert got == want
+    length, counts = tx.term_counts(pa.array(texts), ["the", "x", "ok", "none"])
+    assert length.tolist() == [len(want[i]) for i in range(7)] and counts.tolist() == [[want[i].count(t) for t in ("the", "x", "ok", "none")] for i in range(7)]
+    each = {(r.id, r.term): (r.tf, r.length) for r in bm25.postings(df).collect()}
+    assert each == {(i, t): (ts.count(t), len(ts)) for i, ts in want.items() for t in ts}
+
+
+def test_postings_are_kept_up_to_date(spark, tmp_path):
+    """After every change, what a scan of the documents as they then are gives; before and after compaction."""
+    rng = __import__("random").Random(3)
+    now = {f"d{i:02}": " ".join(rng.choices("ab cd ef gh ij".split(), k=rng.randint(0, 9))) for i in range(40)}
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), "id string, text string")
+    index = bm25.PostingsIndex.build(frame(now), str(tmp_path / "p"))
+    for turn in range(4):
+        gone, changed = rng.sample(sorted(now), 3), {f"d{rng.randint(0, 50):02}": "cd zz " * rng.randint(1, 3) for _ in range(5)}
+        gone = [g for g in gone if g not in changed]
+        index.apply(frame(changed), spark.createDataFrame([(g,) for g in gone], "id string"))
+        now = {k: v for k, v in (now | changed).items() if k not in gone}
+        if turn == 2:
+            index.compact()
+        want = [(r.id, round(r.score, 9)) for r in bm25.search(frame(now), "cd zz ef", 50).collect()]
+        assert [(r.id, round(r.score, 9)) for r in index.search("cd zz ef", 50).collect()] == want
+        assert (index.documents, index.terms) == (len(now), sum(len(v.split()) for v in now.values()))
+    some = spark.createDataFrame([(k,) for k in sorted(now)[:9]], "id string")
+    full = {r.id: r.score for r in index.search("cd zz ef", 50).collect()}
+    assert {r.id: r.score for r in index.search("cd zz ef", 50, candidates=some).collect()} == {k: pytest.approx(v) for k, v in full.items() if k in sorted(now)[:9]}
+
+
+def test_scan_reads_a_text_once(spark):
+    docs = spark.createDataFrame(CORPUS, "id string, text string")
+    stats = bm25.statistics(docs, "distributed database")
+    plan = bm25.search(docs, "distributed database", 10, stats=stats)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
 
 
 @pytest.fixture(scope="module")

@@ -1,11 +1,17 @@
-"""Text functions as Columns: tokens, normal form, approximate token counts, ids and hashes."""
+"""Text functions as Columns: tokens, normal form, approximate token counts, ids and hashes; and, for scans, tokens of Arrow batches."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import PurePath
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +23,64 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+@lru_cache(None)
+def token_characters() -> np.ndarray:
+    """Whether each code point is a letter or a decimal digit."""
+    out = np.zeros(0x110000, bool)
+    for plane in range(0, len(out), 1 << 16):
+        every = "".join(map(chr, range(plane, plane + (1 << 16))))
+        if re.search(r"[^\W_]", every):  # most planes have nothing assigned
+            out[plane : plane + (1 << 16)] = [k[0] == "L" or k == "Nd" for k in map(unicodedata.category, every)]
+    return out
+
+
+@dataclass
+class Tokens:
+    """Tokens of the texts ``first`` to ``first + texts``: their places in ``lower`` (all texts, lower-cased, a line feed
+    between them), and the index of each text's first token and the end."""
+
+    first: int
+    texts: int
+    lower: str
+    points: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    at: np.ndarray
+
+
+def token_blocks(texts: pa.Array, characters: int = 1 << 20) -> Iterator[Tokens]:
+    """:func:`tokenize` of a batch, a block of about so many characters at a time; a null text has no token."""
+    is_token = token_characters()
+    held, size, first = [], 0, 0
+    for i in range(len(texts) + 1):
+        if i < len(texts):
+            held.append((texts[i].as_py() or "").lower())
+            size += len(held[-1])
+        if held and (size >= characters or i >= len(texts) - 1):
+            lower = "\n".join(held) + "\n"
+            points = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+            inside = is_token[points]
+            edge = np.flatnonzero(np.diff(inside, prepend=False).astype(bool))  # the last character is never inside
+            begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in held])])
+            yield Tokens(first, len(held), lower, points, edge[::2], edge[1::2], np.searchsorted(edge[::2], begin))
+            first, held, size = first + len(held), [], 0
+
+
+def term_counts(texts: pa.Array, terms: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of each text, how often each of ``terms`` is one of them)."""
+    length, counts = np.zeros(len(texts), np.int32), np.zeros((len(texts), len(terms)), np.int32)
+    for b in token_blocks(texts):
+        rows = slice(b.first, b.first + b.texts)
+        length[rows] = np.diff(b.at)
+        size = b.end - b.start
+        for j, term in enumerate(terms):
+            some = np.flatnonzero(size == len(term))
+            for k, c in enumerate(term):
+                some = some[b.points[b.start[some] + k] == ord(c)]
+            counts[rows, j] = np.bincount(np.searchsorted(b.at, some, "right") - 1, minlength=b.texts)
+    return length, counts
+
+
 def normalize_text(text: Column) -> Column:
     """LF line ends, single blanks, none before a line end, at most one empty line, trimmed."""
     t = F.regexp_replace(text, r"\r\n?", "\n")

@@ -1,8 +1,8 @@
 """Collections on disk: a catalog, a change log of Parquet segments, snapshots, paging and backups.
 
-A collection is a folder: ``log/`` has a Parquet folder a segment, ``manifest.json`` names the
-segments that count, the snapshot they are folded into, and the live rows. A commit writes its
-data first and renames a new manifest into place last, so readers see all of it or nothing.
+A collection is a folder: ``log/`` has a Parquet folder a segment; numbered manifests name the
+segments that count, with their rows and digests, and the snapshot they are folded into. A commit writes its
+data first and makes the next manifest last, so readers see all of it or nothing, and of two writers one fails.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrine.operators import mutations
+from vectrine.operators import bm25, mutations
 from vectrine.operators.search import SearchRequest, search
+from vectrine.operators.store import Store
 from vectrine.schema import DOCUMENT, check, check_collection_name, invalid_rows
 
 COMPACT_AT = 64
@@ -27,59 +29,6 @@ MAXIMUM_OFFSET = 10_000
 LOG = T.StructType(list(DOCUMENT.fields)).add("op", T.StringType()).add("seq", T.LongType())
 
 
-class Store:
-    """Files of any Hadoop file system."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def at(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(self.at(name)))
-
-    def read(self, name: str) -> bytes | None:
-        if not self.exists(name):
-            return None
-        f = self._fs.open(self._path(self.at(name)))
-        try:
-            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(f))
-        finally:
-            f.close()
-
-    def put(self, name: str, data: bytes) -> None:
-        """Write beside and rename into place."""
-        temp = self.at(f".{uuid.uuid4().hex}")
-        f = self._fs.create(self._path(temp), True)
-        f.write(bytearray(data))
-        f.close()
-        target = self._path(self.at(name))
-        self._fs.mkdirs(target.getParent())
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        check(self._fs.rename(self._path(temp), target), "storage_error", name)
-
-    def put_if_absent(self, name: str, data: bytes) -> bool:
-        if self.exists(name):
-            return False
-        self.put(name, data)
-        return True
-
-    def delete(self, name: str) -> None:
-        self._fs.delete(self._path(self.at(name)), True)
-
-    def move(self, name: str, to: str) -> None:
-        self._fs.mkdirs(self._path(self.at(to)).getParent())
-        check(self._fs.rename(self._path(self.at(name)), self._path(self.at(to))), "storage_error", name)
-
-    def list(self, folder: str = "") -> list[str]:
-        p = self._path(self.at(folder) if folder else self.root)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
-
-
 @dataclass
 class Definition:
     name: str
@@ -90,64 +39,97 @@ class Definition:
     created_at: str = ""
 
 
+EMPTY = {"epoch": 0, "snapshot": None, "segments": [], "sequence": 0, "count": 0}
+
+
 class Collection:
     def __init__(self, store: Store, definition: Definition) -> None:
         self.store, self.spark, self.definition = store, store.spark, definition
-        self.folder = f"collections/{definition.name}"
+        self._number, self._seen = 0, None
+
+    @property
+    def folder(self) -> str:
+        return f"collections/{self.definition.name}"
 
     # the log
 
-    def manifest(self) -> dict:
-        data = self.store.read(f"{self.folder}/manifest.json")
-        return json.loads(data) if data else {"epoch": 0, "snapshot": None, "segments": [], "sequence": 0, "count": 0}
+    def manifest(self, stale: bool = False) -> dict:
+        """The last one. A collection without any is damaged, not empty. A stale read may use the one that this object
+        last saw, and lists no folder."""
+        if stale and self._seen is not None:
+            return self._seen
+        found = self.store.latest(f"{self.folder}/manifests")
+        check(found is not None, "manifest_missing", self.definition.name)
+        self._number, self._seen = found
+        return self._seen
 
     def _commit(self, manifest: dict) -> None:
-        self.store.put(f"{self.folder}/manifest.json", json.dumps(manifest).encode())
+        """Fails if another writer has committed since the manifest was read."""
+        self.store.commit(f"{self.folder}/manifests", self._number, manifest)
+        self._number, self._seen = self._number + 1, manifest
+        self.store.prune(f"{self.folder}/manifests")
+
+    def _write(self, rows: DataFrame, name: str) -> dict:
+        """A segment's entry for the manifest: its name, rows and digest."""
+        path = self.store.at(f"{self.folder}/log/{name}")
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in LOG.fields]).write.parquet(path)
+        return {"name": name, **digest(self.spark.read.schema(LOG).parquet(path))}
+
+    def _read(self, segments: list[dict]) -> DataFrame:
+        paths = [self.store.at(f"{self.folder}/log/{s['name']}") for s in segments if s]
+        return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
 
-    def log(self) -> DataFrame:
+    def verify(self) -> bool:
+        """Whether every segment has the rows that were written."""
         m = self.manifest()
-        paths = [self.store.at(f"{self.folder}/log/{s}") for s in [m["snapshot"], *m["segments"]] if s]
-        return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
+        return all(s == {"name": s["name"], **digest(self._read([s]))} for s in [m["snapshot"], *m["segments"]] if s)
 
-    def documents(self) -> DataFrame:
-        """Live rows. A compacted log needs no window."""
+    def log(self) -> DataFrame:
         m = self.manifest()
-        rows = self.log()
-        return (rows if not m["segments"] else mutations.latest(rows)).select(*DOCUMENT.fieldNames())
+        return self._read([m["snapshot"], *m["segments"]])
+
+    def documents(self, stale: bool = False) -> DataFrame:
+        """Live rows: the snapshot's without the ids of the segments since, and those folded. The snapshot is neither
+        sorted nor shuffled while the segments' ids are few enough for the planner to broadcast."""
+        m = self.manifest(stale)
+        snapshot = self._read([m["snapshot"]] if m["snapshot"] else []).select(*DOCUMENT.fieldNames())
+        if not m["segments"]:
+            return snapshot
+        since = self._read(m["segments"])
+        return snapshot.join(since.select("id").distinct(), "id", "left_anti").unionByName(mutations.latest(since).select(*DOCUMENT.fieldNames()))
 
     def append(self, changes: DataFrame, compact_at: int = COMPACT_AT) -> None:
         """Write one segment of (op, id, text, vector, metadata, version) and name it in the manifest."""
         m = self.manifest()
-        seq, name = m["sequence"] + 1, f"segment-{m['sequence'] + 1:012d}-{uuid.uuid4().hex[:8]}"
+        seq = m["sequence"] + 1
         rows = changes.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("updated_at", F.current_timestamp())
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in LOG.fields]).write.parquet(self.store.at(f"{self.folder}/log/{name}"))
-        m |= {"sequence": seq, "segments": [*m["segments"], name], "epoch": m["epoch"] + 1, "count": None}
+        segment = self._write(rows, f"segment-{seq:012d}-{uuid.uuid4().hex[:8]}")
+        m = m | {"sequence": seq, "segments": [*m["segments"], segment], "epoch": m["epoch"] + 1, "count": None}
         self._commit(m)
         if len(m["segments"]) >= compact_at:
             self.compact()
 
     def compact(self) -> None:
-        """Fold the log into one snapshot; what it replaces is moved to ``archive/``."""
+        """Fold the log into one snapshot. What the snapshot before that replaced is deleted; what this one replaces
+        stays where readers that have begun look for it, until the next time."""
         m = self.manifest()
-        name = f"snapshot-{m['sequence']:012d}-{uuid.uuid4().hex[:8]}"
-        live = mutations.latest(self.log())
-        live.select(*LOG.fieldNames()).write.parquet(self.store.at(f"{self.folder}/log/{name}"))
-        count = self.spark.read.parquet(self.store.at(f"{self.folder}/log/{name}")).count()
-        old = [s for s in [m["snapshot"], *m["segments"]] if s]
-        self._commit(m | {"snapshot": name, "segments": [], "count": count, "epoch": m["epoch"] + 1})
-        for s in old:
-            self.store.move(f"{self.folder}/log/{s}", f"{self.folder}/archive/{s}")
+        live = self.documents().withColumns({"op": F.lit("upsert"), "seq": F.lit(m["sequence"]).cast("bigint")})
+        snapshot = self._write(live, f"snapshot-{m['sequence']:012d}-{uuid.uuid4().hex[:8]}")
+        old = [s["name"] for s in [m["snapshot"], *m["segments"]] if s]
+        self._commit(m | {"snapshot": snapshot, "segments": [], "count": snapshot["rows"], "epoch": m["epoch"] + 1, "replaced": old})
+        for name in m.get("replaced", []):
+            self.store.delete(f"{self.folder}/log/{name}")
 
     def mutate(self, batch: DataFrame, atomic: bool = True, maximum: int | None = mutations.MAXIMUM_BATCH) -> DataFrame:
         """Results (seq, id, succeeded, error_code, version) of a batch (seq, kind, id, text, vector, metadata)."""
-        bad = invalid_rows(batch.filter("kind in ('add', 'upsert') or vector is not null"), self.definition.dimension)
-        results, rows = mutations.fold(self.documents(), batch.join(bad.select("id"), "id", "left_anti"), atomic, maximum)
-        wrong = batch.join(bad, "id").select("seq", "id", F.lit(False).alias("succeeded"), "error_code", F.lit(None).cast("bigint").alias("version"))
-        if atomic and not bad.isEmpty():
-            code = bad.orderBy("id").first().error_code
-            results = batch.select("seq", "id", F.lit(False).alias("succeeded"), F.lit(code).alias("error_code"), F.lit(None).cast("bigint").alias("version"))
-            return self._stored(results)
-        results = self._stored(results.unionByName(wrong))
+        if maximum is not None:
+            mutations.check_size(batch, maximum)
+        kept = batch.filter("kind != 'delete'")
+        needs = kept.withColumn("vector", F.when((F.col("kind") == "update") & F.col("vector").isNull(), F.array_repeat(F.lit(0.0).cast("float"), self.definition.dimension)).otherwise(F.col("vector")))
+        large = bm25.too_long(kept.select("seq", "text")).select("seq", F.lit("text_too_large").alias("error_code"))
+        bad = invalid_rows(needs, self.definition.dimension).select("seq", "error_code").unionByName(large).groupBy("seq").agg(F.min("error_code").alias("error_code"))
+        results, rows = mutations.fold(self.documents(), batch, atomic, None, bad)
+        results = self._stored(results)
         rows = rows.filter("op is not null")
         if not rows.isEmpty():
             self.append(rows)
@@ -173,10 +155,12 @@ class Collection:
         return page(self.documents(), self.definition.name, self.manifest()["epoch"], limit, offset, token)
 
     def search(self, request: SearchRequest) -> DataFrame:
-        return search(self.documents(), request, self.definition.metric, dimension=self.definition.dimension)
+        """Of the last commit; a stale read of what this object last saw."""
+        docs = self.documents(request.consistency == "stale")
+        return search(docs, request, self.definition.metric, dimension=self.definition.dimension)
 
     def signature(self) -> str:
-        return signature(self.documents()).first().signature
+        return (signature(self.documents()).first() or [EMPTY_CONTENT])[0]
 
 
 def by_ids(docs: DataFrame, ids: list[str]) -> DataFrame:
@@ -211,14 +195,31 @@ def page(docs: DataFrame, collection: str, epoch: int, limit: int, offset: int =
     return part.orderBy("id").limit(limit), out
 
 
-def signature(docs: DataFrame) -> DataFrame:
-    """One row (signature): of ids and versions in order, for telling whether derived data is stale.
+def signature(docs: DataFrame, *columns: str, digits: int | None = None) -> DataFrame:
+    """One row (signature): of ids and versions (or ``columns``, for content), for telling whether derived data is stale.
+
+    The SHA-256 of the rows' own SHA-256 in order, by ranges of them: a range has as many leading digits as give about
+    4,096 rows a range (or ``digits``), so that no task ever holds all, and the ranges' hashes are hashed again while they
+    are many."""
+    line = F.concat_ws("\u0000", *[F.coalesce(F.col(c).cast("string") if c != "metadata" else F.to_json(F.array_sort(F.map_entries(c))), F.lit("\u0001")) for c in columns or ("id", "version")])
+    rows = docs.select(F.sha2(line, 256).alias("h"))
+    digits = max(0, math.ceil(math.log(max(docs.count(), 1) / 4096, 16))) if digits is None else digits
+    while True:
+        rows = rows.groupBy(F.substring("h", 1, digits).alias("range")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("x")).select(F.concat("range", "x").alias("h"))
+        if not digits:
+            return rows.select(F.col("h").alias("signature"))
+        digits = max(0, digits - 3)
+
+
+EMPTY_CONTENT = hashlib.sha256(b"").hexdigest()
+CONTENT = ("id", "text", "vector", "metadata", "version")
+
 
-    Ranges of ids are hashed side by side, then the hashes in order; a range has 4,096 leading bits of
-    the id's own hash, so no task ever holds all ids."""
-    leaf = docs.select(F.substring(F.sha2("id", 256), 1, 3).alias("range"), F.concat("id", F.lit("\u0000"), F.col("version").cast("string"), F.lit("\n")).alias("line"))
-    part = leaf.groupBy("range").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("h"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "h"))), lambda x: x["h"]), ""), 256).alias("signature"))
+def digest(rows: DataFrame) -> dict:
+    """How many rows, and a sum of their hashes whatever their order."""
+    line = F.xxhash64(*[F.col(c).cast("string") if c != "metadata" else F.to_json(F.array_sort(F.map_entries(c))) for c in ("op", "seq", *CONTENT)])
+    r = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(line.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")).first()
+    return r.asDict()
 
 
 class Catalog:
@@ -228,18 +229,19 @@ class Catalog:
         self.store = Store(spark, root)
 
     def list(self) -> list[str]:
-        return [n for n in self.store.list("collections") if self.store.exists(f"collections/{n}/definition.json")]
+        return [n for n in self.store.list("collections") if self.store.get(f"collections/{n}/definition.json") is not None]
 
     def create(self, name: str, dimension: int, metric: str = "cosine", index: str = "flat") -> Collection:
         check_collection_name(name)
         check(1 <= dimension <= 65_536, "invalid_dimension")
         check(name not in self.list(), "collection_already_exists", name)
         d = Definition(name, dimension, metric, index, uuid.uuid4().hex, datetime.now(timezone.utc).isoformat())
+        self.store.commit(f"collections/{name}/manifests", 0, EMPTY)
         self.store.put(f"collections/{name}/definition.json", json.dumps(d.__dict__).encode())
         return Collection(self.store, d)
 
     def get(self, name: str) -> Collection:
-        data = self.store.read(f"collections/{name}/definition.json")
+        data = self.store.get(f"collections/{name}/definition.json")
         check(data is not None, "collection_not_found", name)
         return Collection(self.store, Definition(**json.loads(data)))
 
@@ -262,14 +264,15 @@ class Catalog:
     # backups
 
     def backup(self, parent: str | None = None) -> str:
-        """Every collection as a content-addressed snapshot; one that is already there is not written again."""
+        """Every collection's rows under the hash of their content; what is already there is not written again."""
         entries = []
         for name in self.list():
             c = self.get(name)
-            digest = hashlib.sha256((c.signature() or "").encode() + json.dumps(c.definition.__dict__, sort_keys=True).encode()).hexdigest()
-            if not self.store.exists(f"backups/blobs/{digest}/_SUCCESS"):
-                c.documents().sortWithinPartitions("id").write.mode("overwrite").parquet(self.store.at(f"backups/blobs/{digest}"))
-            entries.append({"definition": c.definition.__dict__, "blob": digest, "signature": c.signature()})
+            content = signature(c.documents(), *CONTENT).first()
+            content = content.signature if content else EMPTY_CONTENT
+            if not self.store.exists(f"backups/blobs/{content}/_SUCCESS"):
+                c.documents().sortWithinPartitions("id").write.mode("overwrite").parquet(self.store.at(f"backups/blobs/{content}"))
+            entries.append({"definition": c.definition.__dict__, "blob": content})
         id_ = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:6]}"
         self.store.put_if_absent(f"backups/manifests/{id_}.json", json.dumps({"id": id_, "parent": parent, "collections": entries}).encode())
         return id_
@@ -283,8 +286,9 @@ class Catalog:
         return json.loads(data)
 
     def verify(self, id_: str) -> bool:
-        """Every blob is there and has the signature that the manifest says."""
-        return all(self.store.exists(f"backups/blobs/{e['blob']}/_SUCCESS") and signature(self._blob(e["blob"])).first().signature == e["signature"] for e in self._backup(id_)["collections"])
+        """Every blob is there and its content has the hash that is its name."""
+        held = lambda e: (signature(self._blob(e["blob"]), *CONTENT).first() or [EMPTY_CONTENT])[0]
+        return all(self.store.exists(f"backups/blobs/{e['blob']}/_SUCCESS") and held(e) == e["blob"] for e in self._backup(id_)["collections"])
 
     def _blob(self, digest: str) -> DataFrame:
         return self.store.spark.read.schema(DOCUMENT).parquet(self.store.at(f"backups/blobs/{digest}"))
@@ -301,6 +305,7 @@ class Catalog:
             if d.name in self.list():
                 check(overwrite or collection is None, "collection_already_exists", d.name)
                 self.delete(d.name)
+            self.store.commit(f"collections/{d.name}/manifests", 0, EMPTY)
             self.store.put(f"collections/{d.name}/definition.json", json.dumps(d.__dict__).encode())
             Collection(self.store, d).append(self._blob(e["blob"]).withColumn("op", F.lit("upsert")))
             done.append(d.name)

@@ -19,14 +19,27 @@ OPERATION = T.StructType().add("seq", T.LongType()).add("op", T.StringType()).ad
 MAXIMUM_BATCH = 1000
 
 
-def fold(current: DataFrame, batch: DataFrame, atomic: bool = True, maximum: int | None = None) -> tuple[DataFrame, DataFrame]:
+def check_size(batch: DataFrame, maximum: int = MAXIMUM_BATCH) -> None:
+    n = batch.limit(maximum + 1).count()
+    check(1 <= n <= maximum, "invalid_batch_size", str(n))
+
+
+def fold(current: DataFrame, batch: DataFrame, atomic: bool = True, maximum: int | None = None, invalid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(results by mutation, changed rows): rows to store are (op, id, text, vector, metadata, version).
 
+    A mutation whose ``seq`` is in ``invalid`` (seq, error_code) fails with that code, and it alone; where several
+    fail, the first by ``seq`` is an atomic batch's error. A null id fails as ``invalid_document_id``.
     Only versions and null flags of a row are folded in Python; texts, vectors and metadata stay in
     the JVM, where the last write of each field is taken."""
     if maximum is not None:
-        n = batch.limit(maximum + 1).count()
-        check(1 <= n <= maximum, "invalid_batch_size", str(n))
+        check_size(batch, maximum)
+    whole = batch
+    bad_id = F.when(F.col("id").isNull() | (F.trim("id") == "") | (F.length("id") > 512), "invalid_document_id")
+    wrong = batch.select("seq", "id", bad_id.alias("error_code"))
+    if invalid is not None:
+        wrong = wrong.join(invalid.select("seq", F.col("error_code").alias("found")), "seq", "left").select("seq", "id", F.coalesce("error_code", "found").alias("error_code"))
+    wrong = wrong.filter("error_code is not null")
+    batch = batch.join(wrong.select("seq"), "seq", "left_anti")
     stored = current.select("id", F.col("version").alias("stored_version"))
     slim = batch.select("seq", "kind", "id", F.col("text").isNull().alias("no_text"), F.col("vector").isNull().alias("no_vector"), F.col("metadata").isNull().alias("no_metadata")).join(stored, "id", "left")
     schema = T.StructType(list(RESULT.fields)).add("op", T.StringType()).add("base", T.LongType())
@@ -38,9 +51,7 @@ def fold(current: DataFrame, batch: DataFrame, atomic: bool = True, maximum: int
         rows, base = [], -1 if version is None else 0
         for m in pdf.itertuples():
             code = None
-            if not m.id.strip() or len(m.id) > 512:
-                code = "invalid_document_id"
-            elif m.kind == "add" and version is not None:
+            if m.kind == "add" and version is not None:
                 code = "document_already_exists"
             elif m.kind in ("update", "delete") and version is None:
                 code = "document_not_found"
@@ -58,6 +69,8 @@ def fold(current: DataFrame, batch: DataFrame, atomic: bool = True, maximum: int
         return out.astype({"version": "Int64", "base": "Int64"})
 
     folded = slim.groupBy("id").applyInPandas(run, schema)
+    none = lambda t: F.lit(None).cast(t)
+    folded = folded.union(wrong.select("seq", "id", F.lit(False), "error_code", none("bigint"), none("string"), none("bigint")))
     if atomic:
         # One row decides for all: the first error, if there is any.
         verdict = folded.filter(~F.col("succeeded")).agg(F.min(F.struct("seq", "error_code")).alias("first"))
@@ -66,7 +79,7 @@ def fold(current: DataFrame, batch: DataFrame, atomic: bool = True, maximum: int
     good = folded.filter("succeeded")
     last = good.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))).filter("rn = 1").select("id", F.col("op"), F.col("version"), F.col("base"))
     # A field's value is that of the last write since the row was last replaced, else the stored one.
-    writes = batch.join(good.select("seq"), "seq", "left_semi").join(last.select("id", "base"), "id").filter((F.col("seq") >= F.col("base")) & (F.col("kind") != "delete"))
+    writes = whole.join(good.select("seq"), "seq", "left_semi").join(last.select("id", "base"), "id").filter((F.col("seq") >= F.col("base")) & (F.col("kind") != "delete"))
     latest = writes.groupBy("id").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct("seq", F.to_json(F.struct(F.col(c).alias("v"))).alias("j"))) if c == "metadata" else F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("v")))).alias(c) for c in ("text", "vector", "metadata")])
     meta_type = DOCUMENT["metadata"].dataType
     wrapped = T.StructType().add("v", meta_type)

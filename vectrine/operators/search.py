@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,6 +18,8 @@ MODES = ("vector", "text", "hybrid", "metadata")
 INCLUDE = ("text", "vector", "metadata", "scores")
 MAXIMUM_LIMIT = 1000
 CANDIDATE_MULTIPLIER = 4
+#: (vector, k, candidate ids or None) -> (id, distance)
+Nearest = Callable[[Sequence[float], int, DataFrame | None], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -48,10 +50,11 @@ class SearchRequest:
         return set(INCLUDE) if "all" in self.include else set(self.include)
 
 
-def search(docs: DataFrame, request: SearchRequest, metric: str = "cosine", promoted: Mapping[str, tuple[str, str]] | None = None, multiplier: int = CANDIDATE_MULTIPLIER, stats: bm25.Statistics | None = None, dimension: int | None = None) -> DataFrame:
+def search(docs: DataFrame, request: SearchRequest, metric: str = "cosine", promoted: Mapping[str, tuple[str, str]] | None = None, multiplier: int = CANDIDATE_MULTIPLIER, stats: bm25.Statistics | None = None, dimension: int | None = None, postings: bm25.PostingsIndex | None = None, nearest: Nearest | None = None) -> DataFrame:
     """Hits of ``docs`` (id, text, vector, metadata): (id, text, vector, metadata, score, vector_rank, text_rank),
     best first; what the request doesn't include is null. Filters reach the scan; each side keeps
-    its top list only, and the rows are fetched for the final hits."""
+    its top list only, and the rows are fetched for the final hits. ``postings`` and ``nearest`` (an index's search of a
+    vector, for k rows, among candidates or all) take the place of the scans of texts and of vectors."""
     request.validate(dimension)
     keep = compile_filter(request.filter, promoted=promoted)
     rows = docs if request.filter is None else docs.filter(keep)
@@ -59,22 +62,28 @@ def search(docs: DataFrame, request: SearchRequest, metric: str = "cosine", prom
         hits = rows.select("id", F.lit(1.0).alias("score"), F.lit(None).cast("int").alias("vector_rank"), F.lit(None).cast("int").alias("text_rank")).orderBy("id").limit(request.limit)
     elif request.mode == "hybrid":
         c = max(request.limit, request.limit * multiplier)
-        hits = reciprocal_rank(vector_side(rows, request.vector, c, metric), text_side(docs, request, c, keep, stats), request.vector_weight, request.text_weight, request.limit)
+        hits = reciprocal_rank(vector_side(rows, request, c, metric, nearest), text_side(docs, request, c, keep, stats, postings), request.vector_weight, request.text_weight, request.limit)
     elif request.mode == "vector":
-        hits = vector_side(rows, request.vector, request.limit, metric).withColumn("text_rank", F.lit(None).cast("int"))
+        hits = vector_side(rows, request, request.limit, metric, nearest).withColumn("text_rank", F.lit(None).cast("int"))
     else:
-        hits = text_side(docs, request, request.limit, keep, stats).withColumn("vector_rank", F.lit(None).cast("int"))
+        hits = text_side(docs, request, request.limit, keep, stats, postings).withColumn("vector_rank", F.lit(None).cast("int"))
     return hydrate(hits, docs, request)
 
 
-def vector_side(rows: DataFrame, vector: Sequence[float], k: int, metric: str) -> DataFrame:
+def vector_side(rows: DataFrame, request: SearchRequest, k: int, metric: str, nearest: Nearest | None = None) -> DataFrame:
     """(id, score, vector_rank); the score is the negative distance."""
-    top = knn(rows, [(0, vector)], k, metric)
+    if nearest is None:
+        top = knn(rows, [(0, request.vector)], k, metric)
+    else:
+        top = nearest(request.vector, k, None if request.filter is None else rows.select("id"))
     return ranked(top.select("id", (-F.col("distance")).alias("score")), "vector_rank", F.desc("score"), "id")
 
 
-def text_side(docs: DataFrame, request: SearchRequest, k: int, keep, stats: bm25.Statistics | None) -> DataFrame:
-    top = bm25.search(docs, request.text, k, None if request.filter is None else keep, stats)
+def text_side(docs: DataFrame, request: SearchRequest, k: int, keep, stats: bm25.Statistics | None, postings: bm25.PostingsIndex | None = None) -> DataFrame:
+    if postings is None:
+        top = bm25.search(docs, request.text, k, None if request.filter is None else keep, stats)
+    else:
+        top = postings.search(request.text, k, candidates=None if request.filter is None else docs.filter(keep).select("id"))
     return ranked(top, "text_rank", F.desc("score"), "id")
 
 

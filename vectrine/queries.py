@@ -144,6 +144,30 @@ def bm25_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.search(standard(spark, sf), TEXT, 10, keep).select("id", F.round("score", 6).alias("score"))
 
 
+CHANGED = DOC.replace("SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, *", "SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, * REPLACE (CASE WHEN doc_id % 10 = 0 THEN text || ' with er zzupdated' ELSE text END AS text)") + " WHERE doc_id % 7 <> 0"
+
+
+def _postings(spark: SparkSession, sf: str) -> bm25.PostingsIndex:
+    """Of all documents; then every tenth is changed and every seventh removed."""
+    d = documents(spark, sf)
+    index = bm25.PostingsIndex.build(d, _folder(spark, "postings"))
+    changed = d.filter("doc_id % 10 = 0 and doc_id % 7 <> 0").select("id", F.concat("text", F.lit(" with er zzupdated")).alias("text"))
+    index.apply(changed, d.filter("doc_id % 7 = 0").select("id"))
+    return index
+
+
+@query(f"WITH {bm25_sql(10).replace(f'({DOC})', f'({CHANGED})')} SELECT id, round(score, 6) AS score FROM text_top")
+def bm25_postings_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _postings(spark, sf).search(TEXT, 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH d AS ({CHANGED}) SELECT count(*)::BIGINT AS documents, sum(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+')))::BIGINT AS terms FROM d")
+def bm25_postings_totals(spark: SparkSession, sf: str) -> DataFrame:
+    index = _postings(spark, sf)
+    index.compact()
+    return spark.createDataFrame([(index.documents, index.terms)], "documents bigint, terms bigint")
+
+
 @query(f"WITH {bm25_sql(1)} SELECT t AS term, df::BIGINT AS df, (SELECT n FROM stat)::BIGINT AS documents, (SELECT sum(dl) FROM len)::BIGINT AS terms FROM df")
 def bm25_corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
@@ -267,11 +291,11 @@ def get_by_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH l AS (SELECT substr(sha256(id), 1, 3) AS r, id || chr(0) || '1' || chr(10) AS line FROM ({DOC})),
-p AS (SELECT r, sha256(string_agg(line, '' ORDER BY line)) AS h FROM l GROUP BY r) SELECT sha256(string_agg(h, '' ORDER BY r)) AS signature FROM p"""
+    f"""WITH l AS (SELECT sha256(id || chr(0) || '1') AS h FROM ({DOC})),
+p AS (SELECT substr(h, 1, 3) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM l GROUP BY substr(h, 1, 3)) SELECT sha256(string_agg(h, '' ORDER BY h)) AS signature FROM p"""
 )
 def document_signature(spark: SparkSession, sf: str) -> DataFrame:
-    return signature(documents(spark, sf).select("id", F.lit(1).alias("version")))
+    return signature(documents(spark, sf).select("id", F.lit(1).alias("version")), digits=3)
 
 
 # Change logs
@@ -288,23 +312,26 @@ def latest_version_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mutations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Documents at version 3, and events as mutations of those of the same number."""
-    current = documents(spark, sf).select("id", "text", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("map<string,struct<kind:tinyint,keys:array<string>,nums:array<double>>>").alias("metadata"), F.lit(3).cast("bigint").alias("version"))
+    """Documents at version 3, with vectors and metadata, and events as mutations of those of the same number."""
+    d = documents(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.slice("embedding", 1, 2).alias("vector")), "doc_id", "left")
+    current = d.select("id", "text", "vector", metadata(lang=("text", "lang")).alias("metadata"), F.lit(3).cast("bigint").alias("version"))
     kind = F.element_at(F.array(*map(F.lit, mutations.KINDS)), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
-    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), kind.alias("kind"), key("user_id").alias("id"), F.when(F.pmod("event_id", F.lit(3)) > 0, F.col("event_type")).alias("text"))
-    return current, e.withColumn("vector", F.lit(None).cast("array<float>")).withColumn("metadata", F.lit(None).cast(current.schema["metadata"].dataType))
+    every = lambda n, c: F.when(F.pmod("event_id", F.lit(n)) > 0, c)
+    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), kind.alias("kind"), key("user_id").alias("id"), every(3, F.col("event_type")).alias("text"), every(5, F.array(F.col("value").cast("float"), F.lit(1.0).cast("float"))).alias("vector"), every(2, metadata(type=("text", "event_type"))).alias("metadata"))
+    return current, e
 
 
-FOLD_SQL = f"""WITH RECURSIVE m AS (SELECT lpad(user_id::VARCHAR, 12, '0') AS id, event_id AS seq, event_id % 4 AS k, CASE WHEN event_id % 3 > 0 THEN event_type END AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-s AS (SELECT i.id, 0::BIGINT AS n, 0::BIGINT AS seq, CASE WHEN d.id IS NULL THEN 0 ELSE 3 END::BIGINT AS version, d.text, NULL::VARCHAR AS error_code FROM (SELECT DISTINCT id FROM m) i LEFT JOIN ({DOC}) d ON d.id = i.id
-UNION ALL SELECT id, n, seq, CASE WHEN e IS NOT NULL THEN version WHEN k = 3 THEN 0 ELSE version + 1 END, CASE WHEN e IS NOT NULL THEN old WHEN k = 3 THEN NULL WHEN k = 2 THEN coalesce(new, old) ELSE new END, e
-FROM (SELECT m.id, m.n, m.seq, s.version, m.k, m.text AS new, s.text AS old, CASE WHEN m.k = 0 AND s.version > 0 THEN 'document_already_exists' WHEN m.k IN (2, 3) AND s.version = 0 THEN 'document_not_found' WHEN m.k = 2 AND m.text IS NULL THEN 'empty_update' END AS e FROM s JOIN m ON m.id = s.id AND m.n = s.n + 1))"""
+FOLD_SQL = f"""WITH RECURSIVE m AS (SELECT lpad(user_id::VARCHAR, 12, '0') AS id, event_id AS seq, event_id % 4 AS k, CASE WHEN event_id % 3 > 0 THEN event_type END AS text, CASE WHEN event_id % 5 > 0 THEN value::FLOAT END AS x, CASE WHEN event_id % 2 > 0 THEN 's:' || event_type END AS meta, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT i.id, 0::BIGINT AS n, 0::BIGINT AS seq, CASE WHEN d.id IS NULL THEN 0 ELSE 3 END::BIGINT AS version, d.text, v.embedding[1]::FLOAT AS x, 's:' || d.lang AS meta, NULL::VARCHAR AS error_code FROM (SELECT DISTINCT id FROM m) i LEFT JOIN ({DOC}) d ON d.id = i.id LEFT JOIN embeddings v ON v.vec_id = d.doc_id
+UNION ALL SELECT id, n, seq, CASE WHEN e IS NOT NULL THEN version WHEN k = 3 THEN 0 ELSE version + 1 END, {", ".join(f"CASE WHEN e IS NOT NULL THEN {c}0 WHEN k = 3 THEN NULL WHEN k = 2 THEN coalesce({c}1, {c}0) ELSE {c}1 END" for c in ("text", "x", "meta"))}, e
+FROM (SELECT m.id, m.n, m.seq, s.version, m.k, m.text AS text1, s.text AS text0, m.x AS x1, s.x AS x0, m.meta AS meta1, s.meta AS meta0, CASE WHEN m.k = 0 AND s.version > 0 THEN 'document_already_exists' WHEN m.k IN (2, 3) AND s.version = 0 THEN 'document_not_found' WHEN m.k = 2 AND m.text IS NULL AND m.x IS NULL AND m.meta IS NULL THEN 'empty_update' END AS e FROM s JOIN m ON m.id = s.id AND m.n = s.n + 1))"""
 
 
-@query(FOLD_SQL + " SELECT id, version, text FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1 AND version > 0 AND count(*) FILTER (n > 0 AND error_code IS NULL) OVER (PARTITION BY id) > 0")
+@query(FOLD_SQL + " SELECT id, version, text, round(x, 4)::DOUBLE AS x, meta FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1 AND version > 0 AND count(*) FILTER (n > 0 AND error_code IS NULL) OVER (PARTITION BY id) > 0")
 def upsert_patch_delete(spark: SparkSession, sf: str) -> DataFrame:
     _, rows = mutations.fold(*_mutations(spark, sf), atomic=False)
-    return rows.filter("op = 'upsert'").select("id", "version", "text")
+    meta = F.coalesce(F.col("metadata")["type"], F.col("metadata")["lang"])["keys"][0]
+    return rows.filter("op = 'upsert'").select("id", "version", "text", F.round(F.col("vector")[0].cast("double"), 4).alias("x"), meta.alias("meta"))
 
 
 @query(FOLD_SQL + " SELECT coalesce(error_code, 'ok') AS outcome, count(*)::BIGINT AS mutations FROM s WHERE n > 0 GROUP BY 1")
@@ -313,19 +340,41 @@ def mutation_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return results.groupBy(F.coalesce("error_code", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("mutations"))
 
 
-@query(FOLD_SQL + ", e AS (SELECT error_code FROM s WHERE n > 0 AND error_code IS NOT NULL ORDER BY seq LIMIT 1) SELECT m.seq, false AS succeeded, (SELECT error_code FROM e) AS first_error FROM m")
+ATOMIC_SQL = """WITH c AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch, lpad(user_id::VARCHAR, 12, '0') AS id, event_id AS seq, user_id FROM events),
+e AS (SELECT batch, min(seq) AS seq FROM c WHERE user_id % 2 = 1 AND seq % 1000 = 999 GROUP BY batch)
+SELECT c.seq, c.batch, e.seq IS NULL AS succeeded, CASE WHEN e.seq IS NOT NULL THEN 'document_not_found' END AS error_code, CASE WHEN e.seq IS NULL THEN row_number() OVER (PARTITION BY c.id ORDER BY c.seq) END::BIGINT AS version FROM c LEFT JOIN e USING (batch)"""
+
+
+@query(ATOMIC_SQL)
 def atomic_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches on an empty collection: upserts of even users, which all succeed; and of odd ones, with some updates of
+    what isn't there, of which the first fails them all."""
     current, batch = _mutations(spark, sf)
-    results, _ = mutations.fold(current, batch, atomic=True)
-    first = F.min_by("error_code", "seq").over(Window.partitionBy())
-    return results.select("seq", "succeeded", first.alias("first_error"))
+    even = F.pmod(F.col("id").cast("bigint"), F.lit(2)) == 0
+    out = None
+    for name, part in (("even", batch.filter(even)), ("odd", batch.filter(~even))):
+        lost = F.pmod("seq", F.lit(1000)) == 999
+        part = part.withColumn("kind", F.when(lost & ~even, "update").otherwise("upsert")).withColumn("id", F.when(lost & ~even, F.concat(F.lit("gone-"), "seq")).otherwise(F.col("id"))).withColumn("text", F.coalesce("text", F.lit("x")))
+        one = mutations.fold(current.limit(0), part, atomic=True)[0].select("seq", F.lit(name).alias("batch"), "succeeded", "error_code", "version")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("WITH i AS (SELECT user_id AS id, (event_id * 7919) % 1000 AS version, event_id AS value FROM events) SELECT id, version, max(value) AS value FROM i GROUP BY id, version QUALIFY version = max(version) OVER (PARTITION BY id)")
+@query(
+    """WITH e AS (SELECT user_id AS id, (event_id * 7919) % 1000 AS version, event_id AS value, event_id % 2 AS side, event_id % 5 = 3 AS gone, event_id % 97 = 3 AS wiped FROM events),
+stored AS (SELECT id, version, max(value) AS value FROM e WHERE side = 0 GROUP BY id, version QUALIFY version = max(version) OVER (PARTITION BY id)),
+i AS (SELECT id, CASE WHEN wiped THEN 0 ELSE version END AS version, max(value) AS value, bool_or(gone OR wiped) AS gone FROM e WHERE side = 1 GROUP BY ALL),
+both_ AS (SELECT *, false AS gone, 1 AS kept FROM stored UNION ALL SELECT *, 0 FROM i)
+SELECT id, version, value FROM both_ QUALIFY row_number() OVER (PARTITION BY id ORDER BY gone AND version = 0 DESC, version DESC, kept DESC) = 1 AND NOT gone"""
+)
 def version_gated_apply(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("user_id").alias("id"), (F.col("event_id") * 7919 % 1000).alias("version"), F.col("event_id").alias("value"))
-    best = e.groupBy("id", "version").agg(F.max("value").alias("value"))
-    return mutations.apply_by_version(best.limit(0), best.withColumn("op", F.lit("upsert"))).select("id", "version", "value")
+    """Even events are what is stored, odd ones come in: a fifth deletes, some of version 0; ties stay as they are stored."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("id"), (F.col("event_id") * 7919 % 1000).alias("version"), F.col("event_id").alias("value"), "event_id")
+    best = e.filter("event_id % 2 = 0").groupBy("id", "version").agg(F.max("value").alias("value"))
+    stored = best.groupBy("id").agg(F.max(F.struct("version", "value")).alias("b")).select("id", "b.*")
+    wiped = F.col("event_id") % 97 == 3
+    came = e.filter("event_id % 2 = 1").withColumn("version", F.when(wiped, 0).otherwise(F.col("version"))).groupBy("id", "version").agg(F.max("value").alias("value"), F.bool_or((F.col("event_id") % 5 == 3) | wiped).alias("gone"))
+    return mutations.apply_by_version(stored, came.withColumn("op", F.when(F.col("gone"), "delete").otherwise("upsert")).drop("gone")).select("id", "version", "value")
 
 
 # Shards

@@ -56,7 +56,7 @@ def check_vector(vector: list[float] | None, dimension: int) -> None:
 
 
 def invalid_rows(docs: DataFrame, dimension: int) -> DataFrame:
-    """(id, error_code) of every document that breaks a rule; one job, nothing collected."""
+    """(id, error_code), and seq where there is one, of every document that breaks a rule; one job, nothing collected."""
     v = F.col("vector")
     code = (
         F.when(F.col("id").isNull() | (F.trim("id") == "") | (F.length("id") > 512), "invalid_document_id")
@@ -64,7 +64,7 @@ def invalid_rows(docs: DataFrame, dimension: int) -> DataFrame:
         .when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "invalid_vector")
         .when(F.exists(F.map_keys(F.coalesce("metadata", F.create_map().cast(T.MapType(T.StringType(), META)))), lambda k: (F.trim(k) == "") | (F.length(k) > 256)), "invalid_metadata")
     )
-    return docs.select("id", code.alias("error_code")).filter("error_code is not null")
+    return docs.select(*[c for c in ("seq", "id") if c in docs.columns], code.alias("error_code")).filter("error_code is not null")
 
 
 def _keys(value: Column, kind: str) -> Column:
