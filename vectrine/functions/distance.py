@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 from vectrine.schema import check
 
 METRICS = ("cosine", "dot", "euclidean")
+#: Share of both vectors' squared lengths below which a squared distance is taken from differences: above it, the sum of
+#: squares has twelve digits at least.
+NEAR = 1e-3
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,15 +61,19 @@ def matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def pairwise(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of every row of x to every row of q."""
+    """Distances of every row of x to every row of q. Euclidean ones are of the sum of squares, which cancels for near
+    vectors; those are found anew from differences."""
     inner = x @ q.T
     if metric == "dot":
         return -inner
     nx, nq = np.einsum("ij,ij->i", x, x)[:, None], np.einsum("ij,ij->i", q, q)[None]
     if metric == "euclidean":
-        if len(q) <= 4:  # differences, as the sum of squares cancels for near vectors
-            return np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q], axis=1)
-        return np.sqrt(np.maximum(nx + nq - 2 * inner, 0))
+        square, scale = nx + nq - 2 * inner, nx + nq
+        i, j = np.nonzero(square < NEAR * scale)
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            square[a, b] = ((x[a] - q[b]) ** 2).sum(axis=1)
+        return np.sqrt(np.maximum(square, 0))
     zero = (nx == 0) | (nq == 0)
     return np.where(zero, np.where((nx == 0) & (nq == 0), 0.0, 1.0), 1 - np.clip(inner / np.sqrt(np.where(zero, 1, nx * nq)), -1, 1))
 
@@ -121,19 +128,48 @@ def knn(rows: DataFrame, queries: Sequence[tuple[object, Sequence[float]]], k: i
     return part.withColumn("rn", F.row_number().over(line)).filter(F.col("rn") <= k).drop("rn")
 
 
-def knn_join(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", slice_rows: int = 1024) -> DataFrame:
-    """:func:`knn` of a table ``queries`` (id, vector) against ``rows`` (id, vector): the query table is
-    taken in slices of ``slice_rows``, one scan each, so that no task holds more than a slice."""
-    n = queries.count()
-    many = max(1, -(-n // slice_rows))
-    out = None
-    for s in range(many):
-        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(many)) == s).select("id", "vector").collect()
-        if part:
-            one = knn(rows, [(r.id, r.vector) for r in part], k, metric)
-            one = one.select("query", "id", "distance")
-            out = one if out is None else out.unionByName(one)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "query bigint, id bigint, distance double")
+def knn_join(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", block_rows: int = 8192) -> DataFrame:
+    """:func:`knn` of a table ``queries`` (id, vector) against ``rows`` (id, vector), as a join of blocks.
+
+    Both sides are cut by hash into blocks of about ``block_rows``; a task holds one block of each, and what leaves it is k
+    rows a query. Rows of either side are sent once for each block of the other, so the shuffle is (rows * queries /
+    block_rows) of either; all of them have to meet, as the result is exact."""
+    check(metric in METRICS, "invalid_metric", metric)
+    check(k >= 1, "invalid_limit")
+    from pyspark.sql import Window
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    asked = queries.filter("vector is not null").select(F.col("id").alias("query"), "vector")
+    held = rows.filter("vector is not null").select("id", "vector")
+    kind, name = held.schema["id"].dataType, asked.schema["query"].dataType
+    many = lambda df: max(1, -(-df.count() // block_rows))
+    slices, parts = many(asked), many(held)
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    id_type = to_arrow_type(kind)
+
+    def near(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            vectors = right.column("vector").combine_chunks()
+            x = matrix(vectors, len(vectors[0]))
+            q, ids = matrix(left.column("vector").combine_chunks(), x.shape[1]), right.column("id").to_numpy()
+            for at in range(0, len(q), 256):
+                d = pairwise(q[at : at + 256], x, metric)
+                for j in range(len(d)):
+                    top = nearest_rows(d[j], ids, k)
+                    out[0].append(np.full(len(top), at + j))
+                    out[1].append(ids[top])
+                    out[2].append(d[j][top])
+        whole = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+        return pa.table([left.column("query").take(pa.array(whole[0], pa.int64())), pa.array(whole[1].tolist(), id_type), pa.array(whole[2], pa.float64())], ["query", "id", "distance"])
+
+    asked = asked.withColumn("s", block("query", slices)).withColumn("p", every(parts))
+    held = held.withColumn("p", block("id", parts)).withColumn("s", every(slices))
+    shape = T.StructType().add("query", name).add("id", kind).add("distance", T.DoubleType())
+    found = asked.groupBy("s", "p").cogroup(held.groupBy("s", "p")).applyInArrow(near, shape)
+    line = Window.partitionBy("query").orderBy("distance", "id")
+    return found.withColumn("rn", F.row_number().over(line)).filter(F.col("rn") <= k).drop("rn")
 
 
 # Scalar quantization

@@ -58,31 +58,37 @@ def _pieces(text: str, separators: Sequence[str], maximum: int) -> list[str]:
 
 
 def _cut(text: str, maximum: int) -> list[str]:
-    """Words packed up to the limit; a longer word in windows of three characters a token."""
-    out, held = [], ""
+    """Words packed up to the limit; a longer word in windows of three characters a token. No token spans two words,
+    so what words cost adds up."""
+    out: list[str] = []
+    held: list[str] = []
+    size, step = 0, max(1, 3 * maximum)
     for w in text.split():
-        if held and count_tokens(f"{held} {w}") > maximum:
-            out.append(held)
-            held = ""
-        if count_tokens(w) > maximum:
-            out += [held] if held else []
-            held, step = "", max(1, 3 * maximum)
+        n = count_tokens(w)
+        if held and size + n > maximum:
+            out.append(" ".join(held))
+            held, size = [], 0
+        if n > maximum:
             out += [w[i : i + step] for i in range(0, len(w), step)]
         else:
-            held = f"{held} {w}" if held else w
-    return out + [held] * bool(held)
+            held.append(w)
+            size += n
+    return out + [" ".join(held)] * bool(held)
 
 
-def _tail(texts: list[str], limit: int) -> str | None:
-    """Longest suffix of words that costs at most ``limit``, one word at least."""
-    words = " ".join(texts).split()
-    if not limit or not words:
-        return None
-    at = len(words) - 1
-    while at and count_tokens(" ".join(words[at - 1 :])) <= limit:
-        at -= 1
-    tail = " ".join(words[at:])
-    return tail if count_tokens(tail) else None
+def _tail(texts: list[str], limit: int) -> tuple[str, int] | None:
+    """Longest suffix of words that costs at most ``limit``, one word at least; and what it costs."""
+    taken: list[str] = []
+    size = 0
+    if limit:
+        for t in reversed(texts):
+            for w in reversed(t.split()):
+                n = count_tokens(w)
+                if taken and size + n > limit:
+                    return " ".join(reversed(taken)), size
+                taken.append(w)
+                size += n
+    return (" ".join(reversed(taken)), size) if size else None
 
 
 def chunk_sections(sections: Sequence[dict], o: ChunkOptions = ChunkOptions()) -> list[dict]:
@@ -99,8 +105,7 @@ def chunk_sections(sections: Sequence[dict], o: ChunkOptions = ChunkOptions()) -
     for u in units:
         if held and (size + u[1] > o.maximum or size >= o.target):
             packs.append(held)
-            tail = _tail([x[0] for x in held], o.overlap)
-            n = count_tokens(tail) if tail else 0
+            tail, n = _tail([x[0] for x in held], o.overlap) or (None, 0)
             held, size = ([(tail, n, *held[-1][2:])], n) if tail and n + u[1] <= o.maximum else ([], 0)
         held.append(u)
         size += u[1]
@@ -109,11 +114,11 @@ def chunk_sections(sections: Sequence[dict], o: ChunkOptions = ChunkOptions()) -
     for p in packs:
         text = "\n\n".join(u[0] for u in p).strip()
         if text:
-            chunks.append({"sequence": len(chunks), "text": text, "estimated_tokens": count_tokens(text), "section_sequences": list(dict.fromkeys(u[2] for u in p)), "locations": list(dict.fromkeys(u[3] for u in p)), "heading": next((u[4] for u in p if u[4] and u[4].strip()), None)})
+            chunks.append({"sequence": len(chunks), "text": text, "estimated_tokens": sum(u[1] for u in p), "section_sequences": list(dict.fromkeys(u[2] for u in p)), "locations": list(dict.fromkeys(u[3] for u in p)), "heading": next((u[4] for u in p if u[4] and u[4].strip()), None)})
     if len(chunks) > 1 and chunks[-1]["estimated_tokens"] < o.minimum:
         a, b = chunks[-2], chunks[-1]
         text = f"{a['text']}\n\n{b['text']}"
-        if (n := count_tokens(text)) <= o.maximum:
+        if (n := a["estimated_tokens"] + b["estimated_tokens"]) <= o.maximum:
             a |= {"text": text, "estimated_tokens": n, "section_sequences": list(dict.fromkeys(a["section_sequences"] + b["section_sequences"])), "locations": list(dict.fromkeys(a["locations"] + b["locations"]))}
             chunks.pop()
     return chunks

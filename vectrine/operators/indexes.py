@@ -48,7 +48,7 @@ def kmeans(x: np.ndarray, k: int, iterations: int = 12, seed: int = 17) -> np.nd
     c = np.array(chosen)
     assigned = np.full(len(x), -1)
     for _ in range(iterations):
-        d = pairwise(x, c, "euclidean") if k > 4 else np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in c], axis=1)
+        d = pairwise(x, c, "euclidean")
         now = d.argmin(axis=1)
         if (now == assigned).all():
             break
