@@ -199,10 +199,10 @@ def vectors(spark, n=640, d=8, seed=1):
     return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<float>").cache(), x
 
 
-def test_quantized(spark):
+def test_quantized(spark, tmp_path):
     rows = spark.createDataFrame([("far", [10.0] * 4), ("nearest", [1.0, 2.0, 3.0, 4.0]), ("middle", [4.0] * 4)], "id string, vector array<float>")
-    for q in ("float32", "float16", "int8"):
-        assert [r.id for r in indexes.quantized_topk(rows, [1, 2, 3, 4], 1, q, metric="euclidean").collect()] == ["nearest"]
+    for q in ("float16", "int8"):
+        assert [r.id for r in indexes.build_index(f"flat_{q}", rows, str(tmp_path / q), "euclidean").nearest([1, 2, 3, 4], 1).collect()] == ["nearest"]
 
 
 def test_inverted_lists(spark, tmp_path):
@@ -271,6 +271,59 @@ def test_graphs(spark, tmp_path, kind, options):
     assert indexes.graph_search(graphs, x[0].tolist(), 1, tombstones=gone, delta=delta, metric="euclidean").first().id == 999
 
 
+@pytest.mark.parametrize("kind,options", [("flat_int8", {}), ("flat_float16", {"part_rows": 100}), ("ivf_flat", {"lists": 4}), ("ivf_pq", {"lists": 4, "subvectors": 4, "codes": 16}), ("hnsw", {"m": 8, "bucket_rows": 200}), ("disk_ann", {"degree": 16, "bucket_rows": 200})])
+def test_indexes_by_kind(spark, tmp_path, kind, options):
+    """Opened anew from disk: recall over all, and the exact result among few candidates and without excluded rows."""
+    rows, x = vectors(spark, 640)
+    indexes.build_index(kind, rows, f"file://{tmp_path}/i", "euclidean", **options)
+    index = indexes.open_index(spark, f"file://{tmp_path}/i")
+    hits = sum(len({r.id for r in index.nearest(x[i].tolist(), 10).collect()} & {r.id for r in knn(rows, [(0, x[i].tolist())], 10, "euclidean").collect()}) for i in range(8))
+    assert hits >= 72
+    few, gone = rows.filter("id % 40 = 3"), rows.filter("id % 40 = 3 and id < 100")
+    want = [r.id for r in knn(few.filter("id >= 100"), [(0, x[3].tolist())], 5, "euclidean").collect()]
+    assert [r.id for r in index.nearest(x[3].tolist(), 5, few, gone).collect()] == want
+    assert {r.id for r in index.nearest(x[3].tolist(), 1, None, rows.filter("id = 3")).collect()} != {3}
+    with pytest.raises(DomainError, match="index_not_found"):
+        indexes.open_index(spark, f"file://{tmp_path}/none")
+
+
+@pytest.mark.parametrize("kind,options", [("ivf_flat", {"lists": 2}), ("hnsw", {"m": 8})])
+def test_collections_search_through_their_index(spark, catalog, kind, options):
+    c = catalog.create("docs", 8, "euclidean", kind)
+    rows, x = vectors(spark, 200)
+    new = rows.select(F.col("id").alias("seq"), F.lit("upsert").alias("kind"), F.format_string("d%03d", "id").alias("id"), F.lit("t").alias("text"), "vector", F.lit(None).cast("map<string,struct<kind:tinyint,keys:array<string>,nums:array<double>>>").alias("metadata"))
+    c.mutate(new)
+    assert c._nearest(c.manifest()) is None and c.build_index(**options) >= 0.9
+    ask = lambda v, **o: [r.id for r in c.search(SearchRequest(vector=v, mode="vector", limit=3, include=("scores",), **o)).collect()]
+    assert c._nearest(c.manifest()) is not None and ask(x[7].tolist())[0] == "d007"
+    c.mutate(batch(spark, ("delete", "d007"), ("upsert", "new", "n", (x[7] + 0.01).tolist()), ("upsert", "d008", "moved", x[9].tolist())))
+    assert ask(x[7].tolist())[0] == "new" and "d007" not in ask(x[7].tolist()) and ask(x[9].tolist())[:2] == ["d008", "d009"]
+    c.compact()
+    assert c._nearest(c.manifest()) is None and ask(x[7].tolist())[0] == "new"
+    assert c.build_index(**options) >= 0.9 and ask(x[9].tolist())[:2] == ["d008", "d009"]
+    with pytest.raises(DomainError, match="index_rejected"):
+        c.build_index(minimum_recall=1.1, **options)
+    assert c._nearest(c.manifest()) is not None
+
+
+def test_texts_are_embedded_and_files_ingested(spark, catalog, tmp_path):
+    c = catalog.create("docs", 384)
+    c.mutate(c.vectorised(batch(spark, ("upsert", "a", "distributed vector database"), ("upsert", "b", "cooking with garlic"))))
+    assert [r.id for r in c.search(SearchRequest("a vector database", mode="vector", limit=1)).collect()] == ["a"]
+    with pytest.raises(DomainError, match="dimension_mismatch"):
+        catalog.create("small", 2).search(SearchRequest("x", mode="vector"))
+    file = tmp_path / "files" / "note.md"
+    file.parent.mkdir()
+    file.write_text("\n\n".join(f"Paragraph {i} of a note. " + "It has words. " * 30 for i in range(6)))
+    n = c.ingest(str(file))
+    chunks = c.documents().filter("metadata['source_file'] is not null")
+    assert n > 2 and chunks.count() == n and chunks.first().metadata["chunk_sequence"]["nums"] is not None
+    file.write_text("Short now.")
+    assert c.ingest(str(file)) == 1
+    left = c.documents().filter("metadata['source_file'] is not null").collect()
+    assert [r.text for r in left] == ["Short now."] and c.count() == 3
+
+
 def test_graph_on_a_line():
     x = np.array([[v, 0, 0] for v in range(100)], float)
     g = indexes.Graph.hnsw(x, list(range(100)), "euclidean")

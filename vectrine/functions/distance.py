@@ -180,8 +180,20 @@ def float16(v: np.ndarray) -> np.ndarray:
 
 
 def calibrate(rows: DataFrame, vector_col: str = "vector") -> DataFrame:
-    """(dim, low, high): least and greatest value of each dimension."""
-    return rows.select(F.posexplode(vector_col).alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    """(dim, low, high): least and greatest value of each dimension. A task sends one row of each, not its vectors' values."""
+
+    def extremes(batches):
+        low = high = None
+        for b in batches:
+            if len(b):
+                x = matrix(b.column(0), len(b.column(0)[0]))
+                low = x.min(axis=0) if low is None else np.minimum(low, x.min(axis=0))
+                high = x.max(axis=0) if high is None else np.maximum(high, x.max(axis=0))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v.tolist()], pa.list_(pa.float64())) for v in (low, high)], ["low", "high"])
+
+    each = rows.filter(F.col(vector_col).isNotNull()).select(vector_col).mapInArrow(extremes, "low array<double>, high array<double>")
+    return each.select(F.posexplode(F.arrays_zip("low", "high")).alias("dim", "x")).groupBy("dim").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
 
 
 def encode_int8(v: Column, low: Sequence[float], high: Sequence[float]) -> Column:

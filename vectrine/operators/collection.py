@@ -12,17 +12,24 @@ import hashlib
 import json
 import math
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectrine.functions.distance import knn
 from vectrine.operators import bm25, mutations
+from vectrine.operators.chunking import ChunkOptions
+from vectrine.operators.embedding import DIMENSION, embed, embed_text
+from vectrine.operators.indexes import build_index, open_index
 from vectrine.operators.search import SearchRequest, search
 from vectrine.operators.store import Store
-from vectrine.schema import DOCUMENT, check, check_collection_name, invalid_rows
+from vectrine.plans.lifecycle import Generations
+from vectrine.schema import DOCUMENT, check, check_collection_name, invalid_rows, metadata
+from vectrine.session import scratch_dir
+from vectrine.sources.files import ingest
 
 COMPACT_AT = 64
 MAXIMUM_OFFSET = 10_000
@@ -155,9 +162,91 @@ class Collection:
         return page(self.documents(), self.definition.name, self.manifest()["epoch"], limit, offset, token)
 
     def search(self, request: SearchRequest) -> DataFrame:
-        """Of the last commit; a stale read of what this object last saw."""
-        docs = self.documents(request.consistency == "stale")
-        return search(docs, request, self.definition.metric, dimension=self.definition.dimension)
+        """Of the last commit; a stale read of what this object last saw. A request that needs a vector and has a text only
+        gets the text's. Vectors are searched through the collection's index, where one has
+        been built and isn't older than the snapshot; rows that changed since are taken from the log."""
+        stale, d = request.consistency == "stale", self.definition
+        if request.vector is None and request.mode in ("vector", "hybrid") and request.text:
+            request = replace(request, vector=self.embedded(request.text))
+        m = self.manifest(stale)
+        return search(self.documents(stale), request, d.metric, dimension=d.dimension, nearest=self._nearest(m))
+
+    def embedded(self, text: str) -> list[float]:
+        check(self.definition.dimension == DIMENSION, "dimension_mismatch", f"texts are embedded in {DIMENSION} dimensions")
+        return embed_text(text).tolist()
+
+    def vectorised(self, batch: DataFrame) -> DataFrame:
+        """``batch`` with the vectors of texts that come without one."""
+        check(self.definition.dimension == DIMENSION, "dimension_mismatch", f"texts are embedded in {DIMENSION} dimensions")
+        bare = F.col("vector").isNull() & F.col("text").isNotNull() & (F.col("kind") != "delete")
+        return batch.withColumn("vector", F.when(bare, embed(F.when(bare, F.col("text")))).otherwise(F.col("vector")))
+
+    def ingest(self, path: str, options: ChunkOptions = ChunkOptions(), batch: int = 500) -> int:
+        """Chunks of a file, folder or glob as documents with the fields of the chunk as metadata, in batches; chunks that
+        a document no longer has are deleted. Gives the number of chunks."""
+        rows = ingest(self.spark, path, self.definition.dimension, options).withColumn("ingested_at", F.current_timestamp())
+        scratch = f"{scratch_dir(self.spark)}/ingest-{uuid.uuid4().hex}"
+        fields = {
+            "source_file": ("text", "path"), "content_sha256": ("text", "content_sha256"), "document_id": ("text", "document_id"), "document_format": ("text", "format"), "chunk_sequence": ("integral", "sequence"),
+            "chunk_tokens": ("integral", "estimated_tokens"), "locations": ("text_array", "locations"), "heading": ("text", "heading"), "ingested_at": ("datetime", "ingested_at"),
+        }
+        rows.select("id", "text", "vector", metadata(**fields).alias("metadata"), F.element_at(F.split("path", "/"), -1).alias("file")).write.parquet(scratch)
+        rows = self.spark.read.parquet(scratch)
+        held = lambda df: df.select("id", F.col("metadata")["source_file"]["keys"][0].alias("file"))
+        stale = held(self.documents()).join(held(rows).select("file").distinct(), "file", "left_semi").join(rows.select("id"), "id", "left_anti")
+        n, parts = rows.count(), max(1, -(-rows.count() // batch))
+        # a batch is a segment: few large ones where there is much to add
+        parts = min(parts, COMPACT_AT - 1)
+        gone = stale.select(F.lit("delete").alias("kind"), "id", *[F.lit(None).cast(DOCUMENT[c].dataType).alias(c) for c in ("text", "vector", "metadata")])
+        for p in range(parts):
+            part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).select(F.lit("upsert").alias("kind"), "id", "text", "vector", "metadata")
+            part = part.unionByName(gone) if p == 0 else part
+            results = self.mutate(part.withColumn("seq", F.monotonically_increasing_id()), atomic=False, maximum=None)
+            wrong = results.filter("not succeeded and error_code != 'document_not_found'").first()
+            check(wrong is None, wrong.error_code if wrong else "", "ingest")
+        return n
+
+    # the index
+
+    def build_index(self, minimum_recall: float = 0.9, k: int = 10, asked: int = 64, **options) -> float | None:
+        """A new generation of the index that the definition names, of the last commit; it takes over if its recall, of
+        the first ids against the exact search, is enough. Gives the recall; a flat collection has no index."""
+        kind, m = self.definition.index, self.manifest()
+        generations = Generations(self.store, self.definition.name).load()
+        if kind == "flat":
+            return None
+        folder = f"{self.folder}/indexes/{uuid.uuid4().hex}"
+        rows = self.documents().filter("vector is not null").select("id", "vector")
+        index = build_index(kind, rows, self.store.at(folder), self.definition.metric, **options)
+        queries = [(r.id, r.vector) for r in rows.orderBy("id").limit(asked).collect()]
+        if queries:
+            truth = {(r.query, r.id) for r in knn(rows, queries, k, self.definition.metric).collect()}
+            found = {(i, r.id) for i, v in queries for r in index.nearest(v, k).collect()}
+            recall = len(truth & found) / len(truth)
+            check(recall >= minimum_recall, "index_rejected", f"recall {recall:.3f} of {kind}")
+        generations.activate(folder, kind, str(m["sequence"]), options)
+        return recall if queries else 1.0
+
+    def _nearest(self, m: dict):
+        active = Generations(self.store, self.definition.name).load().active if self.definition.index != "flat" else None
+        if not active or active["kind"] != self.definition.index:
+            return None
+        since, at = int(active["signature"]), m["snapshot"]
+        if at and int(at["name"].split("-")[1]) > since:
+            return None  # what changed before the snapshot is no longer told
+        changed = [s for s in m["segments"] if int(s["name"].split("-")[1]) > since]
+        index = open_index(self.spark, self.store.at(active["folder"]))
+        if not changed:
+            return index.nearest
+        log = self._read(changed)
+        touched, fresh = log.select("id").distinct(), mutations.latest(log).filter("vector is not null").select("id", "vector")
+
+        def nearest(vector, k, candidates=None):
+            delta = fresh if candidates is None else fresh.join(candidates.select("id"), "id", "left_semi")
+            both = index.nearest(vector, k, candidates, touched).unionByName(knn(delta, [(0, vector)], k, self.definition.metric).select("id", "distance"))
+            return both.orderBy("distance", "id").limit(k)
+
+        return nearest
 
     def signature(self) -> str:
         return (signature(self.documents()).first() or [EMPTY_CONTENT])[0]

@@ -1,11 +1,16 @@
 """Approximate vector indexes: scalar codes, inverted lists, product codes, and graphs by bucket.
 
-All build from rows (id, vector) with jobs whose driver side is bounded: k-means sees a sample of
-fixed size, everything else runs where the rows are. All searches rerank exactly and break ties by id.
+All build from rows (id, vector) with jobs whose driver side is bounded: k-means sees a sample of TRAINING_SAMPLE rows at
+most, everything else runs where the rows are, and every row is indexed. All searches rerank exactly and break ties by id.
+An index on disk has a sealed description beside its rows, by which :func:`open_index` finds its kind; its search is
+``nearest(vector, k, candidates, excluded)``: among candidates only, without the excluded ones (tables of ids), if given.
 """
 
 from __future__ import annotations
 
+import base64
+import io
+import json
 import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -15,8 +20,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vectrine.functions.distance import calibrate, decode_int8, distance, encode_int8, float16, knn, knn_join, matrix, nearest_rows, pairwise, vector
+from vectrine.functions.distance import calibrate, knn, knn_join, matrix, nearest_rows, pairwise
+from vectrine.operators.store import Store
 from vectrine.schema import check
 
 #: Rows a list (or code) that training needs; below that an index stays exact.
@@ -82,35 +89,86 @@ def state(count: int, trained: int, lists: int, codes: int = 0) -> str:
     return "needs_retrain" if count >= 2 * trained else "active"
 
 
+def restrict(rows: DataFrame, candidates: DataFrame | None, excluded: DataFrame | None) -> DataFrame:
+    if candidates is not None:
+        rows = rows.join(candidates.select("id"), "id", "left_semi")
+    return rows if excluded is None else rows.join(excluded.select("id"), "id", "left_anti")
+
+
+def _floats(a: np.ndarray | None) -> str | None:
+    if a is None:
+        return None
+    out = io.BytesIO()
+    np.save(out, a, allow_pickle=False)
+    return base64.b64encode(out.getvalue()).decode()
+
+
+def _array(s: str | None) -> np.ndarray | None:
+    return None if s is None else np.load(io.BytesIO(base64.b64decode(s)), allow_pickle=False)
+
+
 # Flat, with scalar codes
 
 
-def quantized_topk(rows: DataFrame, query: Sequence[float], k: int, quantization: str = "int8", multiplier: int = 4, metric: str = "cosine", calibration: DataFrame | None = None) -> DataFrame:
-    """(id, distance): the best k * multiplier by coded distance, reranked exactly to k."""
-    q, n = vector(query), k * multiplier
-    rows = rows.filter("vector is not null").select("id", "vector")
-    if quantization == "int8":
-        c = (calibration if calibration is not None else calibrate(rows)).orderBy("dim").collect()  # one row a dimension
-        if not c:
-            return rows.select("id", F.lit(0.0).alias("distance")).limit(0)
-        low, high = [r.low for r in c], [r.high for r in c]
-        coded = rows.withColumn("near", distance(decode_int8(encode_int8(F.col("vector"), low, high), low, high), q, metric))
-    elif quantization == "float16":
+@dataclass
+class CodedIndex:
+    """Codes stored at build, one or two bytes a value: a search reads (id, code), and the vectors of what is short-listed
+    only from the folders that have them."""
+
+    table: DataFrame
+    metric: str
+    quantization: str
+    parts: int
+    low: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    multiplier: int = 4
+
+    @staticmethod
+    def build(rows: DataFrame, path: str, quantization: str = "int8", metric: str = "cosine", multiplier: int = 4, part_rows: int = 1 << 20) -> "CodedIndex":
+        check(quantization in ("int8", "float16"), "invalid_index_configuration", quantization)
+        rows = rows.filter("vector is not null").select("id", "vector")
+        parts = max(1, -(-rows.count() // part_rows))
+        index = CodedIndex(rows, metric, quantization, parts, multiplier=multiplier)
+        if quantization == "int8":
+            c = calibrate(rows).orderBy("dim").collect()  # one row a dimension
+            index.low = np.array([r.low for r in c])
+            width = np.array([r.high for r in c]) - index.low
+            index.scale = np.where(width > 1e-7, width / 255, 1.0)
+
+        low, scale = index.low, index.scale
 
-        def halved(batches):
+        def encode(batches):
             for b in batches:
                 if len(b):
-                    d = pairwise(float16(matrix(b.column(1), len(query))).astype(np.float64), np.array([query], np.float64), metric)[:, 0]
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], ["id", "vector", "near"])
+                    x = matrix(b.column(1), len(b.column(1)[0]))
+                    code = np.clip(np.rint((x - low) / scale), 0, 255).astype(np.uint8) if quantization == "int8" else x.astype(np.float16)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in code], pa.binary())], ["id", "vector", "code"])
+
+        coded = rows.mapInArrow(encode, T.StructType(list(rows.schema.fields)).add("code", T.BinaryType())).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+        coded.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+        _describe(rows.sparkSession, path, {"kind": f"flat_{quantization}", "metric": metric, "parts": parts, "multiplier": multiplier, "low": _floats(index.low), "scale": _floats(index.scale)})
+        return open_index(rows.sparkSession, path)
 
-        from pyspark.sql import types as T
+    def nearest(self, vector: Sequence[float], k: int, candidates: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+        """(id, distance): the best k * multiplier by coded distance, reranked exactly to k."""
+        q, n = np.array([vector], np.float64), k * self.multiplier
+        low, scale, metric, half = self.low, self.scale, self.metric, self.quantization == "float16"
 
-        coded = rows.mapInArrow(halved, T.StructType(list(rows.schema.fields)).add("near", T.DoubleType()))
-    else:
-        check(quantization == "float32", "invalid_index_configuration", quantization)
-        return knn(rows, [(0, query)], k, metric).select("id", "distance")
-    short = coded.orderBy("near", "id").limit(n)
-    return short.select("id", distance(F.col("vector"), q, metric).alias("distance")).orderBy("distance", "id").limit(k)
+        def near(batches):
+            for b in batches:
+                if len(b):
+                    raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float16 if half else np.uint8).reshape(len(b), -1).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pairwise(raw if half else low + raw * scale, q, metric)[:, 0])], ["id", "near"])
+
+        codes = restrict(self.table.select("id", "code"), candidates, excluded)
+        short = codes.mapInArrow(near, T.StructType().add(self.table.schema["id"]).add("near", T.DoubleType())).orderBy("near", "id").limit(n)
+        ids = [r.id for r in short.collect()]  # k * multiplier at most
+        if not ids:
+            return self.table.select("id", F.lit(0.0).alias("distance")).limit(0)
+        one = self.table.sparkSession.createDataFrame([(i,) for i in ids], T.StructType().add(self.table.schema["id"]))
+        folders = [r[0] for r in one.select(F.pmod(F.xxhash64("id"), F.lit(self.parts))).distinct().collect()]
+        rows = self.table.filter(F.col("part").isin(folders) & F.col("id").isin(ids))
+        return knn(rows, [(0, vector)], k, self.metric).select("id", "distance")
 
 
 # Inverted lists
@@ -132,7 +190,9 @@ class IvfIndex:
         rows = rows.filter("vector is not null").select("id", "vector")
         n = rows.count()
         if n < TRAINING_FLOOR * max(lists, codes if subvectors else 0):
-            return IvfIndex(rows.withColumn("list_id", F.lit(0)), None, metric, 0)
+            rows.withColumn("list_id", F.lit(0)).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows")
+            _describe(rows.sparkSession, path, {"kind": "ivf_pq" if subvectors else "ivf_flat", "metric": metric, "trained": 0, "centroids": None, "books": []})
+            return open_index(rows.sparkSession, path)
         x = prepared(_sample(rows), metric)
         check(not subvectors or x.shape[1] % subvectors == 0, "invalid_index_configuration", "dimension % subvectors")
         c = kmeans(x, lists, iterations, 29 if subvectors else 17)
@@ -153,23 +213,28 @@ class IvfIndex:
                     cols.append(pa.array([bytes(r) for r in np.stack(code, axis=1)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["id", "vector", "list_id", "code"][: len(cols)])
 
-        from pyspark.sql import types as T
-
         schema = T.StructType(list(rows.schema.fields)).add("list_id", T.IntegerType())
         if books:
             schema = schema.add("code", T.BinaryType())
-        rows.mapInArrow(assign, schema).repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
-        return IvfIndex(rows.sparkSession.read.parquet(path), c, metric, n, books)
+        # rebalanced by size, so that a list that holds most rows is several tasks' and files'
+        rows.mapInArrow(assign, schema).hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows")
+        _describe(rows.sparkSession, path, {"kind": "ivf_pq" if books else "ivf_flat", "metric": metric, "trained": n, "centroids": _floats(c), "books": [_floats(b) for b in books]})
+        return open_index(rows.sparkSession, path)
 
     def probes(self, query: Sequence[float], nprobe: int) -> list[int]:
         q = prepared(np.array([query], np.float64), self.metric)
         d = ((self.centroids - q) ** 2).sum(axis=1)
         return [int(i) for i in np.lexsort((np.arange(len(d)), d))[:nprobe]]
 
-    def search(self, query: Sequence[float], k: int, nprobe: int = 8, rerank: int = 8, candidates=None) -> DataFrame:
-        """(id, distance). Only the probed lists' folders are read."""
-        rows = self.table if candidates is None else self.table.filter(candidates)
-        if self.centroids is None:
+    def nearest(self, vector: Sequence[float], k: int, candidates: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+        return self.search(vector, k, candidates=candidates, excluded=excluded)
+
+    def search(self, query: Sequence[float], k: int, nprobe: int = 8, rerank: int = 8, candidates: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+        """(id, distance). Only the probed lists' folders are read. Few candidates (eight times k, or as many as there are
+        lists) are all compared, in whatever list."""
+        rows = restrict(self.table, candidates, excluded)
+        few = candidates is not None and self.centroids is not None and candidates.limit((most := max(8 * k, len(self.centroids))) + 1).count() <= most
+        if self.centroids is None or few:
             return knn(rows, [(0, query)], k, self.metric).select("id", "distance")
         rows = rows.filter(F.col("list_id").isin(self.probes(query, nprobe)))
         if self.books:
@@ -216,7 +281,6 @@ class IvfIndex:
             return pa.table([asked.column("query").take(pa.array(whole[0], pa.int64())), pa.array(whole[1].tolist(), to_arrow_type(kind)), pa.array(whole[2], pa.float64()), pa.array(whole[3], pa.float64())], ["query", "id", "near", "distance"])
 
         from pyspark.sql import Window
-        from pyspark.sql import types as T
         from pyspark.sql.pandas.types import to_arrow_type
 
         lists = queries.mapInArrow(probed, T.StructType(list(queries.schema.fields)).add("lists", T.ArrayType(T.IntegerType())))
@@ -242,7 +306,7 @@ class IvfIndex:
             for b in batches:
                 if not len(b):
                     continue
-                own, code = b.column("list_id").to_numpy(), np.array([list(x.as_py()) for x in b.column("code")])
+                own, code = b.column("list_id").to_numpy(), np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(b), -1)
                 d = np.zeros(len(b))
                 for i in np.unique(own):
                     mine, rest = own == i, np.split(q - c[i], len(books))
@@ -250,8 +314,6 @@ class IvfIndex:
                         d[mine] += ((book - r) ** 2).sum(axis=1)[code[mine, s]]
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), pa.array(d)], ["id", "vector", "near"])
 
-        from pyspark.sql import types as T
-
         schema = T.StructType([f for f in rows.schema.fields if f.name in ("id", "vector")]).add("near", T.DoubleType())
         return rows.select("id", "vector", "list_id", "code").mapInArrow(near, schema).orderBy("near", "id").limit(n)
 
@@ -371,18 +433,45 @@ class Graph:
         return [(d, self.ids[n]) for d, n in self.beam(q, at, max(width, 4 * k))][:k]
 
 
+#: Of the form of a stored graph.
+GRAPH_FORMAT = 1
+
+
+def graph_bytes(g: Graph) -> bytes:
+    """An archive of arrays: vectors, ids as JSON, and for each level its nodes, offsets and neighbours."""
+    out, levels = io.BytesIO(), {}
+    for a, links in enumerate(g.links):
+        levels[f"nodes{a}"] = np.array(list(links), np.int64)
+        levels[f"offsets{a}"] = np.cumsum([0] + [len(v) for v in links.values()])
+        levels[f"links{a}"] = np.array([n for v in links.values() for n in v], np.int64)
+    head = json.dumps({"format": GRAPH_FORMAT, "metric": g.metric, "entry": g.entry, "levels": len(g.links), "ids": [v.item() if isinstance(v, np.generic) else v for v in g.ids]})
+    np.savez_compressed(out, head=np.frombuffer(head.encode(), np.uint8), x=g.x, **levels)
+    return out.getvalue()
+
+
+def graph_of(data: bytes) -> Graph:
+    with np.load(io.BytesIO(data), allow_pickle=False) as z:
+        head = json.loads(z["head"].tobytes())
+        check(head["format"] == GRAPH_FORMAT, "index_corrupted", f"format {head['format']}")
+        g = Graph(z["x"], head["ids"], head["metric"])
+        g.entry = head["entry"]
+        g.links = []
+        for a in range(head["levels"]):
+            at, links = z[f"offsets{a}"], z[f"links{a}"].tolist()
+            g.links.append({int(n): links[at[i] : at[i + 1]] for i, n in enumerate(z[f"nodes{a}"])})
+    return g
+
+
 def graph_build(rows: DataFrame, path: str, kind: str = "hnsw", bucket_rows: int = 20_000, metric: str = "cosine", **options) -> DataFrame:
     """Write (bucket, graph) of every bucket of about ``bucket_rows`` rows: inserting is sequential, so
     each bucket has its own graph, built side by side, and a search asks all of them."""
-    import pickle
-
     n = max(1, -(-rows.count() // bucket_rows))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         x = np.array(pdf.vector.tolist(), np.float64)
         g = (Graph.hnsw if kind == "hnsw" else Graph.vamana)(x, pdf.id.tolist(), metric, **options)
-        return pd.DataFrame({"bucket": [int(pdf.bucket.iloc[0])], "graph": [pickle.dumps(g)]})
+        return pd.DataFrame({"bucket": [int(pdf.bucket.iloc[0])], "graph": [graph_bytes(g)]})
 
     bucketed = rows.filter("vector is not null").select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("bucket"))
     bucketed.groupBy("bucket").applyInPandas(build, "bucket int, graph binary").write.mode("overwrite").parquet(path)
@@ -391,13 +480,11 @@ def graph_build(rows: DataFrame, path: str, kind: str = "hnsw", bucket_rows: int
 
 def graph_search(graphs: DataFrame, query: Sequence[float], k: int, width: int = 64, tombstones: DataFrame | None = None, delta: DataFrame | None = None, metric: str = "cosine", id_type: str = "bigint") -> DataFrame:
     """(id, distance): top k of all buckets' graphs, without deleted ids, and of ``delta`` (id, vector), which is scanned."""
-    import pickle
-
     q = np.array(query, np.float64)
 
     def run(batches):
         for b in batches:
-            hits = [h for blob in b.column(0) for h in pickle.loads(blob.as_py()).search(q, k, width)]
+            hits = [h for blob in b.column(0) for h in graph_of(blob.as_py()).search(q, k, width)]
             yield pa.RecordBatch.from_arrays([pa.array([h[1] for h in hits], pa.int64() if id_type == "bigint" else pa.string()), pa.array([float(h[0]) for h in hits], pa.float64())], ["id", "distance"])
 
     hits = graphs.select("graph").mapInArrow(run, f"id {id_type}, distance double")
@@ -406,3 +493,72 @@ def graph_search(graphs: DataFrame, query: Sequence[float], k: int, width: int =
     if tombstones is not None:
         hits = hits.join(tombstones.select("id"), "id", "left_anti")
     return hits.orderBy("distance", "id").limit(k)
+
+
+@dataclass
+class GraphIndex:
+    """Graphs of all buckets, and the rows beside them for what a graph can't tell."""
+
+    graphs: DataFrame
+    table: DataFrame
+    metric: str
+    width: int
+
+    @staticmethod
+    def build(rows: DataFrame, path: str, kind: str = "hnsw", metric: str = "cosine", bucket_rows: int = 20_000, width: int = 64, **options) -> "GraphIndex":
+        rows = rows.filter("vector is not null").select("id", "vector")
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+        graph_build(rows.sparkSession.read.parquet(f"{path}/rows"), f"{path}/graphs", "hnsw" if kind == "hnsw" else "vamana", bucket_rows, metric, **options)
+        _describe(rows.sparkSession, path, {"kind": kind, "metric": metric, "width": width})
+        return open_index(rows.sparkSession, path)
+
+    def nearest(self, vector: Sequence[float], k: int, candidates: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+        """(id, distance). A graph is asked for four times k; where candidates or exclusions leave fewer than k of those,
+        the rows are compared instead."""
+        id_type = self.table.schema["id"].dataType.simpleString()
+        many = k if candidates is None and excluded is None else 4 * k
+        hits = restrict(graph_search(self.graphs, vector, many, max(self.width, many), metric=self.metric, id_type=id_type), candidates, excluded).orderBy("distance", "id").limit(k)
+        if many > k:
+            got = hits.collect()  # k at most
+            if len(got) < k:
+                return knn(restrict(self.table, candidates, excluded), [(0, vector)], k, self.metric).select("id", "distance")
+            return self.table.sparkSession.createDataFrame(got, hits.schema)
+        return hits
+
+
+# By kind
+
+BUILDERS = {
+    "flat_int8": lambda rows, path, metric, **o: CodedIndex.build(rows, path, "int8", metric, **o),
+    "flat_float16": lambda rows, path, metric, **o: CodedIndex.build(rows, path, "float16", metric, **o),
+    "ivf_flat": lambda rows, path, metric, **o: IvfIndex.build(rows, path, metric=metric, **o),
+    "ivf_pq": lambda rows, path, metric, **o: IvfIndex.build(rows, path, metric=metric, **({"subvectors": 8} | o)),
+    "hnsw": lambda rows, path, metric, **o: GraphIndex.build(rows, path, "hnsw", metric, **o),
+    "disk_ann": lambda rows, path, metric, **o: GraphIndex.build(rows, path, "disk_ann", metric, **o),
+}
+INDEX_FORMAT = 1
+
+
+def build_index(kind: str, rows: DataFrame, path: str, metric: str = "cosine", **options):
+    check(kind in BUILDERS, "invalid_index_configuration", kind)
+    return BUILDERS[kind](rows, path, metric, **options)
+
+
+def _describe(spark, path: str, what: dict) -> None:
+    store = Store(spark, path)
+    found = store.latest("description")
+    store.commit("description", found[0] if found else 0, {"format": INDEX_FORMAT} | what)
+
+
+def open_index(spark, path: str):
+    """An index that was built at ``path``."""
+    found = Store(spark, path).latest("description")
+    check(found is not None, "index_not_found", path)
+    d = found[1]
+    check(d["format"] == INDEX_FORMAT, "index_corrupted", f"format {d['format']}")
+    table = spark.read.parquet(f"{path}/rows")
+    if d["kind"].startswith("ivf"):
+        return IvfIndex(table, _array(d["centroids"]), d["metric"], d["trained"], [_array(b) for b in d["books"]])
+    if d["kind"].startswith("flat"):
+        return CodedIndex(table, d["metric"], d["kind"].removeprefix("flat_"), d["parts"], _array(d["low"]), _array(d["scale"]), d["multiplier"])
+    return GraphIndex(spark.read.parquet(f"{path}/graphs"), table, d["metric"], d["width"])

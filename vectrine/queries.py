@@ -431,12 +431,12 @@ def int8_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(topk_sql("cosine"))
 def int8_rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return indexes.quantized_topk(vectors(spark, sf), query_vector(spark, sf), 10).select("id", F.round("distance", 6).alias("distance"))
+    return indexes.build_index("flat_int8", vectors(spark, sf), _folder(spark, "int8")).nearest(query_vector(spark, sf), 10).select("id", F.round("distance", 6).alias("distance"))
 
 
 @query(topk_sql("cosine"))
 def float16_rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return indexes.quantized_topk(vectors(spark, sf), query_vector(spark, sf), 10, "float16").select("id", F.round("distance", 6).alias("distance"))
+    return indexes.build_index("flat_float16", vectors(spark, sf), _folder(spark, "float16")).nearest(query_vector(spark, sf), 10).select("id", F.round("distance", 6).alias("distance"))
 
 
 def _folder(spark: SparkSession, name: str) -> str:
