@@ -145,6 +145,36 @@ def test_language_held_out(spark):
     assert sum(r.kept for r in got) / len(got) >= 0.99
 
 
+def plain_language(model, text):
+    """The two levels restated over a text's runs of letters, one machine at a time."""
+    letters = [c.lower() if c.isalnum() and not c.isascii() or c.isalpha() else " " for c in text]
+    score = dict(zip(model.pairs, map(float, model.bias)))
+    for k in range(3):
+        runs = [letters[i : i + k + 1] for i in range(len(letters) - k)]
+        runs = [r for r in runs if any(c != " " for c in r)]
+        for p, w in zip(model.pairs, model.weight):
+            total = 0.0
+            for r in runs:
+                h = 0
+                for c in r:
+                    h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+                total += float(w[((h + k) * 0x9E3779B1 & 0xFFFFFFFF) >> 20])
+            score[p] += total / len(runs) if runs else 0.0
+    if all(c == " " for c in letters):
+        return None
+    pick = lambda level, names: names[0] if len(names) == 1 else max(names, key=lambda n: sum((s > 0) == (n == a) for (f, a, b), s in score.items() if f == level and n in (a, b)))
+    family = pick("", sorted(model.langs))
+    return family, pick(family, model.langs[family])
+
+
+def test_language_brute_force(docs):
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.identify(docs.filter("n_chars < 3000"), model).collect()}
+    assert len(got) > 100
+    for r in docs.filter("n_chars < 3000").collect():
+        assert plain_language(model, r.text) == ((got[r.doc_id].pred_family, got[r.doc_id].pred_lang) if got[r.doc_id].pred_lang else None)
+
+
 def test_language_odd(spark, odd, none, docs):
     model = langid.fit(docs)
     got = langid.identify(odd, model)
@@ -276,6 +306,38 @@ def test_cube_many_groups(docs, monkeypatch):
     assert len(rows) == docs.count() and abs(s.sum() - pi.sum()) <= 2
 
 
+def test_cube_many_sources(spark, monkeypatch):
+    """As many sources as web domains have, of a few documents each."""
+    monkeypatch.setattr(cube, "GROUP", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(rng.integers(1, 60)), f"s{i % 150}") for i in range(600)]
+    got = cube.balanced_sample(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    pi, t, s = (np.array([float(r[c]) for r in got]) for c in ("pi", "n_tokens", "selected"))
+    assert len(got) == 600 and abs(s.sum() - pi.sum()) <= 2 and abs(s @ t - pi @ t) <= 120
+
+
+def plain_flight(p, t, rng):
+    """The flight restated with a null vector from a singular value decomposition of the constraints."""
+    p = p.copy()
+    while (free := np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))).size > 2:
+        some = free[:3]
+        u = np.linalg.svd(np.stack([np.ones(3), t[some] / t.max()]))[2][-1]
+        moves = [(x, d) for x, d in zip(p[some], u) if abs(d) > 1e-9]
+        up, down = min((1 - x if d > 0 else x) / abs(d) for x, d in moves), min((x if d > 0 else 1 - x) / abs(d) for x, d in moves)
+        p[some] = np.clip(p[some] + (up if rng.random() < down / (up + down) else -down) * u, 0, 1)
+        p[some] = np.where(p[some] < 1e-9, 0, np.where(p[some] > 1 - 1e-9, 1, p[some]))
+    return p
+
+
+def test_cube_against_a_plain_flight():
+    """Both keep the totals and leave two; and draw every document and pair of documents as often."""
+    p, t = np.array([0.3, 0.6, 0.5, 0.4, 0.7, 0.5]), np.array([4.0, 1.0, 3.0, 2.0, 5.0, 3.0])
+    draws = [np.array([cube.landing(fly(p, t, r := np.random.default_rng(i)), t, r) for i in range(3000)]) for fly in (cube.flight, plain_flight)]
+    for d in draws:
+        assert np.abs(d.mean(axis=0) - p).max() < 0.04 and set(d.sum(axis=1)) == {3.0}
+    assert np.abs(draws[0].T @ draws[0] - draws[1].T @ draws[1]).max() / 3000 < 0.12
+
+
 def test_cube_odd(odd, none):
     rows = cube.balanced_sample(odd).collect()
     assert sorted(r.doc_id for r in rows) == list(range(1, 13))
@@ -579,6 +641,15 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none):
             stage(spark, table, SF).collect()
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, bench, tmp_path):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, table in (("odd", odd), ("none", none)):
+        table.select(*columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns == [*columns, "shard"] and (got.count() > 0) == (name == "odd") and got.filter("doc_id in (1, 2, 3, 6)").isEmpty()
+
+
 def test_queries_are_registered():
     names = list(queries.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len(names) == 11

@@ -8,7 +8,8 @@ Flight: the vector of probabilities moves through the null space of the balancin
 (documents and tokens), by a random step that keeps every expectation, until an entry is 0 or 1.
 Three free documents are enough for two constraints, so each step is a cross product. The flight
 runs in groups of a source's documents side by side, then over what each group left (two at
-most), then over what each source left, which holds the totals over all sources.
+most), then over what each source left (in groups of sources first, where these are many), which holds the totals over
+all sources. Only the rates of the sources are found in one task, from one row each.
 Landing: at most two documents remain; their joint draw is the one, of all with these
 probabilities, that has the least expected squared deviation of the totals (a linear programme
 with its optimum at an end of an interval).
@@ -18,7 +19,7 @@ Draws are seeded by source and group, so a task that runs again draws the same.
 Defined cases: rows with a null id cannot be drawn and are left out; a null source is one source
 of its own; rows that repeat an id are one unit, with the tokens of its longest and the least
 source, and go in or out together; null and empty texts count 0 tokens; an empty table gives an
-empty result; other columns are ignored, and kept by :func:`mix`.
+empty result; ids are numbers or cast to them; other columns are ignored, and kept by :func:`mix`.
 """
 
 from __future__ import annotations
@@ -130,10 +131,10 @@ def balanced_sample(docs: DataFrame, weights: Mapping[str, float] | None = None,
     state = units.join(r, F.col("source").eqNullSafe(F.col("s"))).select("id", "source", "tokens", "pi", F.col("pi").alias("p"), F.pmod(F.xxhash64("id"), "groups").alias("g"))
     schema = "id bigint, source string, tokens bigint, pi double, p double, g bigint"
 
-    def fly(last: bool):
+    def fly(last: bool, over: str = ""):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-            name = "" if last else f"{pdf.source[0]!r}:{pdf.g[0]}"
+            name = "" if last else f"{over}:{pdf.g[0]}" if over else f"{pdf.source[0]!r}:{pdf.g[0]}"
             rng = np.random.default_rng([seed, zlib.crc32(name.encode()), last])
             # Long documents fly first, so that what is left to land is short.
             pdf = pdf.iloc[rng.permutation(len(pdf))].sort_values("tokens", ascending=False, kind="stable").reset_index(drop=True)
@@ -144,7 +145,8 @@ def balanced_sample(docs: DataFrame, weights: Mapping[str, float] | None = None,
 
         return run
 
-    most = rates.agg(F.max(F.ceil(F.col("docs") / GROUP))).first()[0] or 0
+    most, sources = rates.agg(F.max(F.ceil(F.col("docs") / GROUP)), F.count("*")).first()
+    most = most or 0
     done = spark.createDataFrame([], schema)
     while True:
         flown = materialise(state.groupBy("source", "g").applyInPandas(fly(False), schema), "cube-flown")
@@ -154,6 +156,12 @@ def balanced_sample(docs: DataFrame, weights: Mapping[str, float] | None = None,
             break
         most = -(-most // GROUP)
         state = state.withColumn("g", F.floor(F.col("g") / GROUP).cast("bigint"))
+    # Two documents a source are left at most. Where sources are many, groups of them fly before all do.
+    while 2 * sources > GROUP:
+        sources = -(-2 * sources // GROUP)
+        state = state.withColumn("g", F.pmod(F.xxhash64("source"), F.lit(sources)))
+        flown = materialise(state.groupBy("g").applyInPandas(fly(False, str(sources)), schema), "cube-flown")
+        done, state = done.union(flown.filter("p = 0 or p = 1")), flown.filter("p > 0 and p < 1")
     done = done.union(state.groupBy().applyInPandas(fly(True), schema))
     return done.select(F.col("id").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), "pi", (F.col("p") == 1).alias("selected"))
 

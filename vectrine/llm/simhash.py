@@ -9,7 +9,7 @@ only, hence no distinct over pairs is needed.
 Defined cases: null ids and texts without a letter or digit (null, empty) get no fingerprint;
 repeated rows count once; equal fingerprints are reported as a star around the least id, so a
 group of n copies gives n - 1 rows; other columns of the input are ignored; an empty table
-gives an empty result.
+gives an empty result; ids are numbers or cast to them.
 """
 
 from __future__ import annotations
