@@ -327,7 +327,7 @@ UNION ALL SELECT id, n, seq, CASE WHEN e IS NOT NULL THEN version WHEN k = 3 THE
 FROM (SELECT m.id, m.n, m.seq, s.version, m.k, m.text AS text1, s.text AS text0, m.x AS x1, s.x AS x0, m.meta AS meta1, s.meta AS meta0, CASE WHEN m.k = 0 AND s.version > 0 THEN 'document_already_exists' WHEN m.k IN (2, 3) AND s.version = 0 THEN 'document_not_found' WHEN m.k = 2 AND m.text IS NULL AND m.x IS NULL AND m.meta IS NULL THEN 'empty_update' END AS e FROM s JOIN m ON m.id = s.id AND m.n = s.n + 1))"""
 
 
-@query(FOLD_SQL + " SELECT id, version, text, round(x, 4)::DOUBLE AS x, meta FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1 AND version > 0 AND count(*) FILTER (n > 0 AND error_code IS NULL) OVER (PARTITION BY id) > 0")
+@query(FOLD_SQL + " SELECT id, version, text, round(x::DOUBLE, 4) AS x, meta FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1 AND version > 0 AND count(*) FILTER (n > 0 AND error_code IS NULL) OVER (PARTITION BY id) > 0")
 def upsert_patch_delete(spark: SparkSession, sf: str) -> DataFrame:
     _, rows = mutations.fold(*_mutations(spark, sf), atomic=False)
     meta = F.coalesce(F.col("metadata")["type"], F.col("metadata")["lang"])["keys"][0]
