@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vectrine import queries
+from vectrine.functions import statistics
 from vectrine.functions.distance import knn
 from vectrine.operators import indexes, mutations
 from vectrine.operators.chunking import ChunkOptions, chunk_sections, count_tokens
@@ -324,6 +325,54 @@ def test_texts_are_embedded_and_files_ingested(spark, catalog, tmp_path):
     assert [r.text for r in left] == ["Short now."] and c.count() == 3
 
 
+def test_shards_move_by_verified_steps(spark):
+    schema = "id string, text string, vector array<float>, metadata map<string,struct<kind:tinyint,keys:array<string>,nums:array<double>>>, version bigint"
+    frame = lambda *rows: spark.createDataFrame([(i, t, [1.0], None, v) for i, t, v in rows], schema)
+    a, b, changed = frame(("x", "1", 1), ("y", "2", 1)), frame(("x", "1", 1), ("z", "9", 1)), frame(("x", "1", 1), ("y", "3", 2))
+    m = placement.ShardMove("g1", "g2")
+    assert {(r.id, r.kind) for r in m.advance(a, b).collect()} == {("y", "upsert"), ("z", "delete")} and m.state == "catching_up" and m.serving == "g1"
+    assert m.advance(a, a) is None and m.state == "switching"
+    m.advance(changed, a)  # written in between
+    assert m.state == "catching_up" and m.serving == "g1"
+    assert [(r.id, r.kind) for r in m.advance(changed, a).collect()] == [("y", "upsert")]
+    m.advance(changed, changed), m.advance(changed, changed)
+    assert m.state == "draining" and m.serving == "g2"
+    m.advance(changed, changed)
+    assert m.state == "active"
+
+
+def test_write_queues_are_bounded():
+    q = placement.WriteQueue(10, 5, 8, 4)
+    assert q.offer("a", 1, "u", 4) and not q.offer("a", 1, "v", 2)
+    with pytest.raises(DomainError, match="queue_saturated: collection"):
+        q.offer("a", 1, "v", 2, waited_s=2.0)
+    with pytest.raises(DomainError, match="queue_saturated: client"):
+        q.offer("b", 2, "u", 1, waited_s=2.0)
+    q.done("a", 1, "u", 4)
+    assert q.offer("a", 1, "v", 2) and placement.groups_needed(1, 9, 0) == 12 and placement.groups_needed(1, 1, 100 << 30) == 4
+
+
+def test_shards_move_only_for_a_tenth():
+    assert placement.plan_shard_moves({"a": 100, "b": 95}) == [] and placement.plan_shard_moves({"a": 100, "b": 90}) == [("a", "b")]
+
+
+def test_intervals_and_counters(spark):
+    low, high = statistics.bootstrap_median([1.0, 1.1, 1.2, 1.1, 1.0] * 4)
+    assert 1.0 <= low <= 1.1 <= high <= 1.2
+    assert statistics.is_regression([2.0, 2.1, 2.2], [1.0, 1.1, 1.2], 0.1, 0.5) and not statistics.is_regression([1.0, 2.1, 1.2], [1.0, 1.1, 1.2], 0.1, 0.05)
+    df, counters = statistics.counted(spark.range(10), "c", even=F.col("id") % 2 == 0)
+    df.write.format("noop").mode("overwrite").save()
+    assert counters.get == {"rows": 10, "even": 5}
+
+
+def test_formats_by_content(spark, tmp_path):
+    (tmp_path / "plain").write_text("words, without an extension")
+    with zipfile.ZipFile(tmp_path / "paper", "w") as z:
+        z.writestr("word/document.xml", "<w:document/>")
+    got = {os.path.basename(r.path): r.format for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"plain": "text", "paper": "docx"}
+
+
 def test_graph_on_a_line():
     x = np.array([[v, 0, 0] for v in range(100)], float)
     g = indexes.Graph.hnsw(x, list(range(100)), "euclidean")

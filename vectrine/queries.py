@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vectrine.functions import filters as f
 from vectrine.functions import text as tx
 from vectrine.functions.distance import calibrate, knn, knn_join
+from vectrine.functions.statistics import qualified_percentile
 from vectrine.operators import bm25, fusion, indexes, mutations, sharding
 from vectrine.operators.chunking import chunk
 from vectrine.operators.collection import by_ids, page, signature
@@ -552,10 +553,12 @@ def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
 # Aggregates of benchmarks and planners
 
 
-@query("SELECT event_type, count(*)::BIGINT AS n, min(value) AS low, max(value) AS high, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS deviation, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+@query("SELECT event_type, user_id % 40 AS part, count(*)::BIGINT AS n, min(value) AS low, max(value) AS high, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS deviation, CASE WHEN count(*) >= 20 THEN round(quantile_cont(value, 0.95), 6) END AS p95, CASE WHEN count(*) >= 100 THEN round(quantile_cont(value, 0.99), 6) END AS p99 FROM events GROUP BY 1, 2")
 def distribution(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").groupBy("event_type")
-    return e.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.stddev_samp("value"), 6).alias("deviation"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    """Of small groups too, whose percentiles have too few values behind them."""
+    e = table(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 40).alias("part"))
+    p = lambda x: F.round(qualified_percentile(F.col("value"), x), 6)
+    return e.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.stddev_samp("value"), 6).alias("deviation"), p(0.95).alias("p95"), p(0.99).alias("p99"))
 
 
 @query(f"SELECT data_group, count(*)::BIGINT AS documents FROM (SELECT CASE ((shard_id + o) % 3) WHEN 0 THEN 'g1' WHEN 1 THEN 'g2' ELSE 'g3' END AS data_group FROM ({SHARD_SQL}), (SELECT ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT % 3 AS o FROM (SELECT sha256(unhex('{COLLECTION.bytes_le.hex()}') || encode('{COLLECTION.hex}')) AS h))) GROUP BY 1")

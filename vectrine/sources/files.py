@@ -77,10 +77,14 @@ EXTRACTORS = {"text": text_sections, "docx": docx_sections, "pptx": pptx_section
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, format) of a folder or glob; raises ``unsupported_document_format`` when such a file is read."""
+    """(path, content, format) of a folder or glob, by extension or, without a known one, by content: an archive with the
+    parts of a format, or text. Raises ``unsupported_document_format`` when another file is read."""
     rows = spark.read.format("binaryFile").load(path).select("path", "content")
     ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
-    kind = F.coalesce(*[F.when(ext == e, F.lit(f)) for e, f in FORMATS.items()], F.raise_error(F.concat(F.lit("unsupported_document_format: "), F.col("path"))))
+    body = F.decode("content", "ISO-8859-1")
+    archive = body.startswith("PK\x03\x04")
+    sniffed = F.when(archive & body.contains("word/document.xml"), "docx").when(archive & body.contains("ppt/slides/"), "pptx").when((ext == "") & ~archive & ~body.contains("\x00"), "text")
+    kind = F.coalesce(*[F.when(ext == e, F.lit(f)) for e, f in FORMATS.items()], sniffed, F.raise_error(F.concat(F.lit("unsupported_document_format: "), F.col("path"))))
     return rows.withColumn("format", kind)
 
 
