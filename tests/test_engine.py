@@ -303,8 +303,12 @@ def test_collections_search_through_their_index(spark, catalog, kind, options):
     assert c._nearest(c.manifest()) is None and ask(x[7].tolist())[0] == "new"
     assert c.build_index(**options) >= 0.9 and ask(x[9].tolist())[:2] == ["d008", "d009"]
     with pytest.raises(DomainError, match="index_rejected"):
-        c.build_index(minimum_recall=1.1, **options)
-    assert c._nearest(c.manifest()) is not None
+        c.migrate("flat_int8", minimum_recall=1.1)
+    assert c.definition.index == kind and c._nearest(c.manifest()) is not None
+    c.migrate("flat_int8")
+    assert catalog.get("docs").definition.index == "flat_int8" and ask(x[9].tolist())[:2] == ["d008", "d009"]
+    c.rollback_index()
+    assert catalog.get("docs").definition.index == kind and ask(x[9].tolist())[:2] == ["d008", "d009"]
 
 
 def test_texts_are_embedded_and_files_ingested(spark, catalog, tmp_path):
@@ -325,6 +329,22 @@ def test_texts_are_embedded_and_files_ingested(spark, catalog, tmp_path):
     assert [r.text for r in left] == ["Short now."] and c.count() == 3
 
 
+def test_events_are_signed(spark, catalog):
+    import hmac
+
+    c = catalog.create("docs", 2)
+    c.mutate(batch(spark, ("upsert", "b", "x", [1.0, 0.0]), ("upsert", "a", "y", [1.0, 0.0])))
+    c.mutate(batch(spark, ("delete", "a")))
+    sent = streams.geo_outbox(c, "a key", 7)
+    rows = sent.orderBy("sequence").collect()
+    assert [(r.sequence, r.op, r.id) for r in rows] == [(8, "upsert", "a"), (9, "upsert", "b"), (10, "delete", "a")]
+    for r in rows:
+        fields = [str(r[f]) for f in streams.SIGNED]
+        assert r.signature == hmac.new(b"a key", "".join(f"{len(f)}:{f}" for f in fields).encode(), "sha256").hexdigest()
+    assert streams.verified(sent, "a key").count() == 3 and streams.verified(sent, "k" * 100).count() == 0
+    assert streams.verified(sent.withColumn("content_hash", F.lit("other")), "a key").count() == 0
+
+
 def test_shards_move_by_verified_steps(spark):
     schema = "id string, text string, vector array<float>, metadata map<string,struct<kind:tinyint,keys:array<string>,nums:array<double>>>, version bigint"
     frame = lambda *rows: spark.createDataFrame([(i, t, [1.0], None, v) for i, t, v in rows], schema)

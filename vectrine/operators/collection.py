@@ -208,10 +208,27 @@ class Collection:
 
     # the index
 
-    def build_index(self, minimum_recall: float = 0.9, k: int = 10, asked: int = 64, **options) -> float | None:
+    def migrate(self, kind: str, **options) -> float | None:
+        """Take another kind of index while the old one serves and writes go on: it is built of the last commit, and what is
+        written meanwhile comes from the log. The definition changes only once the new one has been accepted."""
+        recall = self.build_index(kind=kind, **options)
+        self._use(kind)
+        return recall
+
+    def rollback_index(self) -> None:
+        """Back to the generation before, and to its kind."""
+        generations = Generations(self.store, self.definition.name).load()
+        generations.rollback()
+        self._use(generations.active["kind"])
+
+    def _use(self, kind: str) -> None:
+        self.definition.index = kind
+        self.store.put(f"{self.folder}/definition.json", json.dumps(self.definition.__dict__).encode())
+
+    def build_index(self, minimum_recall: float = 0.9, k: int = 10, asked: int = 64, kind: str | None = None, **options) -> float | None:
         """A new generation of the index that the definition names, of the last commit; it takes over if its recall, of
         the first ids against the exact search, is enough. Gives the recall; a flat collection has no index."""
-        kind, m = self.definition.index, self.manifest()
+        kind, m = kind or self.definition.index, self.manifest()
         generations = Generations(self.store, self.definition.name).load()
         if kind == "flat":
             return None

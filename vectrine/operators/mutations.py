@@ -1,11 +1,13 @@
 """Mutations: add, upsert, update, delete, folded in order for each id, atomic or not.
 
 A batch is a DataFrame (seq, kind, id, text, vector, metadata) where null fields of an update keep
-the stored value. Ids fold side by side; only rows of the same id meet in a task.
+the stored value. Ids fold side by side, each a stream in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,31 +46,34 @@ def fold(current: DataFrame, batch: DataFrame, atomic: bool = True, maximum: int
     slim = batch.select("seq", "kind", "id", F.col("text").isNull().alias("no_text"), F.col("vector").isNull().alias("no_vector"), F.col("metadata").isNull().alias("no_metadata")).join(stored, "id", "left")
     schema = T.StructType(list(RESULT.fields)).add("op", T.StringType()).add("base", T.LongType())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        first = pdf.stored_version.iloc[0]
-        version = None if pd.isna(first) else int(first)
-        rows, base = [], -1 if version is None else 0
-        for m in pdf.itertuples():
-            code = None
-            if m.kind == "add" and version is not None:
-                code = "document_already_exists"
-            elif m.kind in ("update", "delete") and version is None:
-                code = "document_not_found"
-            elif m.kind == "update" and m.no_text and m.no_vector and m.no_metadata:
-                code = "empty_update"
-            if code:
-                rows.append((m.seq, m.id, False, code, None, None, base))
-                continue
-            new = (version or 0) + 1
-            if m.kind != "update":
-                base = m.seq if m.kind != "delete" else -1
-            version = None if m.kind == "delete" else new
-            rows.append((m.seq, m.id, True, None, new, "delete" if m.kind == "delete" else "upsert", base))
-        out = pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-        return out.astype({"version": "Int64", "base": "Int64"})
-
-    folded = slim.groupBy("id").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, version, base = None, None, -1
+        for pdf in batches:
+            rows = []
+            columns = (pdf[c].tolist() for c in ("seq", "kind", "id", "no_text", "no_vector", "no_metadata", "stored_version"))
+            for seq, kind, id_, no_text, no_vector, no_metadata, stored_version in zip(*columns):
+                if id_ != now:
+                    now, version = id_, None if pd.isna(stored_version) else int(stored_version)
+                    base = -1 if version is None else 0
+                code = None
+                if kind == "add" and version is not None:
+                    code = "document_already_exists"
+                elif kind in ("update", "delete") and version is None:
+                    code = "document_not_found"
+                elif kind == "update" and no_text and no_vector and no_metadata:
+                    code = "empty_update"
+                if code:
+                    rows.append((seq, id_, False, code, None, None, base))
+                    continue
+                new = (version or 0) + 1
+                if kind != "update":
+                    base = seq if kind != "delete" else -1
+                version = None if kind == "delete" else new
+                rows.append((seq, id_, True, None, new, "delete" if kind == "delete" else "upsert", base))
+            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields]).astype({"version": "Int64", "base": "Int64"})
+
+    # Sorted and streamed, so that an id with very many mutations is never held as a group.
+    folded = slim.repartition("id").sortWithinPartitions("id", "seq").mapInPandas(run, schema)
     none = lambda t: F.lit(None).cast(t)
     folded = folded.union(wrong.select("seq", "id", F.lit(False), "error_code", none("bigint"), none("string"), none("bigint")))
     if atomic:

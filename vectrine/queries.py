@@ -21,7 +21,7 @@ from vectrine.operators.collection import by_ids, page, signature
 from vectrine.operators.search import SearchRequest, search
 from vectrine.schema import metadata
 from vectrine.session import scratch_dir
-from vectrine.streaming.streams import TokenBucket
+from vectrine.streaming.streams import admit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -531,23 +531,17 @@ def token_windows(spark: SparkSession, sf: str) -> DataFrame:
     return ids.select("conv_id", tx.token_windows(F.col("ids"), 6).alias("windows"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE m AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, t, n, 1.0::DOUBLE AS tokens, true AS accepted FROM m WHERE n = 1
+UNION ALL SELECT user_id, event_id, t, n, CASE WHEN h >= 1 THEN h - 1 ELSE h END, h >= 1 FROM (SELECT m.*, least(2.0::DOUBLE, s.tokens + (m.t - s.t) * 0.01::DOUBLE) AS h FROM s JOIN m ON m.user_id = s.user_id AND m.n = s.n + 1))
+SELECT user_id, event_id, accepted FROM s"""
+)
 def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     """Admission of events by a bucket a user: 1 token in 100 seconds, burst 2."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"], kind="stable")
-        b, out = TokenBucket(0.01, 2, float(pdf["at"].iloc[0])), []
-        for r in pdf.itertuples():
-            wait = b.retry_after(1.0, r.at)
-            if not wait:
-                b.take(1.0)
-            out.append((r.user_id, r.event_id, wait == 0))
-        return pd.DataFrame(out, columns=["user_id", "event_id", "accepted"])
-
-    e = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).select("user_id", "event_id", (F.col("us") / 1e6).alias("at"))
-    return e.groupBy("user_id").applyInPandas(run, "user_id bigint, event_id bigint, accepted boolean")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return admit(e, 0.01, 2).select(F.col("client").alias("user_id"), F.col("request").alias("event_id"), "accepted")
+
 
 
 # Aggregates of benchmarks and planners

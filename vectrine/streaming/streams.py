@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -84,6 +86,59 @@ class TokenBucket:
         self.tokens = max(0.0, self.tokens - cost)
 
 
+def admit(requests: DataFrame, rate: float, burst: float, cost: float = 1.0) -> DataFrame:
+    """(client, request, accepted) of requests (client, request, at in seconds) by a bucket a client, in order of time.
+    Rows are sorted and streamed, so that a client with very many requests is never held as a group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, bucket = None, None
+        for pdf in batches:
+            out = []
+            for c, at in zip(pdf["client"].tolist(), pdf["at"].tolist()):
+                if bucket is None or c != client:
+                    client, bucket = c, TokenBucket(rate, burst, at)
+                out.append(not bucket.retry_after(cost, at))
+                if out[-1]:
+                    bucket.take(cost)
+            yield pd.DataFrame({"client": pdf["client"], "request": pdf["request"], "accepted": out})
+
+    kinds = [f"{c} {requests.schema[c].dataType.simpleString()}" for c in ("client", "request")]
+    return requests.select("client", "request", "at").repartition("client").sortWithinPartitions("client", "at", "request").mapInPandas(run, ", ".join([*kinds, "accepted boolean"]))
+
+
+def sign(events: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``events`` with ``signature``: HMAC-SHA-256 of the columns, each behind its length, by built-in functions only."""
+    raw = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    pad = lambda b: F.lit(bytes(x ^ b for x in raw.ljust(64, b"\0")))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0001"))
+    message = F.encode(F.concat(*[F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)) for c in columns]), "UTF-8")
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message), 256))
+    return events.withColumn("signature", F.sha2(F.concat(pad(0x5C), inner), 256))
+
+
+SIGNED = ("origin_id", "sequence", "event_id", "content_hash")
+
+
+def geo_outbox(collection: Collection, key: str, after: int = 0) -> DataFrame:
+    """Signed events (origin_id, sequence, event_id, content_hash, op, id, text, vector, metadata, version) of the segments
+    since the snapshot, numbered without gaps from ``after`` + 1; a segment's rows are numbered by id."""
+    m, out = collection.manifest(), None
+    first = after
+    for s in m["segments"]:
+        rows = collection._read([s])
+        number = F.row_number().over(Window.partitionBy("seq").orderBy("id")) + F.lit(first)
+        digest = F.sha2(F.to_json(F.struct("op", "id", "text", "vector", "version", F.array_sort(F.map_entries("metadata")).alias("metadata"))), 256)
+        one = rows.select(F.lit(collection.definition.id).alias("origin_id"), number.cast("bigint").alias("sequence"), F.concat_ws(":", "seq", "id").alias("event_id"), digest.alias("content_hash"), "op", "id", "text", "vector", "metadata", "version")
+        out, first = one if out is None else out.unionByName(one), first + s["rows"]
+    check(out is not None, "nothing_to_send", collection.definition.name)
+    return sign(out, key, *SIGNED)
+
+
+def verified(events: DataFrame, key: str) -> DataFrame:
+    """Events whose signature is of the key and of their content."""
+    return sign(events.withColumnRenamed("signature", "__given"), key, *SIGNED).filter("signature = __given").drop("__given")
+
+
 def request_cost(body_bytes: int) -> float:
     return 1 + body_bytes / 65_536
 
