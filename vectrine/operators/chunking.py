@@ -6,9 +6,12 @@ Packing depends on what came before, so each document is packed in order, and do
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,43 +40,82 @@ class ChunkOptions:
 
 
 def count_tokens(text: str) -> int:
-    return sum((len(r) + 3) // 4 if len(r) > 1 or r.isalnum() or r in "'’_" else 1 for r in RUN.findall(text))
+    return sum((len(r) + 3) // 4 for r in RUN.findall(text))
+
+
+@lru_cache(None)
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 for white space, 1 for what words are of, 2 for a mark."""
+    out = np.full(0x110000, 2, np.uint8)
+    for plane in range(0, len(out), 1 << 16):
+        every = "".join(map(chr, range(plane, plane + (1 << 16))))
+        for kind, pattern in ((0, r"\s+"), (1, r"(?:[^\W_]|['’_])+")):
+            for m in re.finditer(pattern, every):
+                out[plane + m.start() : plane + m.end()] = kind
+    return out
+
+
+class _Costs:
+    """Tokens of any part of a text that doesn't begin or end within one, from one pass over it."""
+
+    def __init__(self, text: str) -> None:
+        kind = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        word = np.concatenate([[False], kind == 1, [False]])
+        begin, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+        marks = np.flatnonzero(kind == 2)
+        start, cost = np.concatenate([begin, marks]), np.concatenate([(end - begin + 3) // 4, np.ones(len(marks), np.int64)])
+        order = np.argsort(start, kind="stable")
+        self.start, self.sum = start[order].tolist(), [0, *np.cumsum(cost[order]).tolist()]
+
+    def __call__(self, a: int, b: int) -> int:
+        return self.sum[bisect_left(self.start, b)] - self.sum[bisect_left(self.start, a)]
+
+
+def _trim(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a].isspace():
+        a += 1
+    while a < b and text[b - 1].isspace():
+        b -= 1
+    return a, b
 
 
-def _pieces(text: str, separators: Sequence[str], maximum: int) -> list[str]:
-    """Leaves of the split, depth first."""
-    out, stack = [], [(text, 0)]
+def _pieces(text: str, separators: Sequence[str], maximum: int) -> list[tuple[str, int]]:
+    """Leaves of the split, depth first, and what they cost. All separators hold white space, so that no token is split."""
+    cost = _Costs(text)
+    out, stack = [], [(0, len(text), 0)]
     while stack:
-        t, level = stack.pop()
-        if count_tokens(t) <= maximum:
-            out.append(t.strip())
+        a, b, level = stack.pop()
+        if (n := cost(a, b)) <= maximum:
+            out.append((text[a:b], n))
         elif level == len(separators):
-            out += _cut(t, maximum)
+            out += _cut(text, a, b, cost, maximum)
         else:
-            s = separators[level]
-            parts = [p + s for p in t.split(s)]
-            parts[-1] = parts[-1][: -len(s)]
-            stack += [(p, level + 1) for p in reversed([p.strip() for p in parts]) if p]
+            s, parts, at = separators[level], [], a
+            while (k := text.find(s, at, b)) >= 0:
+                parts.append(_trim(text, at, k + len(s)))
+                at = k + len(s)
+            parts.append(_trim(text, at, b))
+            stack += [(x, y, level + 1) for x, y in reversed(parts) if x < y]
     return out
 
 
-def _cut(text: str, maximum: int) -> list[str]:
+def _cut(text: str, a: int, b: int, cost: _Costs, maximum: int) -> list[tuple[str, int]]:
     """Words packed up to the limit; a longer word in windows of three characters a token. No token spans two words,
     so what words cost adds up."""
-    out: list[str] = []
+    out: list[tuple[str, int]] = []
     held: list[str] = []
     size, step = 0, max(1, 3 * maximum)
-    for w in text.split():
-        n = count_tokens(w)
+    for m in re.compile(r"\S+").finditer(text, a, b):
+        n = cost(*m.span())
         if held and size + n > maximum:
-            out.append(" ".join(held))
+            out.append((" ".join(held), size))
             held, size = [], 0
         if n > maximum:
-            out += [w[i : i + step] for i in range(0, len(w), step)]
+            out += [(w, count_tokens(w)) for w in (m[0][i : i + step] for i in range(0, len(m[0]), step))]
         else:
-            held.append(w)
+            held.append(m[0])
             size += n
-    return out + [" ".join(held)] * bool(held)
+    return out + [(" ".join(held), size)] * bool(held)
 
 
 def _tail(texts: list[str], limit: int) -> tuple[str, int] | None:
@@ -98,7 +140,7 @@ def chunk_sections(sections: Sequence[dict], o: ChunkOptions = ChunkOptions()) -
     for s in sections:
         text = (s["text"] or "").strip()
         if text:
-            units += [(p, n, s["sequence"], s["location"], s.get("heading")) for p in _pieces(text, SEPARATORS[o.strategy], o.maximum) if (n := count_tokens(p))]
+            units += [(p, n, s["sequence"], s["location"], s.get("heading")) for p, n in _pieces(text, SEPARATORS[o.strategy], o.maximum) if n]
     packs: list[list[tuple]] = []
     held: list[tuple] = []
     size = 0
