@@ -28,6 +28,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: Lists of the indexes whose recall is measured.
 LISTS = 4
+#: Rows that product codes short-list, times k.
+RERANK = 160
 TEXT = "the and with of er"
 PROMOTED = {"lang": ("text", "lang"), "source": ("text", "source"), "n_chars": ("integral", "n_chars"), "label": ("integral", "label"), "quality": ("integral", "quality"), "toxic": ("integral", "toxic")}
 COLLECTION = uuid.UUID("6f9619ff-8b86-d011-b42d-00c04fc964ff")
@@ -491,7 +493,7 @@ def recall_at_k_probed(spark: SparkSession, sf: str) -> DataFrame:
     for kind, options in (("ivf", {}), ("ivf_pq", {"subvectors": 8, "codes": 8})):
         index = indexes.IvfIndex.build(rows, _folder(spark, kind), lists=LISTS, **options)
         for nprobe in (1, 2, 3):
-            one = fusion.recall_at(index.search_join(rows, 5, nprobe), truth, 5).select(F.lit(kind).alias("kind"), F.lit(LISTS).alias("lists"), F.lit(nprobe).alias("nprobe"), "recall")
+            one = fusion.recall_at(index.search_join(rows, 5, nprobe, RERANK), truth, 5).select(F.lit(kind).alias("kind"), F.lit(LISTS).alias("lists"), F.lit(nprobe).alias("nprobe"), "recall")
             out = one if out is None else out.unionByName(one)
     return out
 
