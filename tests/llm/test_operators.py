@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vectrine.llm import chat, cube, decontam, golay_dedup, htmltext, langid, pii, queries, secrets, sharding, simhash
+from vectrine.llm import chat, cube, decontam, golay_dedup, htmltext, langid, pii, queries, secrets, sharding, shared, simhash
 from vectrine.llm.components import components
 from vectrine.llm.kernel import Words
 from vectrine.llm.shared import drop_tables, shared_dir
@@ -642,11 +642,13 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none):
 
 
 def test_pipeline_on_odd_and_empty_tables(spark, odd, none, bench, tmp_path):
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    columns, made = ["doc_id", "text", "lang", "source", "n_chars"], len(shared._MADE)
     for name, table in (("odd", odd), ("none", none)):
         table.select(*columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert len(shared._MADE) == made + 1  # nothing is left of the stages but the result
+        made += 1
         assert got.columns == [*columns, "shard"] and (got.count() > 0) == (name == "odd") and got.filter("doc_id in (1, 2, 3, 6)").isEmpty()
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +35,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    _MADE.append(path)
     return out
 
 
+#: Paths in the order in which they were written.
+_MADE: list[str] = []
+
+
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table of :func:`materialise` that nothing reads any more."""
-    _delete(df.sparkSession, _PATHS.pop(df))
+    path = _PATHS.pop(df)
+    _MADE.remove(path)
+    _delete(df.sparkSession, path)
+
+
+@contextmanager
+def only_results(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete what :func:`materialise` writes within, but for the tables that are put into the list."""
+    first, kept = len(_MADE), []
+    yield kept
+    keep = {_PATHS[df] for df in kept}
+    for path in _MADE[first:]:
+        if path not in keep:
+            _delete(spark, path)
+    _MADE[first:] = sorted(keep)
 
 
 def drop_tables(spark: SparkSession) -> None:
