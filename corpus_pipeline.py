@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vectrine.llm import cube, decontam, golay_dedup, langid, sharding
-from vectrine.llm.shared import materialise, prepare
+from vectrine.llm.shared import drop_table, materialise, only_results, prepare
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        with only_results(spark) as results:
+            before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+            results.append(docs)
+        if k:
+            drop_table(before)
     return docs
