@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,51 @@ def test_large_buckets_find_what_small_ones_do(monkeypatch):
     assert groups[0] == groups[1] == groups[2] and len(set(groups[0])) < len(f)
 
 
+def test_crowded_first_index_takes_little_memory():
+    """Texts of one language crowd in few indices: the work on one first index must not hold what its buckets expand to."""
+    rng = np.random.default_rng(7)
+    f, g = random_bits(rng, 3000, 6)
+    f = np.concatenate([f, g])
+    f[:, 0] &= ~np.int64((1 << 46) - 1) | 7 | 7 << 23  # two segments that nearly all share
+    f = np.hstack([f, rng.integers(0, 1 << 62, (3000, 1)).repeat(2, axis=1).T.reshape(-1, 1)])
+    row, half = golay_dedup.half_keys(f)
+    row = row[half == half.min()]
+    tracemalloc.start()
+    try:
+        edges = golay_dedup.group_edges(np.full(len(row), half.min()), row, f[row])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    found = {(int(u), int(v)) for u, v in edges}
+    both = set(row[row < 3000]) & {x - 3000 for x in row[row >= 3000]}
+    assert len(both) > 500 and sum((i, i + 3000) in found for i in both) >= 0.99 * len(both)
+    assert peak < 20e6
+
+
+@pytest.mark.parametrize("alone,members,pairs,many", [(2, 50, 64, 16), (16, 1 << 17, 300, 0), (1 << 40, 1 << 17, 1 << 17, 16)])
+def test_bucket_edges_in_small_pieces(monkeypatch, alone, members, pairs, many):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 46, (9, 4))
+    f = np.concatenate([base ^ (np.int64(1) << rng.integers(0, 46, (9, 4))) for _ in range(30)])
+    key = rng.integers(0, 3, len(f))
+    for name, value in (("ALONE", alone), ("MEMBERS", members), ("PAIRS", pairs), ("MANY", many)):
+        monkeypatch.setattr(golay_dedup, name, value)
+    root = list(range(len(f)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for u, v in golay_dedup.bucket_edges(key, np.arange(len(f)), f, 8):
+        assert key[u] == key[v] and golay_dedup.close(f[[u]], f[[v]], 8)[0]
+        root[max(find(u), find(v))] = min(find(u), find(v))
+    least = {}
+    for i in range(len(f)):
+        least.setdefault((key[i], i % 9), i)
+    assert [find(i) for i in range(len(f))] == [least[key[i], i % 9] for i in range(len(f))]
+
+
 def scalar_jump(key: int, n: int) -> int:
     b, j = -1, 0
     while j < n:

@@ -11,11 +11,14 @@
    three segments share surely; at the RADIUS of 32 they still do in 93 % of cases.
 4. Of three segments two lie in one half (of four), so a fingerprint is sent once for each index of the first
    segment of a pair in a half (six segments, 32 rows), and the others are decoded where it arrives: the
-   second segment makes buckets, and large buckets are split by the third. Rows come sorted and are worked on
-   a few first indices at a time; the rows of one, a 24,576th of all that are sent, are what a task holds.
-5. Each bucket verifies its members by both full distances. Members are taken breadth first
-   and compared only to those not yet reached, which finds the bucket's connected components
-   exactly; a bucket of n copies of one another costs n comparisons and n - 1 edges, not n ** 2.
+   second segment makes buckets, and very large buckets are split by the third. Rows come sorted and are worked on
+   a few first indices at a time; the rows of one are what a task holds. Of what these expand to it holds one second
+   segment's (row, index) pairs, in eight bytes each, and works on a bounded number of members and pairs at once.
+   Indices are not even: votes of one language lean one way, so a crowded index may have a tenth of all texts.
+5. Each bucket verifies its members by both full distances, that of word pairs first, which few pass. Small buckets go
+   together, breadth first: members are compared only to those not yet reached, which finds the bucket's connected
+   components exactly. Large ones go alone, all pairs a block at a time, or breadth first where many are near, so that
+   n copies of one another cost n comparisons and n - 1 edges, not n ** 2.
 6. Components of all edges are the groups; the least id of each stays.
 
 Defined cases: rows with a null id, and texts without a letter or digit (null, empty), are never
@@ -27,6 +30,8 @@ texts are used whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +49,12 @@ BITS = SEGMENTS * SEGMENT_BITS
 FIRST = (0, 1, 2, 4, 5, 6)
 #: Differing bits up to which three segments share an index surely.
 SURE = 17
-#: Rows that are worked on at once (all of one first index at least), and members from which a bucket is split.
-CHUNK, LARGE = 1 << 16, 64
+#: Rows (all of one first index at least), members of buckets (all of one at least) and pairs that are worked on at once.
+CHUNK, MEMBERS, PAIRS = 1 << 16, 1 << 17, 1 << 17
+#: Members up to which buckets go together, and from which a bucket is split.
+ALONE, LARGE = 128, 16384
+#: Near members behind a member, on average, from which a bucket that goes alone is walked breadth first.
+MANY = 16
 #: Bits that near duplicates differ in at most, of the 184 of words and the 64 of word pairs.
 RADIUS, ORDER_RADIUS = 32, 24
 PARTS = ("f0", "f1", "f2", "f3", "f4")
@@ -78,8 +87,8 @@ def _segment(f: np.ndarray, s: int) -> np.ndarray:
 def _expand(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, codeword index) for every index of each word."""
     k, n = golay.keys(words)
-    r, i = np.nonzero(np.arange(6) < n[:, None])
-    return r, k[r, i]
+    one, six = np.flatnonzero(n == 1), np.flatnonzero(n == 6)
+    return np.concatenate([one, np.repeat(six, 6)]), np.concatenate([k[one, 0], k[six].ravel()])
 
 
 def half_keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,31 +101,6 @@ def half_keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def whole_keys(half: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key with a second segment of the half and its index too) for rows of half keys."""
-    rows, keys = [], []
-    for p, a in enumerate(FIRST):
-        here = np.flatnonzero(half >> golay.K == p)
-        for b in range(a + 1, 4 * (a // 4 + 1)):
-            r, k = _expand(_segment(f[here], b))
-            rows.append(here[r])
-            keys.append((half[here[r]] << 3 | b) << golay.K | k)
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def third_keys(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) for rows of whole keys, by every segment that is in none of the two."""
-    number = np.unique(key, return_inverse=True)[1]
-    first, second = np.array(FIRST)[key >> 2 * golay.K + 3], key >> golay.K & 7
-    rows, keys = [], []
-    for c in range(SEGMENTS):
-        here = np.flatnonzero((first != c) & (second != c))
-        r, k = _expand(_segment(f[here], c))
-        rows.append(here[r])
-        keys.append((number[here[r]] << 3 | c) << golay.K | k)
-    return np.concatenate(rows), np.concatenate(keys)
-
-
 def shared(f: np.ndarray, g: np.ndarray) -> np.ndarray:
     """In how many segments fingerprints (rows) share an index."""
     out = np.zeros(len(f), np.int64)
@@ -129,64 +113,208 @@ def shared(f: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 def close(f: np.ndarray, g: np.ndarray, radius: int, order_radius: int = ORDER_RADIUS) -> np.ndarray:
     """Whether fingerprints (rows of the four longs and, if so, that of word pairs) are candidates and near duplicates."""
-    bits = np.bitwise_count((f ^ g).view(np.uint64))  # of signed numbers it counts the absolute value
-    distance = bits[:, :4].sum(axis=1, dtype=np.int32)
-    near = (distance <= radius) & (bits[:, 4:] <= order_radius).all(axis=1)
+    near, distance = within(f, g, radius, order_radius)
     unsure = np.flatnonzero(near & (distance > SURE))
     near[unsure] = shared(f[unsure], g[unsure]) >= 3
     return near
 
 
+def within(f: np.ndarray, g: np.ndarray, radius: int, order_radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether fingerprints are within both radii, their distance)."""
+    bits = np.bitwise_count((f ^ g).view(np.uint64))  # of signed numbers it counts the absolute value
+    distance = bits[:, 0].astype(np.int32)
+    for k in range(1, 4):
+        distance += bits[:, k]
+    near = distance <= radius
+    for k in range(4, bits.shape[1]):
+        near &= bits[:, k] <= order_radius
+    return near, distance
+
+
+def near_pairs(f: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int, order_radius: int) -> np.ndarray:
+    """Which of the pairs of rows are near, a bounded number of them at a time."""
+    return np.concatenate([np.zeros(0, bool), *[close(f[i[k : k + PAIRS]], f[j[k : k + PAIRS]], radius, order_radius) for k in range(0, len(i), PAIRS)]])
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64))
+
+
+class Buckets:
+    """Near pairs within buckets of rows of ``f``. Pairs are first held to the last long alone, which few pass."""
+
+    def __init__(self, f: np.ndarray, radius: int, order_radius: int) -> None:
+        self.f, self.radius, self.order_radius = f, radius, order_radius
+        self.last, self.most = np.ascontiguousarray(f[:, -1]), order_radius if f.shape[1] > 4 else radius
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return near_pairs(self.f, i, j, self.radius, self.order_radius)
+
+    def verified(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that are near, each once, of pairs that may recur."""
+        pair = np.unique(np.minimum(i, j) << 32 | np.maximum(i, j))
+        i, j = pair >> 32, pair & 0xFFFFFFFF
+        ok = self.near(i, j)
+        return i[ok], j[ok]
+
+    def together(self, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows that connect what is connected within each of many small buckets row[at:at + size].
+
+        All buckets go round at once. In each round a bucket's next member that is reached but not yet
+        expanded, or else its next unreached one, is compared to its unreached members.
+        """
+        found = []
+        # queue[at:at + size]: members; the first `head` are expanded, up to `tail` reached, the rest not.
+        queue, last = row.copy(), self.last[row]
+        head, tail = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
+        while len(at):
+            rest = size - tail
+            n = int(rest.sum())
+            bucket = np.repeat(np.arange(len(at)), rest)
+            slot = np.repeat(at + tail - np.cumsum(rest) + rest, rest) + np.arange(n)
+            hit = np.flatnonzero(_bits(last[at + head][bucket] ^ last[slot]) <= self.most)
+            pivot, member = queue[at + head][bucket[hit]], queue[slot[hit]]
+            ok = self.near(pivot, member)
+            hit = hit[ok]
+            found.append((pivot[ok], member[ok]))
+            if len(hit):  # the near members move to the front of the unreached
+                near, touched = np.zeros(n, bool), np.zeros(len(at), bool)
+                near[hit], touched[bucket[hit]] = True, True
+                some = np.flatnonzero(touched[bucket])
+                slot, move = slot[some], np.lexsort((~near[some], bucket[some]))
+                queue[slot], last[slot] = queue[slot[move]], last[slot[move]]
+                tail = tail + np.bincount(bucket[hit], minlength=len(at))
+            head = head + 1
+            tail = np.maximum(tail, head + 1)  # nothing reached is left: the next unreached one starts anew
+            live = tail < size
+            at, size, head, tail = at[live], size[live], head[live], tail[live]
+        return found
+
+    def _block(self, last: np.ndarray, a: int, b: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (of a:b, of c: and behind the first) that pass by the last long."""
+        hit = np.flatnonzero(_bits(last[a:b, None] ^ last[None, c:]) <= self.most)
+        p, q = np.divmod(hit, len(last) - c)
+        p, q = p + a, q + c
+        behind = q > p
+        return p[behind], q[behind]
+
+    def alone(self, row: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for one large bucket, whose members are compared to all behind them a block at a time; where
+        many are near, breadth first, so that n copies of one another cost n comparisons. Pairs are within the radii,
+        and near where what they connect rests on them: :meth:`verified` tells."""
+        row, last, found, i, n, wide = row.copy(), self.last[row], [], 0, len(row), 8
+        while i < n - 1:
+            j = i + max(1, min(wide, n - i, PAIRS // (n - i)))
+            p, q = self._block(last, i, j, i + 1)
+            ok = within(self.f[row[p]], self.f[row[q]], self.radius, self.order_radius)[0]
+            if np.count_nonzero(ok) <= MANY * (j - i):
+                found.append((row[p[ok]], row[q[ok]]))
+                i, wide = j, min(64, 2 * wide)
+                continue
+            head, tail, wide = i, i + 1, 8
+            while head < tail < n:  # expanded up to head, reached up to tail
+                j = head + max(1, min(64, tail - head, PAIRS // (n - tail)))
+                p, q = self._block(last, head, j, tail)
+                ok = self.near(row[p], row[q])
+                q, first = np.unique(q[ok], return_index=True)
+                found.append((row[p[ok][first]], row[q]))
+                if len(q):
+                    far = np.ones(n - tail, bool)
+                    far[q - tail] = False
+                    order = np.append(q, tail + np.flatnonzero(far))
+                    row[tail:], last[tail:] = row[order], last[order]
+                head, tail = j, tail + len(q)
+            i = tail
+        return found
+
+    def edges(self, packed: np.ndarray, split: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows, from sorted ``packed``: bucket << 32 | row. About MEMBERS are worked on at once.
+
+        Buckets of more than LARGE members are left to ``split``, if any: it gets (bucket number, row) and gives packed rows anew.
+        """
+        i = 0
+        while i < len(packed):
+            j = len(packed)
+            if i + MEMBERS < j:
+                key = packed[i + MEMBERS] >> 32
+                j = int(np.searchsorted(packed, key << 32))
+                if j <= i:
+                    j = int(np.searchsorted(packed, key + 1 << 32))
+            key, row = packed[i:j] >> 32, packed[i:j] & 0xFFFFFFFF
+            i = j
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(at, len(key)))
+            large = size > LARGE if split else np.zeros(len(at), bool)
+            small = ~large & (size > 1) & (size <= ALONE)
+            if small.any():
+                yield from self.together(row, at[small], size[small])
+            loose, n = [], 0
+            for x, m in zip(at[~large & (size > ALONE)], size[~large & (size > ALONE)]):
+                for pair in self.alone(row[x : x + m]):
+                    loose.append(pair)
+                    n += len(pair[0])
+                if n > MEMBERS:
+                    yield self.verified(*map(np.concatenate, zip(*loose)))
+                    loose, n = [], 0
+            if loose:
+                yield self.verified(*map(np.concatenate, zip(*loose)))
+            if large.any():
+                some = np.repeat(large, size)
+                for again in split(np.repeat(np.arange(len(at)), size)[some], row[some]):
+                    yield from self.edges(again)
+
+
+def _pack(number: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """(number, codeword index) << 32 | row for every index of each row's word, sorted."""
+    out = [np.zeros(0, np.int64)]
+    for i in range(0, len(row), CHUNK):
+        r, k = _expand(words[i : i + CHUNK])
+        out.append((number[i : i + CHUNK][r] << golay.K | k) << 32 | row[i : i + CHUNK][r])
+    packed = np.concatenate(out)
+    packed.sort()
+    return packed
+
+
+def _distinct_edges(pairs: Iterator[tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> np.ndarray:
+    """Distinct (lesser id, greater id) of pairs of rows, folded as they come."""
+    known, number = np.unique(ids, return_inverse=True)
+    done, held, n = np.zeros(0, np.int64), [], 0
+    for i, j in pairs:
+        u, v = number[i], number[j]
+        some = u != v
+        held.append(np.minimum(u, v)[some] << 32 | np.maximum(u, v)[some])
+        n += len(i) + 100
+        if n > max(MEMBERS, len(done)):
+            done, held, n = np.unique(np.concatenate([done, *held])), [], 0
+    done = np.unique(np.concatenate([done, *held]))
+    return np.stack([known[done >> 32], known[done & 0xFFFFFFFF]], axis=1)
+
+
 def bucket_edges(key: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int, order_radius: int = ORDER_RADIUS) -> np.ndarray:
-    """Edges (u, v) that connect what is connected within each bucket by near duplicates.
-
-    All buckets go round at once. In each round a bucket's next member that is reached but not yet
-    expanded, or else its next unreached one, is compared to its unreached members.
-    """
-    order = np.lexsort((ids, key))
-    key, ids, f = key[order], ids[order], f[order]
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-    size = np.diff(np.append(at, len(key)))
-    at, size = at[size > 1], size[size > 1]
-    found = []
-    if not len(at):
-        return np.zeros((0, 2), np.int64)
-    # queue[at:at + size]: members; the first `head` are expanded, up to `tail` reached, the rest not.
-    queue = np.arange(len(key))
-    head, tail = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
-    while len(at):
-        rest = size - tail
-        n = int(rest.sum())
-        bucket = np.repeat(np.arange(len(at)), rest)
-        slot = np.repeat(at + tail, rest) + np.arange(n) - np.repeat(np.cumsum(rest) - rest, rest)
-        pivot = queue[at + head][bucket]
-        member = queue[slot]
-        near = close(f[pivot], f[member], radius, order_radius)
-        found.append(np.stack([ids[pivot[near]], ids[member[near]]], axis=1))
-        # stable: the near members move to the front of the unreached
-        move = np.lexsort((~near, bucket))
-        queue[slot] = member[move]
-        tail = tail + np.bincount(bucket, near, len(at)).astype(np.int64)
-        head = head + 1
-        tail = np.maximum(tail, head + 1)  # nothing reached is left: the next unreached one starts anew
-        live = tail < size
-        at, size, head, tail = at[live], size[live], head[live], tail[live]
-    e = np.concatenate(found)
-    return np.unique(np.sort(e[e[:, 0] != e[:, 1]], axis=1), axis=0)
-
-
-def group_edges(half: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Edges (u, v) that connect what is connected within each bucket by near duplicates."""
+    packed = np.unique(key, return_inverse=True)[1] << 32 | np.arange(len(key))
+    packed.sort()
+    return _distinct_edges(Buckets(f, radius, order_radius).edges(packed), ids)
+
+
+def group_edges(half: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int = RADIUS, order_radius: int = ORDER_RADIUS) -> np.ndarray:
     """Edges (u, v) within the buckets of whole half keys."""
-    row, key = whole_keys(half, f)
-    _, bucket, size = np.unique(key, return_inverse=True, return_counts=True)
-    large = size[bucket] > LARGE
-    small = ~large & (size[bucket] > 1)
-    found = [bucket_edges(key[small], ids[row[small]], f[row[small]], radius)]
-    if large.any():
-        row, key = row[large], key[large]
-        r, sub = third_keys(key, f[row])
-        found.append(bucket_edges(sub, ids[row[r]], f[row[r]], radius))
-    return np.unique(np.concatenate(found), axis=0)
+    buckets = Buckets(f, radius, order_radius)
+    number, first = np.unique(half, return_inverse=True)[1], np.array(FIRST)[half >> golay.K]
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in range(1, SEGMENTS):
+            here = np.flatnonzero((first // 4 == b // 4) & (first < b))
+
+            def third(bucket: np.ndarray, row: np.ndarray) -> Iterator[np.ndarray]:
+                # Three segments of one half are left to the first two of them.
+                for c in (c for c in range(SEGMENTS) if c // 4 != b // 4 or c > b):  # noqa: B023
+                    yield _pack(bucket, row, _segment(f[row], c))
+
+            if len(here):
+                yield from buckets.edges(_pack(number[here], here, _segment(f[here], b)), third)
+
+    return _distinct_edges(pairs(), ids)
 
 
 def candidate_edges(one: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -201,24 +329,27 @@ def candidate_edges(one: DataFrame, radius: int = RADIUS) -> DataFrame:
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *[part.column(c).take(take) for c in range(1 + len(PARTS))]], ["half", "id", *PARTS])
 
-    def edges(m: np.ndarray) -> pa.RecordBatch:
-        e = group_edges(m[:, 0], m[:, 1], np.ascontiguousarray(m[:, 2:]), radius)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["u", "v"])
+    def edges(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        e = group_edges(*parts, radius)
+        for i in range(0, len(e), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[i : i + CHUNK, k])) for k in (0, 1)], ["u", "v"])
 
     def verified(batches):
         held, n, enough = [], 0, CHUNK
         for b in batches:
-            held.append(np.stack([c.to_numpy() for c in b.columns], axis=1))
+            half, ids, *f = (c.to_numpy() for c in b.columns)
+            held.append((half, ids, np.stack(f, axis=1)))
             n += len(b)
             if n >= enough:  # all but the last half key are whole
-                m = np.concatenate(held)
-                cut = int(np.searchsorted(m[:, 0], m[-1, 0]))
-                if cut:
-                    yield edges(m[:cut])
-                held, n = [m[cut:]], len(m) - cut
+                whole = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(whole[0], half[-1]))
+                held = [tuple(x[cut:].copy() for x in whole)]
+                n -= cut
                 enough = max(CHUNK, 2 * n)
+                if cut:
+                    yield from edges([x[:cut] for x in whole])
         if n:
-            yield edges(np.concatenate(held))
+            yield from edges([np.concatenate(x) for x in zip(*held)])
 
     rows = one.mapInArrow(keyed, f"half bigint, id bigint, {FP}").repartition("half").sortWithinPartitions("half")
     return rows.mapInArrow(verified, "u bigint, v bigint").distinct()
