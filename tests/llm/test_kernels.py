@@ -169,6 +169,29 @@ def test_crowded_first_index_takes_little_memory():
     assert peak < 20e6
 
 
+def test_crowded_first_index_by_ranges(monkeypatch):
+    """What a first index expands to is held a range of the second index at a time, and no pair is lost by that."""
+    rng = np.random.default_rng(11)
+    n = 30_000
+    f = rng.integers(0, 1 << 46, (n, 5))
+    f[:, 0] &= ~np.int64((1 << 23) - 1)  # one first segment for all
+    f[-100:] = f[:100]
+    f[-100:, 1] ^= 1
+    for name in ("CHUNK", "MEMBERS", "PAIRS", "PACKED"):
+        monkeypatch.setattr(golay_dedup, name, 1 << 12, raising=False)
+    half = np.zeros(n, np.int64)
+    tracemalloc.start()
+    try:
+        edges = golay_dedup.group_edges(half, np.arange(n), f)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {(i, n - 100 + i) for i in range(100)} <= set(map(tuple, edges.tolist()))
+    monkeypatch.setattr(golay_dedup, "PACKED", 1 << 20, raising=False)
+    assert np.array_equal(edges, golay_dedup.group_edges(half, np.arange(n), f))
+    assert peak < 110 * n
+
+
 @pytest.mark.parametrize("alone,members,pairs,many", [(2, 50, 64, 16), (16, 1 << 17, 300, 0), (1 << 40, 1 << 17, 1 << 17, 16)])
 def test_bucket_edges_in_small_pieces(monkeypatch, alone, members, pairs, many):
     rng = np.random.default_rng(8)

@@ -12,8 +12,9 @@
 4. Of three segments two lie in one half (of four), so a fingerprint is sent once for each index of the first
    segment of a pair in a half (six segments, 32 rows), and the others are decoded where it arrives: the
    second segment makes buckets, and very large buckets are split by the third. Rows come sorted and are worked on
-   a few first indices at a time; the rows of one are what a task holds. Of what these expand to it holds one second
-   segment's (row, index) pairs, in eight bytes each, and works on a bounded number of members and pairs at once.
+   a few first indices at a time; the rows of one are what a task holds, once. Of what these expand to it holds one second
+   segment's (row, index) pairs by ranges of the index, in eight bytes each, and works on a bounded number of members and
+   pairs at once.
    Indices are not even: votes of one language lean one way, so a crowded index may have a tenth of all texts.
 5. Each bucket verifies its members by both full distances, that of word pairs first, which few pass. Small buckets go
    together, breadth first: members are compared only to those not yet reached, which finds the bucket's connected
@@ -51,6 +52,8 @@ FIRST = (0, 1, 2, 4, 5, 6)
 SURE = 17
 #: Rows (all of one first index at least), members of buckets (all of one at least) and pairs that are worked on at once.
 CHUNK, MEMBERS, PAIRS = 1 << 16, 1 << 17, 1 << 17
+#: Pairs (row, index) of a second segment that are held at once, where no single index has more.
+PACKED = 1 << 20
 #: Members up to which buckets go together, and from which a bucket is split.
 ALONE, LARGE = 128, 16384
 #: Near members behind a member, on average, from which a bucket that goes alone is walked breadth first.
@@ -264,12 +267,16 @@ class Buckets:
                     yield from self.edges(again)
 
 
-def _pack(number: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """(number, codeword index) << 32 | row for every index of each row's word, sorted."""
+def _pack(number: np.ndarray, row: np.ndarray, f: np.ndarray, s: int, part: int = 0, parts: int = 1) -> np.ndarray:
+    """(number, codeword index) << 32 | row for every index of each row's segment ``s``, sorted; of ``parts`` ranges of indices, one."""
     out = [np.zeros(0, np.int64)]
     for i in range(0, len(row), CHUNK):
-        r, k = _expand(words[i : i + CHUNK])
-        out.append((number[i : i + CHUNK][r] << golay.K | k) << 32 | row[i : i + CHUNK][r])
+        here = row[i : i + CHUNK]
+        r, k = _expand(_segment(f[here], s))
+        if parts > 1:
+            some = np.flatnonzero(k * parts >> golay.K == part)
+            r, k = r[some], k[some]
+        out.append((number[i : i + CHUNK][r] << golay.K | k) << 32 | here[r])
     packed = np.concatenate(out)
     packed.sort()
     return packed
@@ -277,7 +284,8 @@ def _pack(number: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def _distinct_edges(pairs: Iterator[tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> np.ndarray:
     """Distinct (lesser id, greater id) of pairs of rows, folded as they come."""
-    known, number = np.unique(ids, return_inverse=True)
+    known = np.unique(ids)
+    number = np.searchsorted(known, ids)
     done, held, n = np.zeros(0, np.int64), [], 0
     for i, j in pairs:
         u, v = number[i], number[j]
@@ -300,7 +308,7 @@ def bucket_edges(key: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int, o
 def group_edges(half: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int = RADIUS, order_radius: int = ORDER_RADIUS) -> np.ndarray:
     """Edges (u, v) within the buckets of whole half keys."""
     buckets = Buckets(f, radius, order_radius)
-    number, first = np.unique(half, return_inverse=True)[1], np.array(FIRST)[half >> golay.K]
+    number, first = np.searchsorted(np.unique(half), half), np.array(FIRST, np.int8)[half >> golay.K]
 
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in range(1, SEGMENTS):
@@ -309,14 +317,22 @@ def group_edges(half: np.ndarray, ids: np.ndarray, f: np.ndarray, radius: int =
             def third(bucket: np.ndarray, row: np.ndarray) -> Iterator[np.ndarray]:
                 # Three segments of one half are left to the first two of them.
                 for c in (c for c in range(SEGMENTS) if c // 4 != b // 4 or c > b):  # noqa: B023
-                    yield _pack(bucket, row, _segment(f[row], c))
+                    yield _pack(bucket, row, f, c)
 
-            if len(here):
-                yield from buckets.edges(_pack(number[here], here, _segment(f[here], b)), third)
+            parts = -(-6 * len(here) // PACKED)
+            for part in range(parts):
+                yield from buckets.edges(_pack(number[here], here, f, b, part, parts), third)
 
     return _distinct_edges(pairs(), ids)
 
 
+def joined(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Columns of the pieces, which are taken out of ``held`` so that no column is there twice for long."""
+    columns = [list(x) for x in zip(*held)]
+    held.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+
+
 def candidate_edges(one: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v) edges between ``one`` (id, f0, ..., f4), rows of distinct fingerprints."""
 
@@ -338,18 +354,19 @@ def candidate_edges(one: DataFrame, radius: int = RADIUS) -> DataFrame:
         held, n, enough = [], 0, CHUNK
         for b in batches:
             half, ids, *f = (c.to_numpy() for c in b.columns)
-            held.append((half, ids, np.stack(f, axis=1)))
+            held.append((half.copy(), ids.copy(), np.stack(f, axis=1)))  # else the whole batch stays as well
             n += len(b)
             if n >= enough:  # all but the last half key are whole
-                whole = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.searchsorted(whole[0], half[-1]))
-                held = [tuple(x[cut:].copy() for x in whole)]
+                whole = joined(held)
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))
+                held = [tuple(x[cut:].copy() for x in whole)] if cut else [tuple(whole)]
                 n -= cut
                 enough = max(CHUNK, 2 * n)
                 if cut:
                     yield from edges([x[:cut] for x in whole])
+                del whole
         if n:
-            yield from edges([np.concatenate(x) for x in zip(*held)])
+            yield from edges(joined(held))
 
     rows = one.mapInArrow(keyed, f"half bigint, id bigint, {FP}").repartition("half").sortWithinPartitions("half")
     return rows.mapInArrow(verified, "u bigint, v bigint").distinct()
