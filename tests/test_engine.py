@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vectrine import queries
-from vectrine.functions import statistics
+from vectrine.functions import distance, statistics
 from vectrine.functions.distance import knn
 from vectrine.operators import indexes, mutations
 from vectrine.operators.chunking import ChunkOptions, chunk_sections, count_tokens
@@ -241,6 +241,33 @@ def test_search_of_a_table(spark, tmp_path):
     assert few.centroids is None and {r.query for r in few.search_join(rows, 1).collect()} == set(range(320))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coded_short_lists_stay_in_their_task(spark, tmp_path):
+    """They are never shuffled for a window, and a task holds half as many rows again as they have."""
+    rows, _ = vectors(spark, 320)
+    index = indexes.IvfIndex.build(rows, str(tmp_path / "a"), 4, "euclidean", subvectors=2, codes=8)
+    assert "Window" not in plan_of(index.search_join(rows, 5, 3, 100))
+    rng = np.random.default_rng(5)
+    near, d = rng.integers(0, 300, 5000).astype(float), rng.random(5000)
+    lists = distance.ShortLists(np.zeros((1, 2)), 100, "euclidean")
+    for at in range(0, 5000, 50):
+        lists.extend(0, np.arange(5000)[at : at + 50], near[at : at + 50], d[at : at + 50])
+        assert sum(len(p[0]) for p in lists.own[0]) <= 150
+    some = np.lexsort((np.arange(5000), near))[:100]
+    assert lists.nearest(7)[1].tolist() == some[np.argsort(d[some])][:7].tolist()
+
+
+def test_join_with_lists_leaves_only_results(spark, tmp_path):
+    """All lists are probed by one task for a query, so nothing is left to merge."""
+    rows, _ = vectors(spark, 320)
+    index = indexes.IvfIndex.build(rows, str(tmp_path / "a"), 4, "euclidean")
+    found = index.search_join(rows, 5, 4)
+    assert "Window" not in plan_of(found) and found.count() == 5 * 320
+
+
 def test_recall_is_of_the_index(spark, tmp_path, monkeypatch):
     """All vectors ask; an index that loses rows has a recall below 1."""
     _, x = vectors(spark, 320)
