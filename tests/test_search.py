@@ -42,6 +42,25 @@ def test_knn_orders_and_breaks_ties_by_id(spark):
     assert sorted((r.query, r.id) for r in got) == [("a", "a"), ("b", "a"), ("c", "c")]
 
 
+@pytest.mark.parametrize("metric", dist.METRICS)
+def test_screened_neighbours_are_the_exact_ones(spark, metric):
+    """Single precision only rules out: with near copies far from the origin, zeros, copies and values that are no number."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(3000, 8)), 1000 + 1e-4 * rng.normal(size=(300, 8)), np.zeros((2, 8)), 1e30 * rng.normal(size=(5, 8))]).astype(np.float32).astype(float)
+    x[10:20], x[40] = x[30], np.nan
+    q, ids = np.concatenate([x[:60], x[3000:3030], x[3300:3302]]), rng.permutation(len(x))
+    best = dist.Nearest(q, 5, metric)
+    for at in range(0, len(x), 1100):
+        best.rows(np.arange(len(q)), dist.Screen(x[at : at + 1100], metric), ids[at : at + 1100])
+    query, found, d = best.nearest(5)
+    for j in np.flatnonzero(~np.isnan(q[:, 0])):
+        want = dist.pair_distances(x, np.broadcast_to(q[j], x.shape), metric)
+        top = dist.nearest_rows(want, ids, 5)
+        assert found[query == j].tolist() == ids[top].tolist()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:200])], "id bigint, vector array<float>")
+    assert "Window" not in dist.knn_join(rows, rows, 2, metric)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_normalize_and_pool(spark):
     r = one(spark, dist.normalize(dist.vector([3, 4])).alias("n"), dist.normalize(dist.vector([0, 0])).alias("z"), dist.pool(F.array(dist.vector([1, 0]), dist.vector([0, 1])), F.array(F.lit(3), F.lit(4))).alias("p"))
     assert r.n == pytest.approx([0.6, 0.8]) and r.z == [0, 0] and r.p == pytest.approx([0.6, 0.8])
