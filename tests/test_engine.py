@@ -420,6 +420,19 @@ def test_formats_by_content(spark, tmp_path):
     assert got == {"plain": "text", "paper": "docx"}
 
 
+@pytest.mark.parametrize("kind,options", [("hnsw", {"m": 4, "ef": 16}), ("vamana", {"degree": 8, "width": 16})])
+def test_small_graphs_are_built_from_all_distances(monkeypatch, kind, options):
+    """Found at once, without a call a node; the graph is that of distances found one by one."""
+    x = np.random.default_rng(4).normal(size=(200, 6))
+    calls, d = [], indexes.Graph.d
+    monkeypatch.setattr(indexes.Graph, "d", lambda self, *a: calls.append(1) or d(self, *a))
+    fast = getattr(indexes.Graph, kind)(x, list(range(200)), "cosine", **options)
+    assert not calls
+    monkeypatch.setattr(indexes, "WHOLE", 0, raising=False)
+    slow = getattr(indexes.Graph, kind)(x, list(range(200)), "cosine", **options)
+    assert len(calls) > 200 and (fast.links, fast.entry) == (slow.links, slow.entry)
+
+
 def test_graph_on_a_line():
     x = np.array([[v, 0, 0] for v in range(100)], float)
     g = indexes.Graph.hnsw(x, list(range(100)), "euclidean")

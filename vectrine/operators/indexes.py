@@ -352,6 +352,10 @@ def hnsw_level(id_: str, m: int, most: int = 32) -> int:
     return min(most, int(-np.log(max(u, 1e-18)) / np.log(max(m, 2))))
 
 
+#: Rows of a bucket at most whose distances are all found at once, before its graph is built.
+WHOLE = 1536
+
+
 class Graph:
     """A proximity graph of one bucket's vectors: adjacency by level, an entry point."""
 
@@ -359,15 +363,29 @@ class Graph:
         self.x, self.ids, self.metric = x, ids, metric
         self.links: list[dict[int, list[int]]] = [{}]
         self.entry = -1
+        self.all: list[list[float]] | None = None
+
+    def compare_all(self) -> None:
+        """For building: the distances of a small bucket, as numbers that need no call each."""
+        if len(self.x) <= WHOLE:
+            self.all = pairwise(self.x, self.x, self.metric).tolist()
+
+    def near(self, i: int, nodes: Sequence[int]) -> list[float]:
+        """Distances of nodes to node i."""
+        if self.all is None:
+            return self.d(self.x[i], nodes).tolist()
+        row = self.all[i]
+        return [row[v] for v in nodes]
 
     def d(self, q: np.ndarray, nodes: Sequence[int]) -> np.ndarray:
         return pairwise(self.x[list(nodes)], q[None], self.metric)[:, 0]
 
-    def beam(self, q: np.ndarray, start: int, width: int, level: int = 0) -> list[tuple[float, int]]:
-        """Best-first search: the ``width`` nearest nodes that it meets, and their distances."""
+    def beam(self, q: np.ndarray | int, start: int, width: int, level: int = 0) -> list[tuple[float, int]]:
+        """Best-first search from a vector or a node: the ``width`` nearest nodes that it meets, and their distances."""
         import heapq
 
-        seen, first = {start}, float(self.d(q, [start])[0])
+        of = self.near if isinstance(q, int) else lambda v, nodes: self.d(v, nodes).tolist()
+        seen, first = {start}, of(q, [start])[0]
         todo, best = [(first, start)], [(-first, -start)]
         while todo:
             d, n = heapq.heappop(todo)
@@ -377,10 +395,10 @@ class Graph:
             if not new:
                 continue
             seen.update(new)
-            for dv, v in zip(self.d(q, new), new):
+            for dv, v in zip(of(q, new), new):
                 if len(best) < width or dv < -best[0][0]:
-                    heapq.heappush(todo, (float(dv), v))
-                    heapq.heappush(best, (-float(dv), -v))
+                    heapq.heappush(todo, (dv, v))
+                    heapq.heappush(best, (-dv, -v))
                     if len(best) > width:
                         heapq.heappop(best)
         return sorted((-d, -n) for d, n in best)
@@ -388,6 +406,7 @@ class Graph:
     @staticmethod
     def hnsw(x: np.ndarray, ids: list, metric: str, m: int = 16, ef: int = 128) -> "Graph":
         g = Graph(x, ids, metric)
+        g.compare_all()
         top = -1
         for i in np.argsort(np.array([str(v) for v in ids]), kind="stable"):
             i = int(i)
@@ -399,9 +418,9 @@ class Graph:
             at = g.entry
             if at >= 0:
                 for a in range(top, level, -1):
-                    at = g.beam(x[i], at, 1, a)[0][1]
+                    at = g.beam(i, at, 1, a)[0][1]
                 for a in range(min(top, level), -1, -1):
-                    near = [(d, n) for d, n in g.beam(x[i], at, ef, a) if n != i]
+                    near = [(d, n) for d, n in g.beam(i, at, ef, a) if n != i]
                     at = near[0][1]
                     most = 2 * m if a == 0 else m
                     g.links[a][i] = [n for _, n in near[:m]]
@@ -409,15 +428,16 @@ class Graph:
                         back = g.links[a][n]
                         back.append(i)
                         if len(back) > most:
-                            order = np.argsort(g.d(x[n], back), kind="stable")[:most]
-                            g.links[a][n] = [back[j] for j in order]
+                            g.links[a][n] = [v for _, v in sorted(zip(g.near(n, back), back), key=lambda p: p[0])[:most]]
             if level > top:
                 top, g.entry = level, i
+        g.all = None
         return g
 
     @staticmethod
     def vamana(x: np.ndarray, ids: list, metric: str, degree: int = 32, width: int = 64, alpha: float = 1.2) -> "Graph":
         g = Graph(x, ids, metric)
+        g.compare_all()
         n = len(x)
         order = [int(i) for i in np.argsort([hashlib.sha256(str(v).encode()).hexdigest() for v in ids], kind="stable")]
         g.links[0] = {i: [j for j in (i - 1, i + 1) if 0 <= j < n] for i in range(n)}
@@ -425,26 +445,27 @@ class Graph:
         g.entry = int(pairwise(x, some, metric).sum(axis=1).argmin()) if n else -1
         for turn in (order, order[::-1]):
             for i in turn:
-                g.links[0][i] = g._prune(i, [v for _, v in g.beam(x[i], g.entry, width)] + g.links[0][i], degree, alpha)
+                g.links[0][i] = g._prune(i, [v for _, v in g.beam(i, g.entry, width)] + g.links[0][i], degree, alpha)
                 for j in g.links[0][i]:
                     if i not in g.links[0][j]:
                         g.links[0][j].append(i)
                         if len(g.links[0][j]) > degree:
                             g.links[0][j] = g._prune(j, g.links[0][j], degree, alpha)
+        g.all = None
         return g
 
     def _prune(self, i: int, nodes: list[int], degree: int, alpha: float) -> list[int]:
         nodes = sorted(set(nodes) - {i})
         if not nodes:
             return []
-        order = np.argsort(self.d(self.x[i], nodes), kind="stable")
-        left, dist = [nodes[j] for j in order], dict(zip(nodes, self.d(self.x[i], nodes)))
+        dist = dict(zip(nodes, self.near(i, nodes)))
+        left = sorted(nodes, key=dist.__getitem__)
         out: list[int] = []
         while left and len(out) < degree:
             p = left.pop(0)
             out.append(p)
             if left:
-                away = self.d(self.x[p], left)
+                away = self.near(p, left)
                 left = [v for v, a in zip(left, away) if alpha * a > dist[v]]
         return out
 
@@ -499,7 +520,8 @@ def graph_build(rows: DataFrame, path: str, kind: str = "hnsw", bucket_rows: int
         return pd.DataFrame({"bucket": [int(pdf.bucket.iloc[0])], "graph": [graph_bytes(g)]})
 
     bucketed = rows.filter("vector is not null").select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("bucket"))
-    bucketed.groupBy("bucket").applyInPandas(build, "bucket int, graph binary").write.mode("overwrite").parquet(path)
+    # a task each, as the work is out of proportion to the bytes by which tasks would be put together
+    bucketed.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInPandas(build, "bucket int, graph binary").write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
