@@ -245,6 +245,34 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["text_mode", "vector_mode", "metadata_mode", "rrf_hybrid_filtered", "bm25_filtered_topk"])
+def test_texts_are_not_shuffled(spark, tmp_path, name):
+    """Only scores and ids meet the vectors and labels, which are too large to broadcast."""
+    make = spark.createDataFrame
+    make([(i, f"the cat {'of' * (i % 3)} and {i}", "en" if i % 2 else "fr" if name == "metadata_mode" else "de", "s", 600) for i in range(60)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    make([(i, [1.0, i / 7], i % 3) for i in range(50)], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    make([(i, i % 2, i % 5 // 4) for i in range(40)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries.queries()[name](spark, str(tmp_path))
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        scans = [i for i, x in enumerate(lines) if "FileScan" in x and "text#" in x]
+        depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+        assert scans
+        for i in scans:  # upwards from the scan, up to where texts end or meet the hits
+            least = depth(lines[i])
+            for x in reversed(lines[:i]):
+                if depth(x) < least:
+                    least = depth(x)
+                    assert "Exchange hashpartitioning" not in x
+                    if "ArrowEvalPython" in x or "BroadcastHashJoin" in x:
+                        break
+        assert df.count() == (20 if name == "metadata_mode" else 10)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_coded_short_lists_stay_in_their_task(spark, tmp_path):
     """They are never shuffled for a window, and a task holds half as many rows again as they have."""
     rows, _ = vectors(spark, 320)

@@ -80,15 +80,18 @@ def score(terms: list[str], stats: Statistics, k1: float = K1, b: float = B, tf:
     return total
 
 
-def search(docs: DataFrame, query: str, limit: int, candidates: Column | None = None, stats: Statistics | None = None, k1: float = K1, b: float = B, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, score): the best ``limit`` documents that hold a term, ties by id."""
+def search(docs: DataFrame, query: str, limit: int, candidates: Column | DataFrame | None = None, stats: Statistics | None = None, k1: float = K1, b: float = B, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, score): the best ``limit`` documents that hold a term, ties by id. ``candidates`` is a condition, or a table of ids
+    that are joined with scores, so that texts are not moved."""
     terms = query_terms(query)
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     stats = stats or statistics(docs, query, text_col)
-    rows = docs if candidates is None else docs.filter(candidates)
+    rows = docs.filter(candidates) if isinstance(candidates, Column) else docs
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hits = with_terms(rows, terms).filter(F.exists("tf", lambda x: x > 0)).select("id", score(terms, stats, k1, b).alias("score"))
+    if isinstance(candidates, DataFrame):
+        hits = hits.join(candidates.select("id"), "id", "left_semi")
     return hits.orderBy(F.desc("score"), "id").limit(limit)
 
 

@@ -66,10 +66,11 @@ def sharded_text_topk(docs: DataFrame, query: str, k: int) -> DataFrame:
     return merge_single(hits.withColumn("rn", F.row_number().over(line)).filter(F.col("rn") <= k).select("id", "score"), k)
 
 
-def sharded_hybrid_topk(docs: DataFrame, vector, query: str, k: int, multiplier: int = 4, weights=(0.5, 0.5)) -> DataFrame:
-    """(id, score, vector_rank, text_rank), by the single-node rule: both lists are cut to k * multiplier before fusion."""
+def sharded_hybrid_topk(docs: DataFrame, vector, query: str, k: int, multiplier: int = 4, weights=(0.5, 0.5), texts: DataFrame | None = None) -> DataFrame:
+    """(id, score, vector_rank, text_rank), by the single-node rule: both lists are cut to k * multiplier before fusion.
+    ``texts`` (id, text, data_group) is where the texts are, if ``docs`` is a join that would have to move them."""
     c = max(k, k * multiplier)
-    return merge_hybrid(sharded_vector_topk(docs, vector, c), sharded_text_topk(docs, query, c), *weights, k)
+    return merge_hybrid(sharded_vector_topk(docs, vector, c), sharded_text_topk(docs if texts is None else texts, query, c), *weights, k)
 
 
 def replica_order(replicas: DataFrame, stale: bool) -> DataFrame:

@@ -144,7 +144,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH s AS ({STD}), {bm25_sql(10, "id IN (SELECT id FROM s WHERE lang = 'de' OR quality = 1)")} SELECT id, round(score, 6) AS score FROM text_top")
 def bm25_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
     keep = f.compile_filter(f.either(f.equal("lang", "de"), f.equal("quality", 1)), promoted=PROMOTED)
-    return bm25.search(standard(spark, sf), TEXT, 10, keep).select("id", F.round("score", 6).alias("score"))
+    return bm25.search(documents(spark, sf), TEXT, 10, standard(spark, sf).filter(keep).select("id")).select("id", F.round("score", 6).alias("score"))
 
 
 CHANGED = DOC.replace("SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, *", "SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, * REPLACE (CASE WHEN doc_id % 10 = 0 THEN text || ' with er zzupdated' ELSE text END AS text)") + " WHERE doc_id % 7 <> 0"
@@ -196,7 +196,7 @@ def approx_token_count(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, sf: str, **options) -> DataFrame:
     request = SearchRequest(TEXT, query_vector(spark, sf), "hybrid", 10, include=("scores",), **options)
-    return search(standard(spark, sf), request, promoted=PROMOTED).select("id", F.round("score", 9).alias("score"), "vector_rank", "text_rank")
+    return search(standard(spark, sf), request, promoted=PROMOTED, texts=documents(spark, sf)).select("id", F.round("score", 9).alias("score"), "vector_rank", "text_rank")
 
 
 @query(hybrid_sql(10))
@@ -217,18 +217,18 @@ def rrf_weighted(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT id, text, 1.0::DOUBLE AS score FROM ({STD}) WHERE quality IS NOT NULL AND lang IN ('fr', 'es') ORDER BY id LIMIT 25")
 def metadata_mode(spark: SparkSession, sf: str) -> DataFrame:
     request = SearchRequest(mode="metadata", limit=25, filter=f.both(f.exists("quality"), f.is_in("lang", ["fr", "es"])))
-    return search(standard(spark, sf), request, promoted=PROMOTED).select("id", "text", "score")
+    return search(standard(spark, sf), request, promoted=PROMOTED, texts=documents(spark, sf)).select("id", "text", "score")
 
 
 @query(f"WITH {bm25_sql(10)} SELECT t.id, d.text, round(t.score, 6) AS score, text_rank::INTEGER AS text_rank FROM text_top t JOIN d USING (id)")
 def text_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return search(standard(spark, sf), SearchRequest(TEXT, mode="text")).select("id", "text", F.round("score", 6).alias("score"), "text_rank")
+    return search(standard(spark, sf), SearchRequest(TEXT, mode="text"), texts=documents(spark, sf)).select("id", "text", F.round("score", 6).alias("score"), "text_rank")
 
 
 @query(f"SELECT id, text, round(-d, 6) AS score, (row_number() OVER (ORDER BY d, id))::INTEGER AS vector_rank FROM (SELECT id, text, {DIST['cosine']('vector')} AS d FROM ({STD}) WHERE vector IS NOT NULL) ORDER BY d, id LIMIT 10")
 def vector_mode(spark: SparkSession, sf: str) -> DataFrame:
     request = SearchRequest(vector=query_vector(spark, sf), mode="vector", include=("text", "scores"))
-    return search(standard(spark, sf), request).select("id", "text", F.round("score", 6).alias("score"), "vector_rank")
+    return search(standard(spark, sf), request, texts=documents(spark, sf)).select("id", "text", F.round("score", 6).alias("score"), "vector_rank")
 
 
 # Filters: on the metadata map (m) and on promoted columns, which must agree
@@ -408,7 +408,7 @@ def sharded_bm25(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(hybrid_sql(10))
 def sharded_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sharding.sharded_hybrid_topk(_placed(spark, standard(spark, sf)), query_vector(spark, sf), TEXT, 10)
+    rows = sharding.sharded_hybrid_topk(_placed(spark, standard(spark, sf)), query_vector(spark, sf), TEXT, 10, texts=_placed(spark, documents(spark, sf)))
     return rows.select("id", F.round("score", 9).alias("score"), "vector_rank", "text_rank")
 
 
