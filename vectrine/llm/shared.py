@@ -10,17 +10,12 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectrine.session import BATCH_BYTES as BATCH_BYTES
 from vectrine.session import prepare_workers, scratch_dir, shared_dir
 
-#: Bytes of an Arrow batch at most: workers hold a few batches at once, and texts may be long.
-BATCH_BYTES = 8 << 20
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, bound their batches by bytes, and make sure of the shared folder."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
     shared_dir(spark)
     return prepare_workers(spark)
 

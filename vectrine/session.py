@@ -12,8 +12,16 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Bytes of an Arrow batch at most: workers hold a few batches at once, what they make of them is larger, and texts may be long.
+BATCH_BYTES = 8 << 20
+
+
 def prepare_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed. On a cluster, install it or ship it with --py-files."""
+    """Let Python workers import this package where it isn't installed, and bound their batches by bytes. On a cluster, install it
+    or ship it with --py-files."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
