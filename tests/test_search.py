@@ -154,6 +154,28 @@ def test_postings_are_kept_up_to_date(spark, tmp_path):
     assert {r.id: r.score for r in index.search("cd zz ef", 50, candidates=some).collect()} == {k: pytest.approx(v) for k, v in full.items() if k in sorted(now)[:9]}
 
 
+def test_postings_read_a_text_once(spark, tmp_path, monkeypatch):
+    """Finding the ranges of terms doesn't count the tokens again."""
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(bm25, "postings", lambda df, plain=bm25.postings: plain(df.mapInArrow(lambda bs: (seen.add(len(b)) or b for b in bs), df.schema)))
+    index = bm25.PostingsIndex.build(spark.createDataFrame([(f"d{i:03}", "the same words") for i in range(200)], "id string, text string").repartition(4), str(tmp_path / "p"))
+    assert seen.value == 200 and index.documents == 200
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Those of all queries: 40 texts of a megabyte are not one batch."""
+    from vectrine.session import prepare_workers
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20)
+        rows = prepare_workers(spark).range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+        sizes = rows.mapInArrow(lambda bs: (__import__("pyarrow").RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n bigint").collect()
+        assert max(r.n for r in sizes) <= 10 << 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 def test_scan_reads_a_text_once(spark):
     docs = spark.createDataFrame(CORPUS, "id string, text string")
     stats = bm25.statistics(docs, "distributed database")
