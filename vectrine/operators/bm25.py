@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,7 +184,10 @@ class PostingsIndex:
         touched = lengths.select("id")
         (touched if removed is None else touched.union(removed.select("id")).distinct()).write.parquet(at("touched"))
         touched = self.spark.read.parquet(at("touched"))
-        postings(upserts).repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(at("postings"))
+        # a range's bounds are found by a pass of its own, for which texts aren't read again
+        rows = postings(upserts).persist(StorageLevel.DISK_ONLY)
+        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(at("postings"))
+        rows.unpersist()
         sums = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first())
         before = self._live(m, "lengths")
         gone = sums(before.join(touched, "id", "left_semi")) if before is not None else (0, 0)
@@ -195,7 +199,7 @@ class PostingsIndex:
     def compact(self) -> None:
         number, m = self._manifest()
         part = f"part-{uuid.uuid4().hex[:12]}"
-        self._live(m, "postings").repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{self.path}/{part}/postings")
+        self._live(m, "postings").repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.path}/{part}/postings")
         self._live(m, "lengths").write.parquet(f"{self.path}/{part}/lengths")
         self.spark.read.parquet(f"{self.path}/{part}/lengths").select("id").write.parquet(f"{self.path}/{part}/touched")
         self.store.commit("manifests", number, m | {"parts": [part]})
